@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ligaquery.llm import bpe, packing, percentiles
+from ligaquery.llm import bpe, packing, percentiles, truncation
 from ligaquery.session import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -55,8 +55,16 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(_packed(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.by_source(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p7_ids, p8_pack, p8_fill)}
+    return {f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p7_ids, p8_pack, p8_fill, p9_found, p9_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
