@@ -68,3 +68,37 @@ def p6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_partner_stats, p3_found, p4_found, p4_subtrees, p5_found, p6_found, p6_features)}
+
+
+def oracle_sql() -> dict[str, str]:
+    fields = r"string_split(regexp_replace(line, '\r$', ''), chr(9))"
+    plain = "regexp_full_match(f[{i}], '[0-9]+') AND try_cast(f[{i}] AS HUGEINT) BETWEEN 1 AND 2147483647"
+    checked = f"""
+        WITH r AS (SELECT line_id, {fields} AS f FROM gff_lines WHERE NOT regexp_full_match(line, '\\s*') AND NOT starts_with(line, '#')),
+        c AS (SELECT line_id, f, CASE WHEN len(f) <> 9 THEN 'columns'
+            WHEN (length(f[9]) - length(replace(f[9], '"', ''))) % 2 = 1 THEN 'quoting'
+            WHEN f[1] NOT IN (SELECT refname FROM contigs) THEN 'seqid'
+            WHEN NOT coalesce({plain.format(i=4)}, false) OR ({plain.format(i=5)} AND try_cast(f[4] AS HUGEINT) > try_cast(f[5] AS HUGEINT)) THEN 'start'
+            WHEN f[7] NOT IN ('+', '-', '.', '?') THEN 'strand' END AS reason FROM r)"""
+    covered = """
+        WITH s AS (SELECT sample_idx, refid, seg_strt AS a, seg_end AS b FROM segments WHERE sample_idx IS NOT NULL AND refid IS NOT NULL AND seg_strt <= seg_end),
+        m AS (SELECT *, max(b) OVER (PARTITION BY sample_idx, refid ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s),
+        g AS (SELECT *, sum(CASE WHEN top IS NULL OR a > top + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sample_idx, refid ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m),
+        p AS (SELECT sample_idx, refid, k, min(a) AS strt, max(b) AS stop FROM g GROUP BY ALL)
+        SELECT sample_idx, refid, 'period' AS kind, strt, stop FROM p UNION ALL
+        SELECT * FROM (SELECT sample_idx, refid, 'gap', lag(stop) OVER (PARTITION BY sample_idx, refid ORDER BY strt) + 1 AS strt, strt - 1 FROM p) WHERE strt IS NOT NULL"""
+    return {
+        "p2_found": """
+            WITH c AS (SELECT sample_idx, partner, count(*) AS n FROM int_partners WHERE partner NOT IN ('', '.') GROUP BY ALL)
+            SELECT sample_idx, partner FROM (SELECT *, sum(n) OVER (PARTITION BY sample_idx) AS t FROM c) WHERE n * 50 >= t""",
+        "p2_partner_stats": """
+            WITH r AS (SELECT rec_no, CASE WHEN NOT isnan(xc) AND xc <> 1000 THEN xc::DOUBLE END AS xc, CASE WHEN NOT isnan(xe) AND xe <> 1000 THEN xe::DOUBLE END AS xe FROM split_records),
+            j AS (SELECT i.*, xc, xe, row_number() OVER k AS rn, lag(orientation) OVER k AS prev FROM int_partners i LEFT JOIN r USING (rec_no) WINDOW k AS (PARTITION BY i.sample_idx, partner ORDER BY ip_no))
+            SELECT sample_idx, partner, count(*) AS n_rows, count(*) FILTER (rn > 1 AND orientation IS DISTINCT FROM prev) AS n_switches,
+                count(xc) AS n_xc, round(avg(xc), 6) AS mean_xc, min(xc) AS min_xc, max(xc) AS max_xc, count(xe) AS n_xe, round(avg(xe), 6) AS mean_xe, min(xe) AS min_xe, max(xe) AS max_xe
+            FROM j GROUP BY ALL""",
+        "p3_found": covered,
+        "p6_found": f"{checked} SELECT line_id, reason FROM c WHERE reason IS NOT NULL",
+        "p6_features": f"""{checked} SELECT line_id, f[1] AS seqid, f[2] AS source, f[3] AS feat_type, f[4]::INT AS feat_strt, CASE WHEN {plain.format(i=5)} THEN try_cast(f[5] AS INT) END AS feat_end,
+            try_cast(f[6] AS DOUBLE) AS score, f[7] AS strand, try_cast(f[8] AS INT) AS phase, f[9] AS attributes FROM c WHERE reason IS NULL""",
+    }
