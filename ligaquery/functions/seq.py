@@ -88,8 +88,9 @@ def trim_5(seq: Column, adapters: dict[str, str], mismatch_rate: float = 0.0) ->
 
 def window_trim(qual: Column, quality: int, width: int) -> Column:
     """End after dropping 3' windows of ``width`` while their mean quality is below ``quality``."""
-    q = phred(qual)
     n = F.length(qual)
     ends = F.transform(F.sequence(F.lit(0), F.floor(n / width).cast("int")), lambda k: n - k * width)
-    stop = F.filter(ends, lambda e: (e < width) | (F.aggregate(F.slice(q, F.greatest(e - width, F.lit(0)) + 1, width), F.lit(0), lambda a, x: a + x) >= quality * width))
+    total = lambda q, e: F.aggregate(F.slice(q, F.greatest(e - width, F.lit(0)) + 1, width), F.lit(0), lambda a, x: a + x)
+    # the one-element array names the qualities, so that they are computed once
+    stop = F.transform(F.array(phred(qual)), lambda q: F.get(F.filter(ends, lambda e: (e < width) | (total(q, e) >= quality * width)), F.lit(0)))
     return F.get(stop, F.lit(0))

@@ -41,26 +41,37 @@ def passes(p: TrimParams) -> Column:
     return (F.length("seq") >= p.min_length) & (S.mean_phred(F.col("qual")) >= p.quality)
 
 
-def common_run(a: str, b: str) -> tuple[int, int, int]:
-    """(begin in a, begin in b, length) of the longest common substring; the first longest wins."""
-    if not a or not b:
-        return 0, 0, 0
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    row, best = np.zeros(len(y) + 1, np.int32), (0, 0, 0)
-    for i, ch in enumerate(x):
-        row[1:] = np.where(y == ch, row[:-1] + 1, 0)
-        j = int(row.argmax())
-        if row[j] > best[2]:
-            best = (i + 1 - int(row[j]), j - int(row[j]), int(row[j]))
-    return best
+def common_runs(a: list[str], b: list[str]) -> np.ndarray:
+    """(begin in a, begin in b, length) of the longest common substring of each pair; the first longest wins.
+
+    The rows of all pairs' tables are computed together. Pairs with an empty side give zeros.
+    """
+    out = np.zeros((len(a), 3), np.int32)
+    if not len(a):
+        return out
+    wide = lambda seqs, fill: np.array([list(s.encode("utf-8", "replace").ljust(max(1, max(len(t.encode("utf-8", "replace")) for t in seqs)), fill)) for s in seqs], np.uint8)
+    x, y = wide(a, b"\0"), wide(b, b"\1")
+    row = np.zeros((len(a), y.shape[1] + 1), np.int32)
+    for i in range(x.shape[1]):
+        row[:, 1:] = np.where(y == x[:, i : i + 1], row[:, :-1] + 1, 0)
+        j = row.argmax(axis=1)
+        n = row[np.arange(len(a)), j]
+        more = n > out[:, 2]
+        out[more] = np.stack([i + 1 - n, j - n, n], axis=1)[more]
+    return out
 
 
 def overlap_of(a: Column, b: Column) -> Column:
-    """Struct (at_a, at_b, n) of the longest common substring of two columns."""
+    """Struct (at_a, at_b, n) of the longest common substring of two columns of sequences."""
 
     @F.pandas_udf("at_a INT, at_b INT, n INT")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([common_run(p or "", q or "") for p, q in zip(x, y, strict=True)], columns=["at_a", "at_b", "n"])
+        p, q, out = x.fillna("").tolist(), y.fillna("").tolist(), np.zeros((len(x), 3), np.int32)
+        order = np.argsort([len(s) * len(t) for s, t in zip(p, q, strict=True)], kind="stable")
+        for lo in range(0, len(order), 512):  # alike lengths together, so little is padded
+            part = order[lo : lo + 512]
+            out[part] = common_runs([p[i] for i in part], [q[i] for i in part])
+        return pd.DataFrame(out, columns=["at_a", "at_b", "n"])
 
     return run(a, b)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ligaquery.plans import attribute_sql
+
 READS = """
     docs AS (SELECT doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM documents),
     reads AS (SELECT doc_id, read_no::INT AS read_no, s[read_no * 150 + 1 : read_no * 150 + 150] AS seq
@@ -68,6 +70,29 @@ def oracle_sql() -> dict[str, str]:
         "f1_reverse_complement": f"WITH {READS} SELECT doc_id, read_no, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads",
         "t4_adapter_offsets": f"""WITH {READS}, offs AS (SELECT doc_id, read_no, seq, unnest(range(0, length(seq) - 6)) AS o FROM reads WHERE length(seq) >= 7)
             SELECT doc_id, read_no, min(o)::INT AS at FROM offs WHERE {hamming} <= 1 GROUP BY ALL""",
+        "t5_trimmed_reads": f"""WITH {READS}, offs AS (SELECT doc_id, read_no, seq, unnest(range(0, length(seq) - 6)) AS o FROM reads WHERE length(seq) >= 7),
+            hits AS (SELECT doc_id, read_no, min(o) AS first_at FROM offs WHERE {hamming} <= 1 GROUP BY ALL),
+            cut AS (SELECT doc_id, read_no, seq, q, coalesce(first_at, length(seq)) AS n FROM quals LEFT JOIN hits USING (doc_id, read_no))
+            SELECT doc_id, read_no, seq[1:n] AS seq, n::INT AS n FROM cut WHERE n >= 15 AND floor(list_sum(q[1:n]) / n) >= 20""",
+        "t9_window_trim": f"""WITH {READS} SELECT doc_id, read_no, (len(q) - 3 * list_filter(range(0, len(q) // 3 + 1),
+            lambda k: len(q) - 3 * k < 3 OR list_sum(q[len(q) - 3 * k - 2 : len(q) - 3 * k]) >= 75)[1])::INT AS stop FROM quals""",
+        "f10_segments": f"""WITH c AS (SELECT rec_no, pos, cigar, coalesce(try_cast(regexp_extract(cigar, '^([0-9]+)S', 1) AS INT), 0) AS head,
+                coalesce(try_cast(regexp_extract(cigar, '[^0-9]([0-9]+)S$', 1) AS INT), 0) AS tail FROM split_records WHERE pos IS NOT NULL AND cigar IS NOT NULL),
+            s AS (SELECT rec_no, 0::INT AS seg_no, pos AS strt, pos + {_span('cigar', 'MDN=X')} - 1 AS stop, head + 1 AS read_from, {_span('cigar', 'MIS=X')} - tail AS read_to FROM c)
+            SELECT * FROM s WHERE read_to - read_from + 1 >= 15""",
+        "f6_feature_names": attribute_sql.NAMES,
+        "w7_introns": attribute_sql.INTRONS,
+        "a16_junctions": attribute_sql.JUNCTIONS,
+        "a9_clusters": f"""WITH RECURSIVE {PAIRS},
+            ends AS (SELECT (a_refid, CASE WHEN a_flag & 16 <> 0 THEN '-' ELSE '+' END, a_pos, {_end('a')}) AS a, (b_refid, CASE WHEN b_flag & 16 <> 0 THEN '-' ELSE '+' END, b_pos, {_end('b')}) AS b
+                FROM pairs WHERE a_refid IS NOT NULL AND b_refid IS NOT NULL AND a_pos IS NOT NULL AND b_pos IS NOT NULL AND {_span('a_cigar', 'MDN=X')} > 0 AND {_span('b_cigar', 'MDN=X')} > 0),
+            box AS (SELECT row_number() OVER () AS v, least(a, b) AS x, greatest(a, b) AS y FROM ends),
+            link AS (SELECT p.v AS u, q.v AS v FROM box p JOIN box q ON p.x[1] = q.x[1] AND p.x[2] = q.x[2] AND p.y[1] = q.y[1] AND p.y[2] = q.y[2]
+                AND p.x[3] <= q.x[4] AND q.x[3] <= p.x[4] AND p.y[3] <= q.y[4] AND q.y[3] <= p.y[4]),
+            near(v, r) AS (SELECT v, u FROM link UNION SELECT l.v, n.r FROM near n JOIN link l ON l.u = n.v),
+            comp AS (SELECT v, min(r) AS root FROM near GROUP BY v)
+            SELECT any_value(x[1]) AS fst_ref, any_value(x[2]) AS fst_strand, min(x[3]) AS fst_strt, max(x[4]) AS fst_end, any_value(y[1]) AS sec_ref, any_value(y[2]) AS sec_strand,
+                min(y[3]) AS sec_strt, max(y[4]) AS sec_end, count(*) AS no_splits, max(x[4]) - min(x[3]) + 1 AS fst_len, max(y[4]) - min(y[3]) + 1 AS sec_len FROM box JOIN comp USING (v) GROUP BY root""",
         "pred4_record_filter": f"SELECT rec_no, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand FROM split_records WHERE flag & 4 = 0 AND mapq > 10 AND {_span('cigar', 'MIS=X')} > 15",
         "d4_cigar_spans": f"""SELECT rec_no, {_span('cigar', 'MIS=X')} AS read_span, {_span('cigar', 'MDN=X')} AS ref_span,
             len(regexp_extract_all(cigar, '[0-9]+[MIDNSHPX=]'))::INT AS n_ops FROM split_records""",

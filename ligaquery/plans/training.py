@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligaquery.operators import heavy_keys, hierarchy, packed, periods, quarantine
+from ligaquery.plans import attribute_sql
 from ligaquery.session import table
 
 VALUE_KEYS = ["alias", "dbxref", "ontology_term", "parent"]
@@ -98,6 +99,8 @@ def oracle_sql() -> dict[str, str]:
                 count(xc) AS n_xc, round(avg(xc), 6) AS mean_xc, min(xc) AS min_xc, max(xc) AS max_xc, count(xe) AS n_xe, round(avg(xe), 6) AS mean_xe, min(xe) AS min_xe, max(xe) AS max_xe
             FROM j GROUP BY ALL""",
         "p3_found": covered,
+        "p4_found": attribute_sql.TREE,
+        "p5_found": attribute_sql.VALUES,
         "p6_found": f"{checked} SELECT line_id, reason FROM c WHERE reason IS NOT NULL",
         "p6_features": f"""{checked} SELECT line_id, f[1] AS seqid, f[2] AS source, f[3] AS feat_type, f[4]::INT AS feat_strt, CASE WHEN {plain.format(i=5)} THEN try_cast(f[5] AS INT) END AS feat_end,
             try_cast(f[6] AS DOUBLE) AS score, f[7] AS strand, try_cast(f[8] AS INT) AS phase, f[9] AS attributes FROM c WHERE reason IS NULL""",

@@ -87,7 +87,11 @@ def test_merged_mates(spark):
     got = {r.read_id: r for r in preproc.merged(df, preproc.TrimParams()).collect()}
     assert got["a"].seq == full and got["a"].route == "merged" and len(got["a"].qual) == 80
     assert [got[k].route for k in "bcde"] == ["unmerged", "R1only", "dropped", "R2only"]
-    assert preproc.common_run("xabcy", "zabc") == (1, 1, 3) and preproc.common_run("", "a") == (0, 0, 0)
+    a = ["".join(rng.choices("ACG", k=rng.randint(0, 12))) for _ in range(60)]
+    b = ["".join(rng.choices("ACG", k=rng.randint(0, 12))) for _ in range(60)]
+    for p, q, (i, j, n) in zip(a, b, preproc.common_runs(a, b).tolist(), strict=True):
+        longest = max((k - h for h in range(len(p)) for k in range(h, len(p) + 1) if p[h:k] in q), default=0)
+        assert n == longest and p[i : i + n] == q[j : j + n]
 
 
 def test_cigar_segments(spark):
