@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The two 3' adapters of a common public sequencing kit.
 ADAPTERS = {"TruSeqRead1": "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", "TruSeqRead2": "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT"}
 
+MOST_PATTERNS = 64
+
 
 def clean(seq: Column) -> Column:
     """Upper case; every character but A, C, G, T becomes N."""
@@ -55,13 +60,18 @@ def occurrences(seq: Column, pattern: str) -> Column:
 def adapter_offset(seq: Column, adapter: str, mismatch_rate: float = 0.0) -> Column:
     """First 0-based offset where ``adapter`` lies whole with at most floor(length * rate) mismatches, else null.
 
-    Without mismatches it is one substring search. With k mismatches allowed, one of k + 1 equal
-    pieces of the adapter must match exactly, so only offsets that such a piece gives are compared.
+    Without mismatches it is one substring search. With k mismatches allowed it is one pattern with
+    k free places if these are few; else one of k + 1 equal pieces of the adapter must match
+    exactly, so only offsets that such a piece gives are compared.
     """
     n, k = len(adapter), int(len(adapter) * mismatch_rate)
     if k == 0:
         at = F.instr(seq, adapter)
         return F.when(at > 0, at - 1)
+    if comb(n, k) <= MOST_PATTERNS:
+        loose = "|".join("".join("." if i in free else b for i, b in enumerate(adapter)) for free in combinations(range(n), k))
+        at = F.regexp_instr(seq, F.lit(loose))
+        return F.when(at > 0, at - 1)
     cuts = [i * n // (k + 1) for i in range(k + 2)]
     moved = lambda a: lambda o: o - a
     seeds = [F.transform(occurrences(seq, adapter[a:b]), moved(a)) for a, b in zip(cuts, cuts[1:], strict=False)]

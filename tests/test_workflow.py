@@ -62,6 +62,17 @@ def test_adapters(spark):
     assert [r[0] for r in df.select(seq.trim_3(F.col("s"), seq.ADAPTERS, 0.1)).collect()] == [9, 8, 22, 0, None, 300]
 
 
+def test_adapters_with_mismatches_random(spark):
+    rng = random.Random(12)
+    reads = ["".join(rng.choices("ACGT", k=rng.randint(0, 60))) for _ in range(120)]
+    df = spark.createDataFrame([(r,) for r in reads], "s STRING")
+    for a, rate in (("AGATCGG", 0.15), ("AGATCGGAA", 0.34)):
+        k = int(len(a) * rate)
+        for r, at in df.select("s", seq.adapter_offset(F.col("s"), a, rate)).collect():
+            want = [o for o in range(len(r) - len(a) + 1) if sum(x != y for x, y in zip(r[o:], a, strict=False)) <= k]
+            assert at == (want[0] if want else None)
+
+
 def test_window_trim_and_quality(spark):
     rng = random.Random(4)
     quals = ["".join(chr(33 + rng.choice([2, 30])) for _ in range(rng.randint(0, 20))) for _ in range(60)]
