@@ -118,19 +118,18 @@ def duplex_energy(a: str, b: str) -> float | None:
     An approximation from published stacking energies, not a folding program. None without two
     neighbouring pairs.
     """
-    y = b[::-1]
-    pair = np.array([[p + q in PAIRS for q in y] for p in a], bool).reshape(len(a), len(y))
-    best, e = np.inf, np.full(pair.shape, np.inf)
-    for i in range(len(a)):
-        for j in np.flatnonzero(pair[i]):
-            e[i, j] = INITIATION
-            if i and j:
-                if np.isfinite(e[i - 1, j - 1]):
-                    plain = {a[i - 1] + y[j - 1], a[i] + y[j]} <= {"AT", "TA", "GC", "CG"}
-                    e[i, j] = min(e[i, j], e[i - 1, j - 1] + (STACKS[a[i - 1 : i + 1]] if plain else WOBBLE_STACK))
-                near = e[max(0, i - MAX_LOOP) : i, max(0, j - MAX_LOOP) : j]
-                e[i, j] = min(e[i, j], near.min() + LOOP)
-            best = min(best, e[i, j])
+    x, y = _CODE[np.frombuffer(a.encode("ascii", "replace"), np.uint8)], _CODE[np.frombuffer(b[::-1].encode("ascii", "replace"), np.uint8)]
+    pair, strong = _SCORE[x[:, None], y[None, :]] == 1, (x[:, None] + y[None, :] == 3) & (x[:, None] < 4)
+    e = np.full((len(x) + MAX_LOOP, len(y) + MAX_LOOP), np.inf)  # a border saves the edge cases
+    for i in range(len(x)):
+        rows = e[i : i + MAX_LOOP].min(axis=0)
+        loop = np.min([rows[k : k + len(y)] for k in range(MAX_LOOP)], axis=0) + LOOP
+        stack = e[i + MAX_LOOP - 1, MAX_LOOP - 1 : -1].copy()
+        if i:
+            both = np.concatenate(([False], strong[i - 1, :-1])) & strong[i]
+            stack += np.where(both, STACKS.get(a[i - 1 : i + 1], WOBBLE_STACK), WOBBLE_STACK)
+        e[i + MAX_LOOP, MAX_LOOP:] = np.where(pair[i], np.minimum(np.minimum(stack, loop), INITIATION), np.inf)
+    best = e.min()
     return float(best) if best < INITIATION else None
 
 

@@ -274,11 +274,24 @@ def f17_complementarity(spark, sf_dir):
     return scored.where("r.length IS NOT NULL").select("doc_id", "pair_no", "r.*")
 
 
+def f18_energies(spark, sf_dir):
+    """Energy of the complementary parts, computed only for pairs that pass the complementarity cutoff; at most 0."""
+    bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    c = f17_complementarity(spark, sf_dir).select("doc_id", "pair_no", alignment.hybridisation_energy(F.reverse(bare("aln_a")), bare("aln_b")).alias("energy"))
+    return c.where("energy <= 0").select("doc_id", "pair_no", F.round("energy", 4).alias("energy"))
+
+
+def pred11_routes(spark, sf_dir):
+    """Where each read goes: single (no pair), splits (one) or multsplits (several)."""
+    per = records(spark, sf_dir).where("qname IS NOT NULL").groupBy("sample_idx", "qname").agg(F.floor(F.count(F.lit(1)) / 2).alias("n_pairs"))
+    return per.select("sample_idx", "qname", "n_pairs", F.when(F.col("n_pairs") == 0, "single").when(F.col("n_pairs") == 1, "splits").otherwise("multsplits").alias("route"))
+
+
 QUERIES = (
     pred1_read_filter, f1_reverse_complement, t4_adapter_offsets, t5_trimmed_reads, t9_window_trim, f12_merged_mates, pred4_record_filter, d4_cigar_spans, f10_segments,
     a2_sample_counters, k8_stats, a17_replicates, j7_record_pairs, pred8_distinct_segments, f6_feature_names, w7_introns, a16_junctions, j4_spliced_pairs, j3_overlaps,
     a4_feature_frequency, pred20_resolved_segments, j5_unannotated, a9_clusters, a5_frequencies, f22_interactions, a6_support, f19_p_values, a14_combined_p,
-    k6_condition_counts, k7_graph_nodes, k7_graph_edges, f17_complementarity,
+    k6_condition_counts, k7_graph_nodes, k7_graph_edges, f17_complementarity, f18_energies, pred11_routes,
 )
 
 

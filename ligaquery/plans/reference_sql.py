@@ -97,6 +97,8 @@ def oracle_sql() -> dict[str, str]:
         "d4_cigar_spans": f"""SELECT rec_no, {_span('cigar', 'MIS=X')} AS read_span, {_span('cigar', 'MDN=X')} AS ref_span,
             len(regexp_extract_all(cigar, '[0-9]+[MIDNSHPX=]'))::INT AS n_ops FROM split_records""",
         "a2_sample_counters": COUNTERS,
+        "pred11_routes": """SELECT sample_idx, qname, count(*) // 2 AS n_pairs, CASE count(*) // 2 WHEN 0 THEN 'single' WHEN 1 THEN 'splits' ELSE 'multsplits' END AS route
+            FROM split_records WHERE qname IS NOT NULL GROUP BY ALL""",
         "k8_stats": f"""SELECT l.sample_idx, grp, label, coalesce(reads, 0) AS reads, coalesce(records, 0) AS records, coalesce(splits, 0) AS splits, coalesce(multsplits, 0) AS multsplits
             FROM ({LABELS}) l LEFT JOIN ({COUNTERS}) c USING (sample_idx)""",
         "a17_replicates": f"SELECT sample_idx, grp, cond_name, replicate_no, label FROM ({LABELS})",

@@ -185,6 +185,17 @@ def test_partner_resolution(spark):
     assert abs(sum(r.share for r in interactions.frequencies(p).collect()) - 1) < 1e-12
 
 
+def test_wide_counts_and_combination(spark):
+    t = spark.createDataFrame([("a", "sense", "b", "sense", i, 6 + i, 0.01 * (i + 1)) for i in range(2)], "fst_rna STRING, fst_ori STRING, sec_rna STRING, sec_ori STRING, sample_idx INT, supp_reads BIGINT, pval DOUBLE")
+    s = spark.createDataFrame([(0, "ctrls", None), (1, "trtms", "x"), (2, "trtms", "x"), (3, "trtms", "X")], "sample_idx INT, grp STRING, cond_name STRING")
+    row = interactions.wide_counts(t, s).first().asDict()
+    assert [row[k] for k in ("ctrls_na_001", "trtms_x_001", "trtms_x_002", "trtms_X_001")] == [6, 7, 0, 0]
+    got = {(r.grp, r.cond_name): (r.n_supported, r.padj) for r in interactions.combined_p(t, s).collect()}
+    assert got["ctrls", None][1] == __import__("pytest").approx(0.01)
+    h = -math.log(min(1, 0.02 * 2))
+    assert got["trtms", "x"] == (1, __import__("pytest").approx(math.exp(-h) * (1 + h)))
+
+
 def test_params():
     p = load_params("[detect]\nquality = 30 # x\nmmrate=0.2\n# minlen = 3\nother = 1\n", minlen=7)
     assert (p.quality, p.mmrate, p.minlen, p.wsize) == (30, 0.2, 7, 3)
