@@ -182,6 +182,7 @@ def test_truncated(spark):
         2007: HEAD + "Could you rename the budget this morning?\n\nBest,\nAna",
         2008: HEAD + "x" * 200_000 + ".",
         2009: HEAD,
+        2010: "Content-Transfer-Encoding: base64\n\nCould you rename the poster this morning?",
     }
     extra = [(i, t, "s1") for i, t in {**cut, **fine}.items()] + [(1001, cut[1001], "s2")]
     df = spark.createDataFrame(rows + extra, "doc_id BIGINT, text STRING, source STRING").withColumn("body", F.lit("clash")).withColumn("id", F.lit(1))
