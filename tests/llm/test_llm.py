@@ -168,6 +168,7 @@ def test_truncated(spark):
         1003: multi,
         1004: "Content-Transfer-Encoding: base64\n\n" + b64[:-3],
         1005: "Content-Transfer-Encoding: quoted-printable\n\nCould you rename the server this morning=",
+        1009: "Content-Transfer-Encoding: base64\n\n" + b64[:12] + "...",
         1006: HEAD + "I would rather check the ...",
         1007: "From: a@x.example\nSubj",
         1008: HEAD + "Could you rename the �",
