@@ -7,7 +7,9 @@ text is joined:
 
 * cut in a sentence: the trigram goes on in other texts, again and again, and all but never stops;
 * cut in a word or number: in the same place other texts hold, again and again, a longer word that
-  begins with the last one, and all but never that last one itself.
+  begins with the last one, and all but never that last one itself;
+* cut in a word after a rare context: the last word, or the part of an address from its @ on, stands
+  inside no text at all, but again and again begins words that do.
 
 Texts that end where many of their source end (a field limit, in characters, bytes or characters
 of the body) and whose cut is shown by the above in most of that group are cut as well. Encoded
@@ -27,6 +29,8 @@ MIN_INSIDE, MIN_LONGER, MAX_STOPS = 20, 10, 0.02
 #: A length is a limit of its source if so many texts of that length are shown to be cut, so large a
 #: share of the texts of that length, and so large a share of the source's texts shown to be cut.
 MIN_AT_LIMIT, MIN_SHARE, MIN_OF_SOURCE = 3, 0.5, 0.05
+#: Beginnings of words are joined by so many characters; longer ones are compared after the join.
+PREFIX = 40
 STOP = "¶"
 #: Marks that some systems put where they cut.
 TAIL = 60  # characters at the end in which marks and end signs are looked for
@@ -86,6 +90,28 @@ def _final(toks: Column) -> dict[str, Column]:
     return {f"__f{k}": F.coalesce(F.when(last >= 2 - k, F.get(toks, last - 2 + k)), F.lit(STOP)) for k in range(3)}
 
 
+def _from_at(word: Column) -> Column:
+    return F.substr(word, F.instr(word, "@"))
+
+
+def never_words(rows: DataFrame) -> DataFrame:
+    """(n_): final words of unended texts that stand inside no text, but begin words that do; of an address also the part from the @ on.
+
+    Words count once a text. Unended final words don't count as words, as they may be cut themselves.
+    """
+    inner = F.slice("toks", F.lit(1), F.size("toks") - F.when(F.col("open_word").isNull(), 0).otherwise(1))
+    inner = F.array_union(inner, F.transform(F.filter(inner, lambda w: w.contains("@")), _from_at))
+    known = rows.where("size(toks) > 0").select(F.explode(inner).alias("w")).where(F.col("w") != STOP).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    last = rows.where("open_word IS NOT NULL AND NOT closed_part").select(F.col("open_word").alias("n_")).distinct()
+    unit = last.select("n_", F.explode(F.when(F.col("n_").contains("@"), F.array("n_", _from_at(F.col("n_")))).otherwise(F.array("n_"))).alias("c")).where("c <> '@'")
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(PREFIX))), lambda k: F.substr("w", F.lit(1), k))
+    units = small(unit.select("c").distinct().withColumn("key", F.substring("c", F.lit(1), F.lit(PREFIX))))
+    met = known.select("w", "n", F.explode(begins).alias("k")).join(units, (F.col("k") == F.col("key")) & F.startswith("w", "c"))
+    own = F.col("w") == F.col("c")
+    facts = met.groupBy("c").agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own"), F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("longer"))
+    return unit.join(facts.where((F.col("own") == 0) & (F.col("longer") >= MIN_LONGER)), "c").select("n_").distinct()
+
+
 def judged(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
     """(row_id, source, is_cut) for each row.
 
@@ -101,6 +127,7 @@ def judged(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
     toks = words(F.when(F.col("t").isNotNull(), F.when(marked, bare).otherwise(F.col("body"))))
     ended = F.coalesce(tail.rlike(r"([.?!]|[。！？]|\n)\s*$"), F.lit(False)) & ~marked
     rows = rows.select("id", "src", F.length("t").alias("n_chars"), F.octet_length("t").alias("n_bytes"), "body_chars", "open_part", "closed_part", ended.alias("ended"), F.coalesce(toks, F.array().cast("array<string>")).alias("toks"))
+    rows = rows.withColumn("open_word", F.when(~F.col("ended") & (F.get("toks", F.size("toks") - 1) != STOP), F.get("toks", F.size("toks") - 1)))
     rows = cut(rows)
     rows = rows.select("*", *(c.alias(k) for k, c in _final(F.col("toks")).items()))
 
@@ -123,11 +150,11 @@ def judged(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
         *(F.sum(F.when(own, F.col(x)).otherwise(0)).alias(x) for x in ("inside", "stops", "ends")),
         F.sum(F.when(~own, F.col("inside") + F.col("stops")).otherwise(0)).alias("longer"),
     )
-    joined = rows.drop("toks").join(facts, ["__f0", "__f1", "__f2"], "left")
+    joined = rows.drop("toks").join(facts, ["__f0", "__f1", "__f2"], "left").join(small(never_words(rows)), F.col("open_word") == F.col("n_"), "left")
     others = F.greatest(F.col("stops") + F.col("ends") - 1, F.lit(0))  # without this text's own end
     in_sentence = (F.col("inside") >= MIN_INSIDE) & (others <= MAX_STOPS * F.col("inside"))
     in_word = (F.col("longer") >= MIN_LONGER) & (F.col("inside") + others <= MAX_STOPS * F.col("longer"))
-    shown = F.col("open_part") | (~F.col("closed_part") & F.coalesce(in_sentence | in_word, F.lit(False)))
+    shown = F.col("open_part") | (~F.col("closed_part") & (F.col("n_").isNotNull() | F.coalesce(in_sentence | in_word, F.lit(False))))
     rows = cut(joined.select("id", "src", "n_chars", "n_bytes", "body_chars", "closed_part", "ended", F.coalesce(shown, F.lit(False)).alias("shown")))
 
     sizes = F.array(*(F.struct(F.lit(m).alias("unit"), F.col(m).cast("bigint").alias("size")) for m in ("n_chars", "n_bytes", "body_chars")))

@@ -204,3 +204,13 @@ def test_limit_of_a_source(spark):
     rows += [(6000, (HEAD + "Zqx " * 200)[:n], "short")]
     found = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING"), "doc_id", "text", "source").collect()}
     assert 6000 in found and not [x for x in found if x < 5000]
+
+
+def test_cut_in_a_word_after_a_rare_context(spark):
+    """A word or an address that breaks off behind words met nowhere else; a rare whole word or address is none."""
+    rows = [(i, t, "s1") for i, t, _ in corpus()] + [(5000 + i, HEAD + f"Ask w{chr(97 + i)}x today or n{chr(97 + i)}n@fjarn.invalid soon.", "s1") for i in range(20)]
+    cut = {1: "Zunur calls hquarik@fjarn.inva", 2: "Zunur calls lregor@fj", 3: "Zunur likes serv", 4: "Brarik likes serv"}
+    fine = {11: "Zunur calls hquarik@fjarn.invalid", 12: "Zunur likes server", 13: "Zunur likes Quorvex", 14: "Zunur calls me@"}
+    rows += [(i, HEAD + t, "s2") for i, t in {**cut, **fine}.items()]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    assert sorted(r.doc_id for r in truncation.truncated(df, "doc_id", "text", "source").collect()) == sorted(cut)
