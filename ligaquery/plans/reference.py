@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar, seq
-from ligaquery.operators import alignment, clustering, interactions as ia, packed, preproc
+from ligaquery.operators import alignment, annotation, clustering, interactions as ia, packed, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.session import small, table
 
@@ -165,10 +165,10 @@ def j4_spliced_pairs(spark, sf_dir):
     return bins.join(introns.withColumn("i_bin", F.floor(F.col("strt") / 1024)), (F.col("refname") == F.col("i_seqid")) & (F.col("bin") == F.col("i_bin")) & near, "left_semi").select("a_rec_no").distinct()
 
 
-def _overlaps(spark, sf_dir):
+def _overlaps(spark, sf_dir, feats=None):
     names = small(table(spark, sf_dir, "contigs").select("refid", "refname"))
     segs = table(spark, sf_dir, "segments").select("seg_no", "sample_idx", "refid", "flag", "seg_strt", "seg_end").join(names, "refid")
-    feats = _features(spark, sf_dir).select("feat_no", "seqid", F.col("strand").alias("f_strand"), F.col("feat_strt").cast("bigint").alias("feat_strt"), F.col("feat_end").cast("bigint").alias("feat_end"))
+    feats = _features(spark, sf_dir).select("feat_no", "seqid", F.col("strand").alias("f_strand"), F.col("feat_strt").cast("bigint").alias("feat_strt"), F.col("feat_end").cast("bigint").alias("feat_end")) if feats is None else feats
     met = interval_join(segs, feats, [("refname", "seqid")], ("seg_strt", "seg_end"), ("feat_strt", "feat_end"))
     return met.withColumn("orientation", F.when(_strand("flag") == F.col("f_strand"), "sense").otherwise("antisense"))
 
@@ -179,16 +179,24 @@ def j3_overlaps(spark, sf_dir):
 
 def a4_feature_frequency(spark, sf_dir):
     """Per sample, orientation and feature: each segment gives 1 in all to the features it overlaps."""
-    met = _overlaps(spark, sf_dir).select("seg_no", "sample_idx", "feat_no", "orientation")
+    return _frequency(_overlaps(spark, sf_dir))
+
+
+def _frequency(overlaps, feature="feat_no"):
+    met = overlaps.select("seg_no", "sample_idx", feature, "orientation")
     n = met.groupBy(F.col("seg_no").alias("s_")).agg(F.count(F.lit(1)).alias("n"))
-    return met.join(n, F.col("seg_no") == F.col("s_")).groupBy("sample_idx", "orientation", "feat_no").agg(F.round(F.sum(1 / F.col("n")), 6).alias("f"))
+    return met.join(n, F.col("seg_no") == F.col("s_")).groupBy("sample_idx", "orientation", feature).agg(F.round(F.sum(1 / F.col("n")), 6).alias("f"))
 
 
 def pred20_resolved_segments(spark, sf_dir):
     """The only sense feature of each segment, else its only antisense one."""
+    return _resolved(_overlaps(spark, sf_dir))
+
+
+def _resolved(overlaps, feature="feat_no"):
     sense = F.col("orientation") == "sense"
-    per = _overlaps(spark, sf_dir).groupBy("seg_no").agg(F.count_if(sense).alias("s"), F.count_if(~sense).alias("a"), F.max(F.when(sense, F.col("feat_no"))).alias("sf"), F.max(F.when(~sense, F.col("feat_no"))).alias("af"))
-    return per.where("s = 1 OR a = 1").select("seg_no", F.when(F.col("s") == 1, F.col("sf")).otherwise(F.col("af")).alias("feat_no"), F.when(F.col("s") == 1, "sense").otherwise("antisense").alias("orientation"))
+    per = overlaps.groupBy("seg_no").agg(F.count_if(sense).alias("s"), F.count_if(~sense).alias("a"), F.max(F.when(sense, F.col(feature))).alias("sf"), F.max(F.when(~sense, F.col(feature))).alias("af"))
+    return per.where("s = 1 OR a = 1").select("seg_no", F.when(F.col("s") == 1, F.col("sf")).otherwise(F.col("af")).alias(feature), F.when(F.col("s") == 1, "sense").otherwise("antisense").alias("orientation"))
 
 
 def j5_unannotated(spark, sf_dir):
@@ -208,6 +216,38 @@ def a9_clusters(spark, sf_dir):
     return clustering.cluster_pairs(_pairs(spark, sf_dir).select(*side("a"), *side("b")))
 
 
+# ---- features and unannotated clusters ----
+
+
+def u2_annotation(spark, sf_dir):
+    """Features, widened by clusters of their strand, and the clusters that meet none as new features."""
+    names = table(spark, sf_dir, "contigs").select("refid", "refname")
+    name = lambda s: small(names.select(F.col("refid").alias(f"{s}_ref"), F.col("refname").alias(f"{s}_name")))
+    c = a9_clusters(spark, sf_dir).join(name("fst"), "fst_ref").join(name("sec"), "sec_ref")
+    c = c.withColumns({"fst_ref": F.col("fst_name"), "sec_ref": F.col("sec_name")})
+    feats = _features(spark, sf_dir).select(F.col("feat_no").cast("string").alias("feature"), "seqid", "strand", F.col("feat_strt").cast("bigint").alias("feat_strt"), F.col("feat_end").cast("bigint").alias("feat_end"))
+    return annotation.with_clusters(feats, c)
+
+
+def _annotated(spark, sf_dir):
+    return _overlaps(spark, sf_dir, u2_annotation(spark, sf_dir).withColumnRenamed("strand", "f_strand"))
+
+
+def j5_overlaps(spark, sf_dir):
+    """j3_overlaps over u2_annotation."""
+    return _annotated(spark, sf_dir).select("seg_no", "feature", "orientation")
+
+
+def j5_feature_frequency(spark, sf_dir):
+    """a4_feature_frequency over u2_annotation."""
+    return _frequency(_annotated(spark, sf_dir), "feature")
+
+
+def j5_resolved_segments(spark, sf_dir):
+    """pred20_resolved_segments over u2_annotation."""
+    return _resolved(_annotated(spark, sf_dir), "feature")
+
+
 # ---- interactions ----
 
 
@@ -290,7 +330,7 @@ def pred11_routes(spark, sf_dir):
 QUERIES = (
     pred1_read_filter, f1_reverse_complement, t4_adapter_offsets, t5_trimmed_reads, t9_window_trim, f12_merged_mates, pred4_record_filter, d4_cigar_spans, f10_segments,
     a2_sample_counters, k8_stats, a17_replicates, j7_record_pairs, pred8_distinct_segments, f6_feature_names, w7_introns, a16_junctions, j4_spliced_pairs, j3_overlaps,
-    a4_feature_frequency, pred20_resolved_segments, j5_unannotated, a9_clusters, a5_frequencies, f22_interactions, a6_support, f19_p_values, a14_combined_p,
+    a4_feature_frequency, pred20_resolved_segments, j5_unannotated, a9_clusters, u2_annotation, j5_overlaps, j5_feature_frequency, j5_resolved_segments, a5_frequencies, f22_interactions, a6_support, f19_p_values, a14_combined_p,
     k6_condition_counts, k7_graph_nodes, k7_graph_edges, f17_complementarity, f18_energies, pred11_routes,
 )
 

@@ -170,6 +170,19 @@ def test_clusters(spark):
     assert got == want
 
 
+def test_unannotated_clusters(spark):
+    """Clusters that meet no feature become features, those of a feature's strand widen it."""
+    from ligaquery.operators.annotation import with_clusters
+
+    feats = spark.createDataFrame([("1", "A", "+", 100, 200), ("2", "A", "-", 150, 160), ("3", "B", None, None, None)], "feature STRING, seqid STRING, strand STRING, feat_strt BIGINT, feat_end BIGINT")
+    rows = [("A", "+", 190, 220, "B", "+", 10, 20, 2), ("A", "-", 90, 105, "B", "+", 15, 30, 3), ("A", "+", 900, 910, "B", "-", 15, 30, 1), ("A", "-", 500, 510, "B", "+", 31, 40, 2)]
+    clusters = spark.createDataFrame(rows, "fst_ref STRING, fst_strand STRING, fst_strt BIGINT, fst_end BIGINT, sec_ref STRING, sec_strand STRING, sec_strt BIGINT, sec_end BIGINT, no_splits BIGINT")
+    got = {tuple(r) for r in with_clusters(feats, clusters).collect()}
+    new = [("A", "-", 500, 510), ("B", "+", 10, 30), ("B", "+", 31, 40)]
+    assert got == {("1", "A", "+", 100, 220, False), ("2", "A", "-", 150, 160, False), ("3", "B", None, None, None, False)} | {(f"cluster:{a}:{b}:{c}-{d}", a, b, c, d, True) for a, b, c, d in new}
+    assert {r.feature for r in with_clusters(feats, clusters.limit(0)).collect()} == {"1", "2", "3"}
+
+
 def test_chain_component(spark):
     v = spark.createDataFrame([(i,) for i in range(40)], "v BIGINT")
     e = spark.createDataFrame([(i, i + 1) for i in range(29)], "u BIGINT, v BIGINT")
