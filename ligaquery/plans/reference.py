@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar, seq
-from ligaquery.operators import alignment, annotation, clustering, interactions as ia, packed, preproc
+from ligaquery.operators import alignment, annotation, clustering, detect, interactions as ia, packed, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.session import small, table
 
@@ -165,6 +165,21 @@ def j4_spliced_pairs(spark, sf_dir):
     return bins.join(introns.withColumn("i_bin", F.floor(F.col("strt") / 1024)), (F.col("refname") == F.col("i_seqid")) & (F.col("bin") == F.col("i_bin")) & near, "left_semi").select("a_rec_no").distinct()
 
 
+def _detected(spark, sf_dir):
+    names = small(table(spark, sf_dir, "contigs").select("refid", F.col("refname").alias("seqid")))
+    return detect.pairs(records(spark, sf_dir), w7_introns(spark, sf_dir).join(names, "seqid").select("refid", "strt", "stop").distinct())
+
+
+def j2_segment_pairs(spark, sf_dir):
+    """All pairs of segments of one record, kept together at annotated introns, whose read ranges do not overlap."""
+    return _detected(spark, sf_dir)
+
+
+def pred6_detected_routes(spark, sf_dir):
+    """Where each read goes by its pairs of j2_segment_pairs."""
+    return detect.routes(records(spark, sf_dir), _detected(spark, sf_dir))
+
+
 def _overlaps(spark, sf_dir, feats=None):
     names = small(table(spark, sf_dir, "contigs").select("refid", "refname"))
     segs = table(spark, sf_dir, "segments").select("seg_no", "sample_idx", "refid", "flag", "seg_strt", "seg_end").join(names, "refid")
@@ -329,7 +344,7 @@ def pred11_routes(spark, sf_dir):
 
 QUERIES = (
     pred1_read_filter, f1_reverse_complement, t4_adapter_offsets, t5_trimmed_reads, t9_window_trim, f12_merged_mates, pred4_record_filter, d4_cigar_spans, f10_segments,
-    a2_sample_counters, k8_stats, a17_replicates, j7_record_pairs, pred8_distinct_segments, f6_feature_names, w7_introns, a16_junctions, j4_spliced_pairs, j3_overlaps,
+    a2_sample_counters, k8_stats, a17_replicates, j7_record_pairs, pred8_distinct_segments, f6_feature_names, w7_introns, a16_junctions, j4_spliced_pairs, j2_segment_pairs, pred6_detected_routes, j3_overlaps,
     a4_feature_frequency, pred20_resolved_segments, j5_unannotated, a9_clusters, u2_annotation, j5_overlaps, j5_feature_frequency, j5_resolved_segments, a5_frequencies, f22_interactions, a6_support, f19_p_values, a14_combined_p,
     k6_condition_counts, k7_graph_nodes, k7_graph_edges, f17_complementarity, f18_energies, pred11_routes,
 )

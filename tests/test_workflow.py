@@ -170,6 +170,26 @@ def test_clusters(spark):
     assert got == want
 
 
+def test_detect(spark):
+    """Three segments give three pairs; an annotated intron joins two; a record with one piece ends its read."""
+    from ligaquery.operators import detect
+
+    a, b = "AGGGGTCTTTCCGTCTTGCCGCGGGTACACTGCATCTTCACAGCGAGTTCAA", "TTCGATCAAGAAGAAC"
+    rows = [
+        (1, 0, "three", 0, 1, 100, 60, "20M50N20M70N5S20M", 3, "A" * 65), (2, 0, "spliced", 0, 1, 500, 60, "20M102N20M60N20M", 3, "A" * 60), (3, 0, "stops", 0, 1, 100, 60, "20M50N20M", 2, "A" * 40), (4, 0, "stops", 0, 1, 100, 60, "40M", 1, "A" * 40),
+        (5, 0, "stops", 0, 1, 100, 60, "20M50N20M", 2, "A" * 40), (6, 0, "one", 0, 1, 100, 60, "40M", 1, "A" * 40), (7, 0, "short", 0, 1, 100, 60, "20M50N14M", 2, "A" * 34), (8, 0, "low", 0, 1, 100, 3, "20M50N20M", 2, "A" * 40), (9, 0, None, 0, 1, 100, 60, "20M50N20M", 2, "A" * 40),
+        (10, 0, "golden", 0, 1, 100, 60, f"{len(a)}M50N{len(b)}M", 2, a + b),
+    ]
+    df = spark.createDataFrame(rows, "rec_no BIGINT, sample_idx INT, qname STRING, flag INT, refid INT, pos BIGINT, mapq INT, cigar STRING, xj INT, seq STRING")
+    introns = spark.createDataFrame([(1, 523, 620), (2, 120, 169)], "refid INT, strt BIGINT, stop BIGINT")
+    found = detect.pairs(df.drop("seq"), introns)
+    got = Counter((r.qname, r.rec_no, r.a_strt, r.a_stop, r.b_read_from, r.b_read_to) for r in found.collect())
+    assert got == Counter([("three", 1, 100, 119, 21, 40), ("three", 1, 100, 119, 46, 65), ("three", 1, 170, 189, 46, 65), ("spliced", 2, 500, 641, 41, 60), ("stops", 3, 100, 119, 21, 40), ("golden", 10, 100, 99 + len(a), len(a) + 1, len(a) + len(b))])
+    assert {r.qname: (r.n_pairs, r.route) for r in detect.routes(df, found).collect()} == {"three": (3, "multsplits"), "spliced": (1, "splits"), "stops": (1, "splits"), "one": (0, "single"), "short": (0, "none"), "low": (0, "none"), "golden": (1, "splits")}
+    scored = detect.pairs(df, introns, min_ratio=0.0, max_energy=99.0).collect()
+    assert [(r.qname, r.cmpl.aln_a, r.cmpl.aln_b) for r in scored] == [("golden", "TTTCTGG", "GAAGAAC")]
+
+
 def test_unannotated_clusters(spark):
     """Clusters that meet no feature become features, those of a feature's strand widen it."""
     from ligaquery.operators.annotation import with_clusters
