@@ -324,3 +324,25 @@ def test_stream_counts(spark, tmp_path):
     q.awaitTermination(90)
     got = sorted((str(r.day), r.sample_idx, r.partner, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("2024-01-01", 0, "a", 2), ("2024-01-02", 1, "b", 1)]
+
+
+def test_stream_counts_every_row(spark, tmp_path):
+    """Late rows and the newest days are counted, whatever the number of files in a batch."""
+    import datetime as dt
+    import os
+
+    from ligaquery.streaming import partner_counts as pc
+
+    stamps = [dt.datetime(2025, 7, 1, 5), dt.datetime(2023, 4, 1, 5), dt.datetime(2024, 1, 1, 5), dt.datetime(2023, 4, 1, 6)]
+    for i, at in enumerate(stamps):  # newest first
+        df = spark.createDataFrame([(0, "a", at), (0, ".", at), (0, "a", None)], "sample_idx INT, partner STRING, annotated_at TIMESTAMP")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if f.name[:2] != "f_":
+                os.rename(f, f.with_name(f"f_{i}.parquet"))
+                os.utime(f.with_name(f"f_{i}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    for n in (1, 100):
+        for _ in range(2):  # the second start finds nothing new
+            pc.start_all(pc.landing(spark, str(tmp_path / "in"), df, n), str(tmp_path / f"out{n}"), str(tmp_path / f"cp{n}")).awaitTermination(60)
+        got = sorted((str(r.day), r.sample_idx, r.partner, r.n) for r in pc.totals(spark, str(tmp_path / f"out{n}")).collect())
+        assert got == [("2023-04-01", 0, "a", 2), ("2024-01-01", 0, "a", 1), ("2025-07-01", 0, "a", 1)]
