@@ -27,7 +27,10 @@ class _Range(InputPartition):
 
 
 class FastqSource(DataSource):
-    """``fastq``: (file, read_id, seq, qual); plain files are split by bytes, gzip files are not."""
+    """``fastq``: (file, read_id, seq, qual); plain files are split by bytes, gzip files are not.
+
+    Blank lines between records are skipped; where a record should be and none can be recognised, the read fails.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -40,6 +43,11 @@ class FastqSource(DataSource):
         return _FastqReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
 
 
+def _is_record(lines: list[bytes]) -> bool:
+    """A record begins with @, has + two lines on, and sequence and quality of one length."""
+    return lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1].strip()) == len(lines[3].strip())
+
+
 class _FastqReader(DataSourceReader):
     def __init__(self, path: str, split: int) -> None:
         self.path, self.split = path, split
@@ -54,31 +62,42 @@ class _FastqReader(DataSourceReader):
                 out += [_Range(f, a, min(n, a + self.split)) for a in range(0, n, self.split)]
         return out or [_Range("", 0, 0)]
 
+    @staticmethod
+    def _first(f, at: int, part: _Range) -> int:
+        """Where the first record of a split begins, from the line start ``at``; the split's end if none does."""
+        ahead: list[bytes] = []
+        passed = 0
+        while at < part.end:
+            ahead += [f.readline() for _ in range(4 - len(ahead))]
+            if not ahead[0]:
+                break
+            if _is_record(ahead):
+                return at
+            passed += bool(ahead[0].strip())
+            if passed > 3:  # at most three lines belong to a record begun before
+                raise ValueError(f"{part.path}: no FASTQ record can be recognised before byte {at}: {ahead[0][:60]!r}")
+            at += len(ahead.pop(0))
+        return part.end
+
     def read(self, part: _Range) -> Iterator[tuple]:
         if not part.path:
             return
         with gzip.open(part.path, "rb") if part.path.endswith(".gz") else open(part.path, "rb") as f:
             at = part.begin
-            f.seek(at)
-            lines: list[bytes] = []
             if at:
                 f.seek(at - 1)
-                at += len(f.readline()) - 1
-                # a record begins with @, has + two lines on, and sequence and quality of one length
-                ahead, starts = [], []
-                for _ in range(7):
-                    starts.append(at)
-                    ahead.append(f.readline())
-                    at += len(ahead[-1])
-                k = next((i for i in range(4) if ahead[i][:1] == b"@" and ahead[i + 2][:1] == b"+" and len(ahead[i + 1].strip()) == len(ahead[i + 3].strip())), None)
-                if k is None:
-                    return
-                at = starts[k]
+                at = self._first(f, at + len(f.readline()) - 1, part)
                 f.seek(at)
             while part.end is None or at < part.end:
-                lines = [f.readline() for _ in range(4)]
-                if not lines[0].strip():
+                head = f.readline()
+                if not head:
                     return
+                if not head.strip():  # blank lines between records
+                    at += len(head)
+                    continue
+                lines = [head, *(f.readline() for _ in range(3))]
+                if not _is_record(lines):
+                    raise ValueError(f"{part.path}: no FASTQ record at byte {at}: {head[:60]!r}")
                 at += sum(map(len, lines))
                 rid, seq, _, qual = (x.decode("ascii", "replace").strip() for x in lines)
                 yield part.path, rid[1:], seq, qual

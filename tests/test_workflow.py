@@ -346,3 +346,28 @@ def test_stream_counts_every_row(spark, tmp_path):
             pc.start_all(pc.landing(spark, str(tmp_path / "in"), df, n), str(tmp_path / f"out{n}"), str(tmp_path / f"cp{n}")).awaitTermination(60)
         got = sorted((str(r.day), r.sample_idx, r.partner, r.n) for r in pc.totals(spark, str(tmp_path / f"out{n}")).collect())
         assert got == [("2023-04-01", 0, "a", 2), ("2024-01-01", 0, "a", 1), ("2025-07-01", 0, "a", 1)]
+
+
+def test_fastq_blank_lines(spark, tmp_path):
+    """Blank lines end no read, whatever the split; what is no record is an error."""
+    import gzip
+
+    import pytest
+
+    from ligaquery.sources.readers import FastqSource, read_fastq
+
+    recs = [(f"r{i}", "ACGT" * (i % 5), "@+II" * (i % 5)) for i in range(60)]
+    text = "".join(f"@{r}\n{s}\n+\n{q}\n" + ("\n" * (i % 12) if i % 7 == 3 else "") for i, (r, s, q) in enumerate(recs))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.fastq").write_text("\n" + text)
+    with gzip.open(tmp_path / "in/b.fastq.gz", "wt") as f:
+        f.write(text + "\n")
+    assert Counter((r.read_id, r.seq, r.qual) for r in read_fastq(spark, str(tmp_path / "in"), split_bytes=300).collect()) == Counter(recs * 2)
+    for n in range(1, 140):
+        reader = FastqSource({"path": str(tmp_path / "in/a.fastq"), "splitBytes": n}).reader(None)
+        assert [r[1:] for p in reader.partitions() for r in reader.read(p)] == recs, n
+    (tmp_path / "bad.fastq").write_text(text + "no record\n" * 200 + text)
+    for n in (10_000_000, 300):
+        reader = FastqSource({"path": str(tmp_path / "bad.fastq"), "splitBytes": n}).reader(None)
+        with pytest.raises(ValueError, match="no FASTQ record"):
+            [list(reader.read(p)) for p in reader.partitions()]
