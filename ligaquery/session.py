@@ -1,16 +1,19 @@
-"""Session helpers: reading tables, cutting lineage and checking the size of what is broadcast."""
+"""Session helpers: reading tables, cutting lineage, and joins with a side whose size is measured first."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its rows, counted first, are at most so many.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if its bytes, measured first, are at most so many.
+BROADCAST_BYTES = 32 << 20
+#: Beyond that, each key is spread over so many tasks: the left rows take turns, the right ones are repeated.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), set an own one."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only a local master without it (tests) gets an own one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
@@ -32,9 +37,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffle join follows)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def byte_size(df: DataFrame) -> int:
+    """The bytes of the values of ``df``, without any overhead but 8 a value."""
+
+    def width(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        long = {"string": lambda: F.octet_length(c), "binary": lambda: F.octet_length(c)}.get(kind)
+        if long is None and kind.startswith(("array", "map", "struct")):
+            long = lambda: F.octet_length(F.to_json(F.struct(c)))
+        return F.coalesce(long().cast("bigint"), F.lit(0)) + 8 if long else F.lit(8).cast("bigint")
+
+    return df.agg(F.sum(reduce(Column.__add__, (width(n, k) for n, k in df.dtypes)))).first()[0] or 0
+
+
+def lookup(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (``how``: inner, left, left_semi or left_anti), whatever the size of ``right`` and of one key.
+
+    ``right`` is broadcast if its measured bytes are at most ``BROADCAST_BYTES``. Else the rows of each
+    key of ``left`` are dealt over ``SALTS`` tasks and those of ``right`` repeated for each, so that a
+    key with a third of all rows is no single task's work. The rows are the same either way. Column
+    names must differ between the sides; ``on`` holds at least one equality.
+    """
+    if byte_size(right) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    dealt = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    every = right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(every, on & (F.col("__salt") == F.col("__salt_r")), how).drop("__salt", "__salt_r")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its measured bytes are at most ``BROADCAST_BYTES``, else as it is."""
+    return F.broadcast(df) if byte_size(df) <= BROADCAST_BYTES else df
 
 
 def keep(df: DataFrame) -> DataFrame:

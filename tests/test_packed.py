@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ligaquery import session
 from ligaquery.operators import packed
 
 KEYS = ["alias", "parent"]
@@ -47,24 +50,39 @@ def test_empty_table(spark):
 @given(st.lists(st.text('ab ;,|/="', max_size=12), max_size=4))
 def test_rules_cover_disjoint_ranges(parts):
     text = ";".join(parts)
-    import re
-
     tokens = re.findall(packed.TOKEN, text)
-    skel = "".join(t if re.fullmatch(r'[";=,|/]', t) else "_" if not t.strip() else "a" for t in tokens)
-    end = 0
-    for k, lo, n, _ in packed.resolve(skel):
-        assert 1 <= k < lo and lo > end and n > 0
+    skel = "".join(t if t in packed.DELIMITERS else "_" if not t.strip() else "a" if t.strip() == "a" else "*" for t in tokens)
+    end, at = 0, 0
+    for key, pos, lo, n, _ in packed.resolve(skel, ["a"]):
+        at += 1
+        assert key == "a" and pos == at and lo > end and n > 0
         end = lo + n - 1
     assert end <= len(tokens)
 
 
-def test_skeleton_has_a_character_a_token(spark):
-    import re
-
-    texts = ['ID "a"; Alias = b , c', "x", "  ", '"" ;; ==', "a\tb=c\nd"]
+def test_skeleton_has_a_token_a_token(spark):
+    texts = ['ID "a"; Alias = b , c', "x", "  ", '"" ;; ==', "a\tb=c\nd", " ALIAS ;aliased=alias", "*", "alias"]
     df = spark.createDataFrame([(t,) for t in texts], "t STRING")
-    for t, s in df.select("t", packed.skeleton(df.t)).collect():
-        assert len(s) == len(re.findall(packed.TOKEN, t)), (t, s)
+    got = {t: s for t, s in df.select("t", packed.skeleton(df.t, KEYS)).collect()}
+    for t, s in got.items():
+        assert len(re.findall(packed.TOKEN, s)) == len(re.findall(packed.TOKEN, t)), (t, s)
+    assert got['ID "a"; Alias = b , c'] == '*"*";_alias_=*,*' and got[" ALIAS ;aliased=alias"] == "_alias_;*=alias" and got["*"] == "*"
+
+
+def test_keys_inside_values_and_blank_values(spark):
+    texts = ['Alias=parent,alias;Parent=Alias', 'alias = " " , b;Parent="%41"', "parents=x;my parent=y;Parent=z"]
+    assert values(spark, texts) == [
+        (0, "alias", 1, "parent"), (0, "alias", 2, "alias"), (0, "parent", 1, "Alias"),
+        (1, "alias", 1, "b"), (1, "parent", 1, "A"), (2, "parent", 1, "z"),
+    ]
+
+
+def test_rules_too_large_to_broadcast(spark, monkeypatch):
+    """The salted join gives the same, also where one skeleton has nearly all rows."""
+    texts = [f"ID=x{i};Parent=p{i},q{i}" for i in range(300)] + ["Alias=a|b", None, "", 'Parent "r"']
+    want = values(spark, texts)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    assert values(spark, texts) == want and len(want) == 603
 
 
 @pytest.mark.parametrize("text", ["x%41", "%C3%A9", "100%", "a+b%20c", ""])
