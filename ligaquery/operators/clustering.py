@@ -10,25 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligaquery.operators.intervals import interval_join, overlap
-from ligaquery.session import cut
+from ligaquery.session import cut, settle
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex that each vertex is linked with; ``links`` are (u, v).
 
-    Each round sends every vertex' label to its neighbours and then lets each label take over its
-    own label's label, so that long chains halve. Rows only move by partial aggregation.
+    Each round gives every vertex the smallest of itself and its neighbours, then that one's own, and
+    puts these in the place of the ends of the links. Links inside a group vanish, so the links
+    shrink with each round and long chains halve. The rounds' steps are put together at the end.
     """
-    both = cut(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).where("u <> v").distinct())
-    labels = cut(vertices.select("v", F.col("v").alias("root")).distinct())
-    while True:
-        sent = both.join(labels.select(F.col("v").alias("u"), "root"), "u").groupBy("v").agg(F.min("root").alias("near"))
-        near = labels.join(sent, "v", "left").select("v", "root", F.least("root", "near").alias("low"))
-        over = near.select(F.col("v").alias("w"), F.col("low").alias("next"))
-        nxt = cut(near.join(over, F.col("low") == F.col("w"), "left").select("v", F.least("low", "next").alias("root"), (F.least("low", "next") < F.col("root")).alias("moved")))
-        labels = nxt.select("v", "root")
-        if nxt.where("moved").isEmpty():
-            return labels
+    ends = settle(links.select("u", "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    steps: list[DataFrame] = []
+    while not ends.isEmpty():
+        both = ends.select("u", "v").union(ends.select("v", "u"))
+        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        step = settle(near.join(near.select(F.col("u").alias("w"), F.col("m").alias("to")), F.col("m") == F.col("w")).select("u", "to"))
+        steps.append(step)
+        left, right = step.select("u", F.col("to").alias("a")), step.select(F.col("u").alias("v"), F.col("to").alias("b"))
+        ends = settle(ends.join(left, "u").join(right, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), ends)
+    labels = vertices.select("v", F.col("v").alias("root")).distinct()
+    for step in steps:
+        labels = labels.join(step, F.col("root") == F.col("u"), "left").select("v", F.coalesce("to", "root").alias("root"))
+    return settle(labels, *steps)
 
 
 def cluster_pairs(pairs: DataFrame, slack: int = 0) -> DataFrame:
@@ -44,7 +48,6 @@ def cluster_pairs(pairs: DataFrame, slack: int = 0) -> DataFrame:
     ok = pairs.where(" AND ".join(f"{s}_{c} IS NOT NULL" for s in "ab" for c in cols) + " AND a_strt <= a_end AND b_strt <= b_end")
     boxes = ok.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     boxes = cut(boxes.select("x", "y", "n", F.xxhash64("x.ref", "x.strand", "y.ref", "y.strand").alias("lane"), F.monotonically_increasing_id().alias("v")))
-    boxes = cut(boxes)
     side = lambda k: boxes.select(F.col("v").alias(f"{k}v"), F.col("lane").alias(f"{k}l"), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"), F.col("x.strt").alias(f"{k}s"), F.col("x.end").alias(f"{k}e"))
     met = interval_join(side("p"), side("q"), [("pl", "ql")], ("ps", "pe"), ("qs", "qe"), slack=slack)
     same = (F.col("px.ref") == F.col("qx.ref")) & (F.col("px.strand") == F.col("qx.strand")) & (F.col("py.ref") == F.col("qy.ref")) & (F.col("py.strand") == F.col("qy.strand"))

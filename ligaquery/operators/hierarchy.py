@@ -1,245 +1,351 @@
 """Parent-child links to full hierarchies: leaf peeling, reverse peel order, cycles in what is left.
 
-Rounds peel the links whose child has no children left; a peeled child hands its subtree size to
-its parents. The peel round is a topological order, and read backwards it assigns each node the
-paths of its parents plus its own id. Links that are never peeled lie on or above a cycle.
-
-A round over many links is one aggregation and one join. Once at most ``SMALL_ROWS`` links are
-left (counted, a constant that doesn't grow with the data), they go into one partition and
-``STEPS`` rounds run in one job, without a shuffle.
+Leaves are peeled: a node whose child links are all peeled hands the list of its descendants and its
+subtree size to its parents. Read backwards, the peel order assigns each node the paths of its
+parents plus its own id. Nodes that are never peeled lie on or above a cycle; peeled from the top,
+those above go, and on the rest the strongly connected ones are the cycles.
+
+Links fall into families (connected components). Families
+of at most ``FAMILY`` links are peeled inside tasks, many families a task, so the number of Spark
+jobs grows with the logarithm of the depth. A larger family, and only such, is peeled by rounds over
+the whole cluster, one aggregation and one join a round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligaquery.session import cut
-
-SMALL_ROWS = 50_000
-STEPS = 8
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _settle(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` with its lineage cut, in one partition if it is small, and its number of rows."""
-    df = cut(df)
-    n = df.count()
-    return (cut(df.coalesce(1)) if n <= SMALL_ROWS and df.rdd.getNumPartitions() > 1 else df), n
-
-
-def _repeat(df: DataFrame, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply a step until it neither drops a row nor raises ``new`` in any."""
-    df, n = _settle(df)
-    while n:
-        for step in [small] * STEPS if n <= SMALL_ROWS else [large]:
-            df = step(df)
-        df = cut(df)
-        left, news = df.agg(F.count(F.lit(1)), F.count_if("new")).first()
-        if left <= SMALL_ROWS < n:
-            df = cut(df.coalesce(1))
-        if left == n and not news:
-            break
-        n = left
-    return df
-
-
-def _ends(links: DataFrame) -> DataFrame:
-    """Each link twice: under x = p with role 0 and under x = c with role 1."""
-    return links.withColumn("e", F.explode(F.array(F.struct(F.col("p").alias("x"), F.lit(0).alias("role")), F.struct(F.col("c").alias("x"), F.lit(1).alias("role"))))).select("*", "e.x", "e.role").drop("e")
-
-
-def _chain(df: DataFrame, step: str, rounds: int, **views: DataFrame) -> DataFrame:
-    """``step``, a query of table t with the round {k}, applied from 0 on, each to the result of the one before.
-
-    The text of a chain is the same each time, so its plan is analysed and its code compiled once.
+from ligaquery.operators.clustering import components
+from ligaquery.session import settle
+
+#: Links of a family that one task peels, and links a task is given on average.
+FAMILY, TASK_LINKS = 200_000, 100_000
+BATCH = 20_000
+WAYS = "feature_id STRING, root_id STRING, depth INT, feature_path STRING, n_ways_down BIGINT"
+PAIRS = "feature_id STRING, descendant_id STRING"
+MOST = (1 << 63) - 1
+
+
+# ---- inside a task: whole families ----
+
+
+class Family:
+    """Nodes as numbers, links both ways, the peel order, and what is left of it."""
+
+    def __init__(self, parents: list[str], children: list[str]) -> None:
+        number: dict[str, int] = {}
+        ends = [(number.setdefault(p, len(number)), number.setdefault(c, len(number))) for p, c in zip(parents, children, strict=True)]
+        self.names = list(number)
+        self.up: list[list[int]] = [[] for _ in number]
+        self.down: list[list[int]] = [[] for _ in number]
+        for p, c in ends:
+            self.down[p].append(c)
+            self.up[c].append(p)
+        every = range(len(number))
+        self.peeled = self._peel(every, self.down, self.up)
+        done = set(self.peeled)
+        self.left = [x for x in every if x not in done]
+        kept = set(self.left)
+        within = lambda side: {x: [y for y in side[x] if y in kept] for x in self.left}
+        down, up = within(self.down), within(self.up)
+        self.above = self._peel(self.left, up, down)
+        core = kept - set(self.above)
+        self.ring = self._rings(core, down)
+
+    @staticmethod
+    def _peel(nodes, waits, frees) -> list[int]:
+        """The nodes in an order in which each comes after all of its ``waits``; those that never come are left out."""
+        open_ = {x: len(waits[x]) for x in nodes}
+        order = [x for x, n in open_.items() if not n]
+        for x in order:
+            for y in frees[x]:
+                open_[y] -= 1
+                if not open_[y]:
+                    order.append(y)
+        return order
+
+    @staticmethod
+    def _rings(core: set[int], down: dict[int, list[int]]) -> set[int]:
+        """The nodes of ``core`` on a cycle: one search numbers nodes by finish, a second goes back from the last finished."""
+        back: dict[int, list[int]] = {x: [] for x in core}
+        for x in core:
+            for y in down[x]:
+                if y in core:
+                    back[y].append(x)
+        finish, seen = [], set()
+        for start in core:
+            todo = [] if start in seen else [(start, iter(down[start]))]
+            seen.add(start)
+            while todo:
+                x, rest = todo[-1]
+                nxt = next((y for y in rest if y in core and y not in seen), None)
+                if nxt is None:
+                    finish.append(todo.pop()[0])
+                else:
+                    seen.add(nxt)
+                    todo.append((nxt, iter(down[nxt])))
+        ring, taken = {x for x in core if x in down[x]}, set()
+        for start in reversed(finish):
+            if start not in taken:
+                taken.add(start)
+                group = [start]
+                for x in group:
+                    new = [y for y in back[x] if y not in taken]
+                    taken.update(new)
+                    group += dict.fromkeys(new)
+                if len(group) > 1:
+                    ring.update(group)
+        return ring
+
+    def ways(self) -> Iterator[tuple]:
+        """One row per node and way down to it, with the number of ways on (null on, below and above cycles)."""
+        size = dict.fromkeys(self.peeled, 0)
+        for x in self.peeled:
+            for p in self.up[x]:
+                if p in size:
+                    size[p] += size[x] + 1
+        got: dict[int, list[tuple]] = {}
+        bad = {x: -1 if x in self.ring else -2 for x in set(self.left) - set(self.above)}
+        for x, depth in bad.items():
+            yield self.names[x], "", depth, "", None
+        for x in [*self.above, *reversed(self.peeled)]:
+            if any(p in bad for p in self.up[x]):
+                bad[x] = -2
+                yield self.names[x], "", -2, "", None
+                continue
+            own, n = self.names[x], size.get(x)
+            rows = [(own, 0, own)] if not self.up[x] else [(r, d + 1, f"{path}/{own}") for p in self.up[x] for r, d, path in got[p]]
+            if self.down[x]:
+                got[x] = rows
+            for root, depth, path in rows:
+                yield own, root, depth, path, n if n is not None and n <= MOST else None
+
+    def descendants(self) -> Iterator[tuple[str, str]]:
+        """Each node with each other node below it, once a pair."""
+        lists: dict[int, set[int]] = {}
+        for x in self.peeled:
+            own = lists.pop(x, set())
+            yield from ((self.names[x], self.names[y]) for y in own)
+            for p in self.up[x]:
+                lists.setdefault(p, set()).update(own, (x,))
+        for x in self.left:
+            seen, todo = {x}, [x]
+            for y in todo:
+                new = [z for z in self.down[y] if z not in seen]
+                seen.update(new)
+                todo += dict.fromkeys(new)
+            yield from ((self.names[x], self.names[y]) for y in todo[1:])
+
+
+def _in_tasks(rows: Callable[[Family], Iterator[tuple]], schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches]
+        family = Family([x for p, _ in given for x in p], [x for _, c in given for x in c])
+        held: list[tuple] = []
+        for row in rows(family):
+            held.append(row)
+            if len(held) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+_TEXT = pa.string()
+_WAYS = pa.schema([("feature_id", _TEXT), ("root_id", _TEXT), ("depth", pa.int32()), ("feature_path", _TEXT), ("n_ways_down", pa.int64())])
+_PAIRS = pa.schema([("feature_id", _TEXT), ("descendant_id", _TEXT)])
+
+
+def _tasks(small: DataFrame, n_links: int) -> DataFrame:
+    """(p, c) of ``small`` (k, p, c) with each family in one partition, about TASK_LINKS a partition."""
+    n = max(int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_links // TASK_LINKS))
+    return small.repartition(n, "k").select("p", "c")
+
+
+# ---- over the cluster: families beyond FAMILY ----
+
+
+def peel(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(parts, residual) of the distinct links (p, c), by rounds.
+
+    A part holds the links (p, c, acc) of one round; ``acc`` is the number of ways down from c, c
+    itself included (null if it exceeds a BIGINT). The residual links (p, c) lie on or above a cycle.
     """
-    parts = [f"t{k + 1} AS ({step.replace('{k}', str(k)).replace('{t}', f't{k}')})" for k in range(rounds)]
-    return df.sparkSession.sql(f"WITH t0 AS (SELECT * FROM {{base}}), {', '.join(parts)} SELECT * FROM t{rounds}", base=df, **views)
-
-
-#: A round over (p, c, acc, h): links with a null h are left, those of the round before send their size.
-PEEL = """
-    SELECT p, c, CASE WHEN role = 1 THEN try_add(acc, coalesce(got, 0L)) ELSE acc END AS acc, CASE WHEN role = 1 AND NOT stays THEN {k} ELSE h END AS h
-    FROM (SELECT *, max(role = 0) OVER x AS stays, try_sum(CASE WHEN role = 2 THEN acc END) OVER x AS got
-        FROM (SELECT *, explode(CASE WHEN h IS NULL THEN array(0, 1) WHEN h = {k} - 1 THEN array(2) ELSE array(3) END) AS role FROM {t})
-        WINDOW x AS (PARTITION BY CASE WHEN role = 1 THEN c ELSE p END))
-    WHERE role > 0"""
-#: A round over ways: those that end in a parent of a link of this round go on to its child, all stay.
-DOWN = """
-    SELECT r.* FROM (SELECT /*+ BROADCAST(m) */ CASE WHEN m.h IS NULL OR m.h < 0
-            THEN named_struct('feature_id', feature_id, 'root_id', root_id, 'depth', depth, 'feature_path', feature_path, 'made', made)
-            ELSE named_struct('feature_id', m.c, 'root_id', root_id, 'depth', CASE WHEN depth < 0 THEN -2 ELSE depth + 1 END,
-                'feature_path', CASE WHEN depth < 0 THEN '' ELSE concat_ws('/', feature_path, m.c) END, 'made', true) END AS r
-        FROM {t} LEFT JOIN {moves} m ON feature_id = m.p AND m.h IN (-1, {k}))"""
-
-
-def _peel_large(df: DataFrame, h: int) -> DataFrame:
-    info = df.groupBy(F.col("p").alias("q")).agg(F.max(F.col("h").isNull()).alias("stays"), F.try_sum(F.when(F.col("h") == h - 1, F.col("acc"))).alias("got"))
-    rest = df.where("h IS NULL").join(info, F.col("c") == F.col("q"), "left")
-    stays = F.coalesce("stays", F.lit(False))
-    return rest.select("p", "c", F.try_add("acc", F.coalesce("got", F.lit(0).cast("bigint"))).alias("acc"), F.when(~stays, h).alias("h"))
-
-
-def peel(links: DataFrame, first: int = 0) -> tuple[list[tuple[DataFrame, int, int, bool]], DataFrame, int]:
-    """(peeled links, residual links, next round) of the distinct links (p, c).
-
-    Peeled links come in parts (links, first round, last round, few). They carry ``h``, the round,
-    and ``acc``, the subtree size of the child: the number of ways down from it, itself included
-    (null if it exceeds a BIGINT).
-    """
-    now = links.select("p", "c", F.lit(1).cast("bigint").alias("acc"), F.lit(None).cast("int").alias("h"))
-    done, h, n = [], first, links.count()
-    single = False
-    while n:
-        begin = h
-        if n > SMALL_ROWS:
-            now, h = _peel_large(now, h), h + 1
-        else:
-            base = now.where(F.col("h").isNull() | (F.col("h") == h - 1)).withColumn("h", F.col("h") - h)
-            now, single, h = _chain(cut(base if single else base.coalesce(1)), PEEL, STEPS).withColumn("h", F.col("h") + h), True, h + STEPS
-        now = cut(now)
-        off, top = now.agg(F.count_if(F.col("h") >= begin), F.max("h")).first()
-        if off:
-            done.append((now.where(F.col("h") >= begin), begin, top, n <= SMALL_ROWS))
-        n = n - off
-        if off == 0 or (single and top < h - 1):
-            break
-    return done, now.where("h IS NULL").select("p", "c"), h
-
-
-def _trim_small(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("x")
-    ends = _ends(df).select("p", "c", (F.max(F.col("role") == 0).over(w) & F.max(F.col("role") == 1).over(w)).alias("ok"))
-    return ends.groupBy("p", "c").agg(F.min("ok").alias("ok")).where("ok").select("p", "c", F.lit(False).alias("new"))
+    now, done = links.select("p", "c", F.lit(1).cast("bigint").alias("acc")), []
+    while True:
+        inner = now.select(F.col("p").alias("q")).distinct()
+        off = settle(now.join(inner, F.col("c") == F.col("q"), "left_anti"))
+        if off.isEmpty():
+            return done, now.select("p", "c")
+        done.append(off)
+        sent = off.groupBy(F.col("p").alias("q")).agg(F.try_sum("acc").alias("got"))
+        rest = now.join(off.select(F.col("c").alias("g")).distinct(), F.col("c") == F.col("g"), "left_anti")
+        now = settle(rest.join(sent, F.col("c") == F.col("q"), "left").select("p", "c", F.try_add("acc", F.coalesce("got", F.lit(0).cast("bigint"))).alias("acc")))
 
 
-def _trim_large(df: DataFrame) -> DataFrame:
-    inner = _ends(df).groupBy("x").agg(F.max(F.col("role") == 0).alias("d"), F.max(F.col("role") == 1).alias("u")).where("d AND u").select("x")
-    kept = df.join(inner, F.col("p") == F.col("x"), "left_semi").join(inner.withColumnRenamed("x", "y"), F.col("c") == F.col("y"), "left_semi")
-    return kept.select("p", "c", F.lit(False).alias("new"))
-
-
-def _spread_small(df: DataFrame) -> DataFrame:
-    got = F.max(F.when(F.col("role") == 1, F.col("l"))).over(Window.partitionBy("x"))
-    rows = _ends(df.drop("new")).withColumn("got", got).where("role = 0")
-    return rows.select("p", "c", F.greatest("l", "got").alias("l"), (F.col("got") > F.col("l")).alias("new"))
-
-
-def _spread_large(df: DataFrame) -> DataFrame:
-    sent = df.groupBy(F.col("c").alias("x")).agg(F.max("l").alias("got"))
-    rows = df.drop("new").join(sent, F.col("p") == F.col("x"), "left")
-    return rows.select("p", "c", F.greatest("l", "got").alias("l"), F.coalesce(F.col("got") > F.col("l"), F.lit(False)).alias("new"))
-
-
-def _spread(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """(x, l): the largest label that reaches each node of ``labels`` (x, l) along ``links``."""
-    own = labels.select(F.col("x").alias("p"), F.col("x").alias("c"), "l")
-    given = links.join(labels, F.col("p") == F.col("x")).select("p", "c", "l").union(own)
-    done = _repeat(given.withColumn("new", F.lit(False)), _spread_small, _spread_large)
-    return done.where("p = c").select(F.col("p").alias("x"), "l").distinct()
-
-
-def _trim(links: DataFrame) -> DataFrame:
-    """Only links whose parent has a parent and whose child has a child, again and again."""
-    return _repeat(links.select("p", "c", F.lit(False).alias("new")), _trim_small, _trim_large).select("p", "c")
+def _flip(links: DataFrame) -> DataFrame:
+    return links.select(F.col("c").alias("p"), F.col("p").alias("c"))
 
 
 def _nodes(links: DataFrame) -> DataFrame:
     return links.select(F.col("p").alias("x")).union(links.select("c")).distinct()
 
 
+def _reach(start: DataFrame, links: DataFrame) -> DataFrame:
+    """(x): ``start`` (x) and all nodes below it, a level a round."""
+    found = front = settle(start.distinct())
+    while not front.isEmpty():
+        front = settle(front.join(links, F.col("x") == F.col("p")).select(F.col("c").alias("x")).distinct().join(found, "x", "left_anti"))
+        found = settle(found.union(front))
+    return found
+
+
 def on_cycles(links: DataFrame) -> DataFrame:
-    """(x): the nodes on a cycle of ``links``, by colouring: labels forward, then back within a colour."""
+    """(x): the nodes on a cycle of ``links``.
+
+    Families of the residue are searched inside tasks. In a larger one, the node of the smallest id
+    of each family is taken: what it reaches both ways is its cycle, and the three parts into which
+    it splits the rest are searched on their own.
+    """
     found = [links.where("p = c").select(F.col("p").alias("x"))]
-    rest = _trim(links.where("p <> c"))
+    rest = settle(links.where("p <> c").distinct())
     while not rest.isEmpty():
-        colour = cut(_spread(rest, _nodes(rest).select("x", F.col("x").alias("l"))))
-        a, b = colour.select(F.col("x").alias("px"), F.col("l").alias("pl")), colour.select(F.col("x").alias("cx"), F.col("l").alias("cl"))
-        inside = rest.join(a, F.col("p") == F.col("px")).join(b, F.col("c") == F.col("cx")).where("pl = cl").select(F.col("c").alias("p"), F.col("p").alias("c"))
-        start = colour.select("x", F.when(F.col("x") == F.col("l"), F.col("l")).otherwise("").alias("l"))
-        back = cut(_spread(inside, start).where("l <> ''"))
-        many = back.groupBy("l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("l").alias("k"))
-        found.append(back.join(many, F.col("l") == F.col("k"), "left_semi").select("x"))
-        gone = back.select("x")
-        rest = _trim(rest.join(gone, F.col("p") == F.col("x"), "left_anti").join(gone, F.col("c") == F.col("x"), "left_anti"))
-    return _union(found).distinct()
-
-
-def _step(rows: DataFrame) -> DataFrame:
-    """Rows (feature_id, root_id, depth, feature_path, c) moved on to the child c."""
-    depth = F.when(F.col("depth") < 0, -2).otherwise(F.col("depth") + 1)
-    path = F.when(F.col("depth") < 0, "").otherwise(F.concat_ws("/", "feature_path", "c"))
-    return rows.select(F.col("c").alias("feature_id"), "root_id", depth.alias("depth"), path.alias("feature_path"))
-
-
-def _down_small(ways: DataFrame, links: DataFrame, first: int, last: int) -> DataFrame:
-    """The ways that begin in ``ways`` and go on over the few ``links``, by rounds from last to first."""
-    links = cut(links.select("p", "c", "h").coalesce(1))
-    own = links.select("p", F.col("p").alias("c"), F.lit(-1).alias("h")).distinct()
-    now = cut(ways.join(F.broadcast(own.select(F.col("p").alias("q"))), F.col("feature_id") == F.col("q"), "left_semi").withColumn("made", F.lit(False)))
-    for top in range(last, first - 1, -STEPS):
-        rel = F.lit(top) - F.col("h")
-        moves = cut(links.where(rel.between(0, STEPS - 1)).select("p", "c", rel.alias("h")).unionByName(own).coalesce(1))
-        now = cut(_chain(now, DOWN, STEPS, moves=moves).hint("rebalance"))
-    return now.where("made").drop("made")
+        rest = settle(_flip(peel(_flip(peel(rest)[1]))[1]))
+        small, large, n = families(rest)
+        if n:
+            spec = pa.schema([("x", _TEXT)])
+            found.append(_tasks(small, n).mapInArrow(_in_tasks(lambda f: ((f.names[x],) for x in f.ring), spec), "x STRING"))
+        if large is None:
+            break
+        pivot = large.groupBy("k").agg(F.min("p").alias("x")).select("x")
+        down, up = _reach(pivot, large), _reach(pivot, _flip(large))
+        both = settle(down.join(up, "x"))
+        # a single node reaches itself; self-links are counted above
+        inside = large.join(both, F.col("p") == F.col("x"), "left_semi").join(both, F.col("c") == F.col("x"), "left_semi")
+        found.append(_nodes(inside))
+        side = settle(_nodes(large).join(down.withColumn("d", F.lit(1)), "x", "left").join(up.withColumn("u", F.lit(1)), "x", "left").select("x", F.hash("d", "u").alias("s")))
+        a, b = side.select(F.col("x").alias("p"), F.col("s").alias("sp")), side.select(F.col("x").alias("c"), F.col("s").alias("sc"))
+        rest = settle(large.select("p", "c").join(a, "p").join(b, "c").where("sp = sc").select("p", "c").join(both, F.col("p") == F.col("x"), "left_anti"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()
+
+
+def _ways_by_rounds(links: DataFrame) -> DataFrame:
+    """The rows of ``Family.ways`` for the nodes of ``links``.
+
+    Sizes come up with the peel rounds; paths go down a level a round, each way once, so a round
+    reads only the ways of the level before.
+    """
+    parts, residual = peel(links)
+    upper, core = peel(_flip(residual))
+    core = settle(core)
+    nodes, heads = settle(_nodes(links)), links.select(F.col("c").alias("q")).distinct()
+    if core.isEmpty():
+        bad = settle(nodes.limit(0).withColumn("depth", F.lit(0)))
+    else:
+        ring = settle(on_cycles(_flip(core)))
+        below = _reach(ring, links).join(ring.withColumnRenamed("x", "r"), F.col("x") == F.col("r"), "left")
+        bad = settle(below.select("x", F.when(F.col("r").isNull(), -2).otherwise(-1).alias("depth")))
+    clean = settle(links.join(bad, F.col("c") == F.col("x"), "left_anti"))
+    front = nodes.join(heads, F.col("x") == F.col("q"), "left_anti").select(F.col("x").alias("feature_id"), F.col("x").alias("root_id"), F.lit(0).alias("depth"), F.col("x").alias("feature_path"))
+    front = settle(front.join(bad, F.col("feature_id") == F.col("x"), "left_anti"))
+    out = bad.select(F.col("x").alias("feature_id"), F.lit("").alias("root_id"), "depth", F.lit("").alias("feature_path"))
+    while not front.isEmpty():
+        out = out.unionByName(front)
+        front = settle(front.join(clean, F.col("feature_id") == F.col("p")).select(F.col("c").alias("feature_id"), "root_id", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "feature_path", "c").alias("feature_path")))
+    size = None
+    for part in parts:
+        size = part.select("p", "acc") if size is None else size.unionByName(part.select("p", "acc"))
+    above = _nodes(residual).withColumn("n", F.lit(None).cast("bigint")).withColumn("left_over", F.lit(True))
+    known = above if size is None else size.join(above.select(F.col("x").alias("a")), F.col("p") == F.col("a"), "left_anti").groupBy(F.col("p").alias("x")).agg(F.try_sum("acc").alias("n")).withColumn("left_over", F.lit(False)).unionByName(above)
+    n = F.when((F.col("depth") >= 0) & ~F.coalesce("left_over", F.lit(False)), F.when(F.col("left_over").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n")))
+    return out.join(known, F.col("feature_id") == F.col("x"), "left").select("feature_id", "root_id", "depth", "feature_path", n.alias("n_ways_down"))
+
+
+def _descendants_by_rounds(links: DataFrame) -> DataFrame:
+    """The rows of ``Family.descendants``: with each peel round the lists of the peeled nodes go to their parents, as rows."""
+    parts, residual = peel(links)
+    live, out = None, []
+    for part in parts:
+        sent = part.select("p", F.col("c").alias("d"))
+        if live is not None:
+            met = settle(live.join(part.select("p", F.col("c").alias("g")), F.col("a") == F.col("g"), "left"))
+            out.append(met.where("g IS NOT NULL").select("a", "d").distinct())
+            sent = sent.union(met.where("g IS NOT NULL").select("p", "d")).union(met.where("g IS NULL").select("a", "d"))
+        live = settle(sent.select(F.col("p").alias("a"), "d").distinct())
+    if live is not None:
+        out.append(live)
+    if not residual.isEmpty():
+        found = front = settle(residual.select(F.col("p").alias("a"), F.col("c").alias("x")))
+        while not front.isEmpty():
+            front = settle(front.join(residual, F.col("x") == F.col("p")).select("a", F.col("c").alias("x")).distinct().join(found, ["a", "x"], "left_anti"))
+            found = settle(found.union(front))
+        out.append(found.select("a", F.col("x").alias("d")))
+        if live is not None:
+            out.append(found.join(live.withColumnRenamed("a", "b"), F.col("x") == F.col("b")).select("a", "d"))
+    pairs = out[0]
+    for o in out[1:]:
+        pairs = pairs.union(o)
+    return pairs.where("a <> d").select(F.col("a").alias("feature_id"), F.col("d").alias("descendant_id")).distinct()
+
+
+# ---- both ----
+
+
+def families(links: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(small, large, number of small ones) of the distinct links: (k, p, c) with the family's label k; large is None without any."""
+    labels = components(_nodes(links).withColumnRenamed("x", "v"), links.select(F.col("p").alias("u"), F.col("c").alias("v")))
+    marked = settle(links.select("p", "c").join(labels.select(F.col("v").alias("w"), F.col("root").alias("k")), F.col("p") == F.col("w")).select("k", "p", "c"))
+    sizes = marked.groupBy("k").agg(F.count(F.lit(1)).alias("n")).groupBy((F.col("n") > FAMILY).alias("large")).agg(F.sum("n").alias("n"))
+    counted = {r.large: r.n for r in sizes.collect()}  # at most two rows
+    if not counted.get(True):
+        return marked, None, counted.get(False, 0)
+    big = marked.groupBy(F.col("k").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY).select("b")
+    return marked.join(big, F.col("k") == F.col("b"), "left_anti"), settle(marked.join(big, F.col("k") == F.col("b"), "left_semi")), counted.get(False, 0)
+
+
+def _known(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    nodes = settle(nodes.where("x IS NOT NULL").select("x").distinct())
+    links = links.where("p IS NOT NULL AND c IS NOT NULL").select("p", "c").distinct()
+    return nodes, settle(links.join(nodes, F.col("p") == F.col("x"), "left_semi").join(nodes, F.col("c") == F.col("x"), "left_semi"))
 
 
 def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(feature_id, root_id, depth, feature_path, n_ways_down) of ``nodes`` (x) and ``links`` (p, c).
 
     One row per node and way down to it from a root. A node on a cycle has one row with empty
-    root_id and feature_path and depth -1; one below a cycle the same with depth -2, and both have
-    a null n_ways_down. Null ids are no nodes; repeated rows and links count once; links from or to
-    unknown nodes are ignored; empty tables give an empty result. ``n_ways_down`` is the number of
-    ways that go on below the row.
+    root_id and feature_path and depth -1; one below a cycle the same with depth -2. Null ids are no
+    nodes; repeated rows and links count once; links from or to unknown nodes are ignored; empty
+    tables give an empty result. ``n_ways_down`` is the number of ways that go on below the row; it is
+    null on and below cycles, and above them, where it has no bound, or if it exceeds a BIGINT.
+    """
+    nodes, links = _known(nodes, links)
+    small, large, n = families(links)
+    alone = nodes.join(_nodes(links).withColumnRenamed("x", "l"), F.col("x") == F.col("l"), "left_anti")
+    out = alone.select(F.col("x").alias("feature_id"), F.col("x").alias("root_id"), F.lit(0).alias("depth"), F.col("x").alias("feature_path"), F.lit(0).cast("bigint").alias("n_ways_down"))
+    out = out.unionByName(_tasks(small, n).mapInArrow(_in_tasks(Family.ways, _WAYS), WAYS)) if n else out
+    return out if large is None else out.unionByName(_ways_by_rounds(large.select("p", "c")))
+
+
+def descendants(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(feature_id, descendant_id): each node with each other node below it on some way, once a pair.
+
+    Nodes on and above cycles have theirs too; a node is no descendant of itself. Nulls, repeats, unknown
+    nodes and empty tables are treated as in ``hierarchy``.
     """
-    nodes = cut(nodes.where("x IS NOT NULL").distinct())
-    known = links.where("p IS NOT NULL AND c IS NOT NULL").distinct()
-    links = cut(known.join(nodes, F.col("p") == F.col("x"), "left_semi").join(nodes, F.col("c") == F.col("x"), "left_semi"))
-    peeled, residual, h = peel(links)
-    roots = nodes.join(links, F.col("x") == F.col("c"), "left_anti")
-    start = roots.select(F.col("x").alias("feature_id"), F.col("x").alias("root_id"), F.lit(0).alias("depth"), F.col("x").alias("feature_path"))
-    cyclic = not residual.isEmpty()
-    if cyclic:
-        ring = cut(on_cycles(residual))
-        marks = _nodes(residual).join(ring.select(F.col("x").alias("k")), F.col("x") == F.col("k"), "left")
-        reached = cut(_spread(residual, marks.select("x", F.when(F.col("k").isNull(), "").otherwise("1").alias("l"))).where("l = '1'").select("x"))
-        bad = reached.join(ring.withColumnRenamed("x", "k"), F.col("x") == F.col("k"), "left")
-        start = start.unionByName(bad.select(F.col("x").alias("feature_id"), F.lit("").alias("root_id"), F.when(F.col("k").isNull(), -2).otherwise(-1).alias("depth"), F.lit("").alias("feature_path")))
-        # above the cycles, without the links into them, the nodes can be peeled
-        upper, _, h = peel(cut(residual.join(reached, F.col("c") == F.col("x"), "left_anti")), h)
-        peeled = [*peeled, *upper]
-    start = cut(start)
-    inner = links.select(F.col("p").alias("q")).distinct()
-    above, out = [cut(start.join(inner, F.col("feature_id") == F.col("q"), "left_semi"))], [start]
-    for part, first, last, few in reversed(peeled):
-        if few:
-            step = _down_small(_union(above), part, first, last)
-        else:
-            step = _step(part.join(_union(above), F.col("p") == F.col("feature_id")))
-            step = step if part is peeled[0][0] else cut(step)  # children of the first round have no children
-        out.append(step)
-        above.append(step)
-    ways = _union(out)
-    if cyclic:
-        ways = cut(ways.withColumn("root_id", F.when(F.col("depth") < 0, "").otherwise(F.col("root_id"))))
-        lost = ways.where("depth < 0").distinct()
-        ways = ways.where("depth >= 0").join(lost.select(F.col("feature_id").alias("k")).distinct(), F.col("feature_id") == F.col("k"), "left_anti").unionByName(lost)
-    sizes = _union([part.select("p", "acc") for part, *_ in peeled]) if peeled else links.select("p", F.lit(1).cast("bigint").alias("acc"))
-    down = sizes.groupBy(F.col("p").alias("q")).agg(F.try_sum("acc").alias("n"))
-    n = F.when(F.col("depth") >= 0, F.coalesce("n", F.lit(0).cast("bigint")))
-    return ways.join(down, F.col("feature_id") == F.col("q"), "left").select("feature_id", "root_id", "depth", "feature_path", n.alias("n_ways_down"))
-
-
-def descendants(ways: DataFrame) -> DataFrame:
-    """(feature_id, descendant_id): each node with each node below it on some way, once a pair."""
-    ids = F.split("feature_path", "/")
-    pairs = ways.where("depth > 0").select(F.explode(F.slice(ids, 1, F.size(ids) - 1)).alias("feature_id"), F.col("feature_id").alias("descendant_id"))
-    return pairs.distinct()
+    nodes, links = _known(nodes, links)
+    small, large, n = families(links)
+    out = _tasks(small, n).mapInArrow(_in_tasks(Family.descendants, _PAIRS), PAIRS) if n else None
+    rounds = None if large is None else _descendants_by_rounds(large.select("p", "c"))
+    if out is None or rounds is None:
+        found = out if rounds is None else rounds
+        return links.select(F.col("p").alias("feature_id"), F.col("c").alias("descendant_id")).limit(0) if found is None else found
+    return out.unionByName(rounds)

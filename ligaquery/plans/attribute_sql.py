@@ -44,3 +44,13 @@ TREE = f"""WITH RECURSIVE {VALS}, {FEATURES},
         SELECT id, id, 0, id FROM nodes WHERE id NOT IN (SELECT c FROM links)
         UNION ALL SELECT l.c, root_id, depth + 1, feature_path || '/' || l.c FROM ways JOIN links l ON l.p = feature_id WHERE l.c NOT IN (SELECT id FROM bad))
     SELECT feature_id, root_id, depth, feature_path FROM ways UNION ALL SELECT id, '', depth, '' FROM bad"""
+
+DESCENDANTS = f"{TREE.split('ring AS')[0].rstrip().rstrip(',')} SELECT a AS feature_id, n AS descendant_id FROM up WHERE a <> n"
+
+#: nodes that a cycle can be reached from have no number of ways down
+SUBTREES = f"""{TREE.rsplit("SELECT feature_id, root_id", 1)[0].rstrip()},
+    free AS (SELECT id FROM nodes WHERE id NOT IN (SELECT n FROM ring) AND id NOT IN (SELECT a FROM up WHERE n IN (SELECT n FROM ring))),
+    walk(a, n) AS (SELECT p, c FROM links WHERE p IN (SELECT id FROM free) UNION ALL SELECT w.a, l.c FROM walk w JOIN links l ON l.p = w.n),
+    below AS (SELECT a, count(*) AS k FROM walk GROUP BY a)
+    SELECT feature_id, feature_path, depth, CASE WHEN feature_id IN (SELECT id FROM free) THEN coalesce(k, 0) END AS n_ways_down FROM ways LEFT JOIN below ON a = feature_id
+    UNION ALL SELECT id, '', depth, NULL FROM bad"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ligaquery.operators import heavy_keys, hierarchy, packed, periods, quarantine
 from ligaquery.plans import attribute_sql
-from ligaquery.session import table
+from ligaquery.session import cut, table
 
 VALUE_KEYS = ["alias", "dbxref", "ontology_term", "parent"]
 
@@ -33,22 +33,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periods_and_gaps(table(spark, sf_dir, "segments"), ("sample_idx", "refid"), "seg_strt", "seg_end")
 
 
-def feature_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _feature_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes (x), links (p, c)) of the features: the first ID of a row, and each of its parents."""
     rows = table(spark, sf_dir, "features").where("feat_type IS NULL OR feat_type <> 'region'").select("attributes")
-    read = packed.packed_values(rows, "attributes", ["id", "parent"]).select(
-        F.get(F.filter("vals", lambda v: v["attr_key"] == "id"), F.lit(0))["val"].alias("c"),
-        F.transform(F.filter("vals", lambda v: v["attr_key"] == "parent"), lambda v: v["val"]).alias("ps"),
-    )
-    read = read.where("c IS NOT NULL")
-    return hierarchy.hierarchy(read.select(F.col("c").alias("x")), read.select(F.explode("ps").alias("p"), "c"))
+    of = lambda k: F.filter("vals", lambda v: v["attr_key"] == k)
+    read = packed.packed_values(rows, "attributes", ["id", "parent"]).select(F.get(of("id"), F.lit(0))["val"].alias("c"), F.transform(of("parent"), lambda v: v["val"]).alias("ps"))
+    read = cut(read.where("c IS NOT NULL").distinct())
+    return read.select(F.col("c").alias("x")), read.select(F.explode("ps").alias("p"), "c")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_hierarchy(spark, sf_dir).select("feature_id", "root_id", "depth", "feature_path")
+    return hierarchy.hierarchy(*_feature_links(spark, sf_dir)).select("feature_id", "root_id", "depth", "feature_path")
 
 
 def p4_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_hierarchy(spark, sf_dir).select("feature_id", "feature_path", "depth", "n_ways_down")
+    """Each way down to a feature with the number of ways that go on below it."""
+    return hierarchy.hierarchy(*_feature_links(spark, sf_dir)).select("feature_id", "feature_path", "depth", "n_ways_down")
+
+
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature with each feature below it, those on and above cycles included."""
+    return hierarchy.descendants(*_feature_links(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ def p6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_partner_stats, p3_found, p4_found, p4_subtrees, p5_found, p6_found, p6_features)}
+    return {f.__name__: f for f in (p2_found, p2_partner_stats, p3_found, p4_found, p4_subtrees, p4_descendants, p5_found, p6_found, p6_features)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -100,6 +105,8 @@ def oracle_sql() -> dict[str, str]:
             FROM j GROUP BY ALL""",
         "p3_found": covered,
         "p4_found": attribute_sql.TREE,
+        "p4_subtrees": attribute_sql.SUBTREES,
+        "p4_descendants": attribute_sql.DESCENDANTS,
         "p5_found": attribute_sql.VALUES,
         "p6_found": f"{checked} SELECT line_id, reason FROM c WHERE reason IS NOT NULL",
         "p6_features": f"""{checked} SELECT line_id, f[1] AS seqid, f[2] AS source, f[3] AS feat_type, f[4]::INT AS feat_strt, CASE WHEN {plain.format(i=5)} THEN try_cast(f[5] AS INT) END AS feat_end,

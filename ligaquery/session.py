@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -37,6 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, *gone: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again; the tables of ``gone``, from here too, are deleted.
+
+    For loops: a checkpoint carries the estimated size of its plan on, which a join multiplies each
+    round; a table has its real size, so small ones are broadcast and their files share tasks.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    for g in gone:
+        for f in g.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def byte_size(df: DataFrame) -> int:
     """The bytes of the values of ``df``, without any overhead but 8 a value."""
 

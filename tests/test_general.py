@@ -3,6 +3,9 @@
 import random
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from ligaquery.operators import heavy_keys, hierarchy, periods, quarantine
 
 # ---- periods ----
@@ -132,42 +135,83 @@ def graph(rng, n, m, back):
     return ids, links
 
 
-def test_tree_with_cycles(spark):
-    rng = random.Random(7)
-    ids, links = graph(rng, 60, 45, 0.15)
-    links += [("n001", "n001"), ("gone", "n002"), ("n003", "gone"), (None, "n004"), ("n005", None)] + links[:5]
-    links += [("x", "y"), ("y", "x"), ("y", "z"), ("z", "u"), ("u", "w"), ("w", "u"), ("top", "x"), ("top", "leaf"), ("w", "end")]
-    ids += ["x", "y", "z", "u", "w", "top", "leaf", "end"]
-    got = run_tree(spark, [*ids, None, ids[0]], links)
-    rows = [tuple(r) for r in got.collect()]
-    assert sorted(r[:4] for r in rows) == ways(set(ids), links)
-    bad, down = {r[0] for r in rows if r[2] < 0}, defaultdict(set)
+def below(nodes, links):
+    kids = defaultdict(set)
+    for p, c in links:
+        if p in nodes and c in nodes:
+            kids[p].add(c)
+    out = set()
+    for n in nodes:
+        seen, todo = set(), list(kids[n])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += kids[x]
+        out |= {(n, x) for x in seen if x != n}
+    return sorted(out)
+
+
+def many_ways(nodes, links):
+    """The number of ways on below a node; None where there is no bound."""
+    ring = {n for n, _, d, _ in ways(nodes, links) if d == -1}
+    down = defaultdict(set)
     for p, c in links:
-        down[p].add(c)
+        if p in nodes and c in nodes:
+            down[p].add(c)
+    reach = defaultdict(set)
+    for a, b in below(nodes, links):
+        reach[a].add(b)
+    n = lambda x: sum(1 + n(c) for c in down[x])
+    return {x: None if x in ring or reach[x] & ring else n(x) for x in nodes}
+
+
+TREES = []
+for _seed, _n, _m, _back in ((7, 60, 45, 0.15), (3, 24, 20, 0.2), (8, 30, 34, 0.0), (11, 12, 16, 0.5)):
+    TREES.append(graph(random.Random(_seed), _n, _m, _back))
+TREES[0][1].extend([("n001", "n001"), ("gone", "n002"), ("n003", "gone"), (None, "n004"), ("n005", None)] + TREES[0][1][:5])
+TREES[0][1].extend([("x", "y"), ("y", "x"), ("y", "z"), ("z", "u"), ("u", "w"), ("w", "u"), ("top", "x"), ("top", "leaf"), ("w", "end")])
+TREES[0][0].extend(["x", "y", "z", "u", "w", "top", "leaf", "end"])
+TREES.append((["r", "a/b", "c", "a", "b"], [("r", "a/b"), ("a/b", "c")]))
+TREES.append(([f"c{i:02}" for i in range(40)], [(f"c{i:02}", f"c{i + 1:02}") for i in range(39)] + [("c05", "c09")]))
+
+
+@pytest.mark.parametrize("tree", range(len(TREES)))
+@pytest.mark.parametrize("family", [hierarchy.FAMILY, 2])
+def test_trees(spark, monkeypatch, tree, family):
+    """Families inside tasks, and large families by rounds over the cluster, against brute force."""
+    if family == 2 and tree in (0, 5):
+        pytest.skip("long by rounds; the smaller ones cover them")
+    monkeypatch.setattr(hierarchy, "FAMILY", family)
+    ids, links = TREES[tree]
+    rows = [tuple(r) for r in run_tree(spark, [*ids, None, ids[0]], links).collect()]
+    assert sorted(r[:4] for r in rows) == ways(set(ids), links)
+    many = many_ways(set(ids), links)
+    assert all(n == (many[f] if d >= 0 else None) for f, _, d, _, n in rows)
+    n, e = spark.createDataFrame([(x,) for x in ids], "x STRING"), spark.createDataFrame(links, "p STRING, c STRING").withColumn("x", F.lit("clash"))
+    assert sorted(map(tuple, hierarchy.descendants(n, e).collect())) == below(set(ids), links)
 
-    def clean(x):
-        return x not in bad and all(clean(c) for c in down[x] if c in ids)
 
-    for f, _, d, path, n in rows:
-        assert (n is None) == (d < 0)
-        if d >= 0 and clean(f):
-            assert n == sum(q.startswith(path + "/") for _, _, _, q, _ in rows), (f, path)
+def test_two_large_cycles(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "FAMILY", 2)
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "m"), ("m", "x"), ("x", "y"), ("y", "x"), ("q", "q")]
+    got = hierarchy.on_cycles(spark.createDataFrame(links, "p STRING, c STRING"))
+    assert sorted(r.x for r in got.collect()) == ["a", "b", "c", "q", "x", "y"]
 
 
-def test_tree_large_rounds(spark, monkeypatch):
-    """The rounds for many links give the same."""
-    monkeypatch.setattr(hierarchy, "SMALL_ROWS", 3)
-    rng = random.Random(3)
-    ids, links = graph(rng, 24, 20, 0.2)
-    got = run_tree(spark, ids, links).select("feature_id", "root_id", "depth", "feature_path").collect()
-    assert sorted(map(tuple, got)) == ways(set(ids), links)
+def test_a_long_cycle_and_a_long_chain():
+    n = 50_000
+    f = hierarchy.Family([str(i) for i in range(n)], [str((i + 1) % n) for i in range(n)])
+    assert len(f.ring) == n and not f.peeled
+    f = hierarchy.Family([str(i) for i in range(n)], [str(i + 1) for i in range(n)])
+    assert len(f.peeled) == n + 1 and not f.left
 
 
-def test_tree_empty_and_descendants(spark):
-    assert run_tree(spark, [], []).count() == 0
-    got = run_tree(spark, ["a", "b", "c"], [("a", "b"), ("b", "c"), ("a", "c")])
-    pairs = {(r.feature_id, r.descendant_id) for r in hierarchy.descendants(got).collect()}
-    assert pairs == {("a", "b"), ("a", "c"), ("b", "c")}
+def test_no_trees(spark):
+    n, e = spark.createDataFrame([], "x STRING"), spark.createDataFrame([], "p STRING, c STRING")
+    assert hierarchy.hierarchy(n, e).count() == 0 and hierarchy.descendants(n, e).count() == 0
+    one = spark.createDataFrame([("a",)], "x STRING")
+    assert [tuple(r) for r in hierarchy.hierarchy(one, e).collect()] == [("a", "a", 0, "a", 0)]
 
 
 # ---- quarantine ----
