@@ -1,10 +1,9 @@
-"""Filling fixed-capacity containers: cost-balanced packing, then best fit for what it left unused.
+"""Filling fixed-capacity containers: cost-balanced packing with few sequences open at a time.
 
 An item's cost is linear plus quadratic in its tokens, as attention is. Items go, longest first,
-each to the sequence of least cost that still has room for it; a shard opens as many sequences as
-its tokens need at least and adds one only if an item fits nowhere. Balance spreads the unused
-space evenly, so a second round takes the sequences apart that are filled below ``DONE`` and gives
-their items, longest first, to the sequence with the least room that suffices.
+each to the open sequence of least cost that still has room for it. Balance over all sequences
+spreads the unused space evenly, so that no item fits into it; over ``OPEN`` sequences at a time
+the cost decides as well, and each group is full before the next is opened.
 
 Items are spread evenly over shards of about ``SHARD_ITEMS``, so no task sees more of them.
 """
@@ -21,51 +20,43 @@ from ligaquery.session import cut
 SHARD_ITEMS = 8_000
 #: Cost of n tokens: LINEAR * n + n * n.
 LINEAR = 2048.0
-DONE = 0.995
+#: Sequences open at a time: more balance the costs of more sequences, fewer leave less space unused.
+OPEN = 4
 SHARD = "pack_name STRING, capacity INT, shard INT, rid BIGINT, piece_no INT, n_tokens INT, container INT"
 
 
-def balanced(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The sequence of each item by least cost; ``sizes`` descend and are at most ``capacity``."""
-    cost = LINEAR * sizes + sizes.astype(float) ** 2
-    used = max(1, -(-int(sizes.sum()) // capacity))
-    room, spent = np.full(used + len(sizes), capacity), np.zeros(used + len(sizes))
-    where = np.empty(len(sizes), np.int64)
-    for k, n in enumerate(sizes.tolist()):
-        able = np.where(room[:used] >= n, spent[:used], np.inf)
-        i = int(able.argmin())
-        if able[i] == np.inf:
-            i, used = used, used + 1
-        room[i] -= n
-        spent[i] += cost[k]
-        where[k] = i
-    return where
-
-
-def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The sequence of each item by least room that suffices; ``sizes`` descend."""
-    room, used, where = np.full(len(sizes) + 1, capacity), 1, np.empty(len(sizes), np.int64)
-    for k, n in enumerate(sizes.tolist()):
-        able = np.where(room[:used] >= n, room[:used], capacity + 1)
-        i = int(able.argmin())
-        if able[i] > capacity:
-            i, used = used, used + 1
-        room[i] -= n
-        where[k] = i
-    return where
-
-
 def place(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The sequence of each item, numbered without holes; ``sizes`` descend and are at most ``capacity``."""
-    if not len(sizes):
-        return np.empty(0, np.int64)
-    where = balanced(sizes, capacity)
-    redo = (np.bincount(where, sizes) < DONE * capacity)[where]
-    if redo.any():
-        again = where.copy()
-        again[redo] = where.max() + 1 + best_fit(sizes[redo], capacity)
-        if len(np.unique(again)) <= len(np.unique(where)):
-            where = again
+    """The sequence of each item, numbered without holes; ``sizes`` descend, are positive and at most ``capacity``.
+
+    ``OPEN`` sequences are filled at a time, or as many as the rest needs at least: the items left go,
+    longest first, to the open sequence of least cost that has room, and those that fit in none wait for
+    the next sequences.
+    """
+    n, size, falling = len(sizes), sizes.tolist(), -sizes
+    where, nxt, used, left = np.empty(n, np.int64), list(range(n + 1)), 0, int(sizes.sum())
+
+    def waiting(i: int) -> int:
+        """The first item from ``i`` on that is not placed; the steps to it are shortened."""
+        while nxt[i] != i:
+            nxt[i] = nxt[nxt[i]]
+            i = nxt[i]
+        return i
+
+    first = waiting(0)
+    while first < n:
+        k = min(OPEN, -(-left // capacity))
+        room, cost, i = [capacity] * k, [0.0] * k, first
+        while i < n:
+            most = max(room)
+            if size[i] > most:
+                i = waiting(int(np.searchsorted(falling, -most)))
+                continue
+            s = size[i]
+            b = min((c, j) for j, c in enumerate(cost) if room[j] >= s)[1]
+            where[i], nxt[i], room[b], left = used + b, i + 1, room[b] - s, left - s
+            cost[b] += LINEAR * s + s * s
+            i = waiting(i + 1)
+        used, first = used + k, waiting(first)
     return np.unique(where, return_inverse=True)[1]
 
 

@@ -106,8 +106,38 @@ def test_little_is_unused():
     for cap in (1024, 2048):
         where = packing.place(sizes, cap)
         assert np.bincount(where, sizes).max() <= cap and where.max() + 1 == len(np.unique(where))
-        assert sizes.sum() / ((where.max() + 1) * cap) > 0.97
+        assert sizes.sum() / ((where.max() + 1) * cap) > 0.99
     assert len(packing.place(np.array([], np.int64), 5)) == 0
+    assert packing.place(np.array([7, 7, 7, 1]), 8).tolist() == [0, 1, 2, 0] and packing.place(np.array([5]), 5).tolist() == [0]
+
+
+def test_least_cost_decides(monkeypatch):
+    """Of the open sequences with room the cheapest takes the next item."""
+    monkeypatch.setattr(packing, "OPEN", 3)
+    rng = random.Random(8)
+    sizes = np.array(sorted((rng.randint(1, 100) for _ in range(400)), reverse=True))
+    where, boxes = packing.place(sizes, 128), defaultdict(list)
+    for s, w in zip(sizes.tolist(), where.tolist(), strict=True):
+        boxes[w].append(s)
+    assert all(sum(v) <= 128 for v in boxes.values()) and sorted(x for v in boxes.values() for x in v) == sorted(sizes.tolist())
+    left = sizes.tolist()
+    begin = 0
+    while left:
+        k = min(3, -(-sum(left) // 128))
+        room, cost, after = [128] * k, [0.0] * k, []
+        for s in left:
+            able = [j for j in range(k) if room[j] >= s]
+            if not able:
+                after.append(s)
+                continue
+            j = min(able, key=lambda j: (cost[j], j))
+            room[j] -= s
+            cost[j] += packing.LINEAR * s + s * s
+        for j in range(k):
+            if room[j] < 128:
+                assert sum(boxes[begin]) == 128 - room[j]
+                begin += 1
+        left = after
 
 
 # ---- percentiles ----
