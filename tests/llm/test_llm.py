@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ligaquery import session
 from ligaquery.llm import bpe, packing, percentiles, truncation
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -143,10 +144,14 @@ def test_least_cost_decides(monkeypatch):
 # ---- percentiles ----
 
 
-def test_percentiles_random(spark):
+@pytest.mark.parametrize("most", [session.BROADCAST_BYTES, -1])
+def test_percentiles_random(spark, monkeypatch, most):
+    """Also with intervals too many to be broadcast, where one group holds most rows."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", most)
     rng = random.Random(4)
-    values = [None, float("nan"), 0.0, -0.0, 1.5, 1.5, 1e300, -1e300, 5e-324, float("inf"), 3.25, -7.0]
-    rows = [(rng.choice(["a", "a", "a", "b", None]), i % 3, rng.choice(values), rng.gauss(0, 1)) for i in range(900)] + [("solo", 0, 2.0, None), ("void", 0, None, None)]
+    inf = float("inf")
+    values = [None, float("nan"), 0.0, -0.0, 1.5, 1.5, 1e300, -1e300, 5e-324, inf, inf, -inf, 3.25, -7.0]
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i % 3, rng.choice(values), rng.gauss(0, 1)) for i in range(900)] + [("solo", 0, 2.0, None), ("void", 0, None, None), ("ends", 0, inf, -inf), ("ends", 1, inf, 3.0), ("ends", 2, 1.0, None)]
     df = spark.createDataFrame(rows, "g STRING, part INT, x DOUBLE, y DOUBLE").withColumn("v", F.lit("clash"))
     parts = percentiles.value_counts(df, ["g"], ["x", "y"], ["part"])
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
@@ -154,16 +159,17 @@ def test_percentiles_random(spark):
     want = {}
     for g in {r[0] for r in rows}:
         for m, k in (("x", 2), ("y", 3)):
-            v = sorted(max(min(r[k], percentiles.TOP), -percentiles.TOP) for r in rows if r[0] == g and r[k] is not None and r[k] == r[k])
+            v = sorted(r[k] for r in rows if r[0] == g and r[k] is not None and r[k] == r[k])
             for p in probs if v else []:
                 h = (len(v) - 1) * p
                 i = int(h)
                 f = h - i
                 j = i + (f > 0)
                 want[g, m, p] = (len(v), v[i] if v[i] == v[j] else v[i] * (1 - f) + v[j] * f)
+    assert want["ends", "x", 0.5] == (3, inf)
     assert got.keys() == want.keys()
     for k, (n, v) in want.items():
-        assert got[k][0] == n and got[k][1] == pytest.approx(v, rel=1e-12, abs=1e-320), k
+        assert got[k][0] == n and got[k][1] == pytest.approx(v, rel=1e-12, abs=1e-320, nan_ok=True), k
 
 
 def test_allowed_error_and_empty(spark):
@@ -187,8 +193,22 @@ def corpus():
     return [(i, HEAD + " ".join(say() for _ in range(3)) + rng.choice(["", "\n\nBest,\nAna"]), rng.choice(["s1", "s2", None])) for i in range(400)]
 
 
+def complete_parts():
+    """Complete texts with encoded parts, 120 of a kind: what their like end in is known from them."""
+    say = "Could you rename the server this morning? I would rather check the draft than wait."
+    code = base64.b64encode((say * 3).encode()).decode()
+    wrapped = "\n".join(code[k : k + 76] for k in range(0, len(code), 76))
+    forms = [
+        'Content-Type: multipart/mixed; boundary="=_b"\n\n--=_b\n\n' + say + "\n\n--=_b\n\n" + say + "\n--=_b--\n",
+        "Content-Transfer-Encoding: base64\n\n" + wrapped + "\n",
+        "Content-Transfer-Encoding: quoted-printable\n\nCould you rename the server=\n this morning=3F\nIt is blocked=2E\nThe=\n end.\n",
+        "Content-Type: text/html\n\n<html><body>\n<p>" + say + "</p>\n<p>" + say + "</p>\n</body></html>\n",
+    ]
+    return [(3000 + 200 * k + i, f, "s3") for k, f in enumerate(forms) for i in range(120)]
+
+
 def test_truncated(spark):
-    rows = corpus()
+    rows = corpus() + complete_parts()
     body = rows[0][1][:200]
     b64 = base64.b64encode((HEAD + "all is well here.").encode()).decode()
     multi = 'Content-Type: multipart/mixed; boundary="=_b"\n\n--=_b\n\nCould you\n'
@@ -202,6 +222,8 @@ def test_truncated(spark):
         1006: HEAD + "I would rather check the ...",
         1007: "From: a@x.example\nSubj",
         1008: HEAD + "Could you rename the �",
+        1010: "Content-Type: text/html\n\n<html><body>\n<p>Could you rename the server this morning?</p>\n",
+        1011: 'Content-Type: multipart/mixed; boundary="=_b"\n\n--=_b\n\nI would rather check the draft.\n\n--=_b\n\nCould you rename the server this morning?',
     }
     fine = {
         2001: HEAD + "I would rather check the poster than wait until the draft was blocked again",
@@ -225,6 +247,20 @@ def test_truncated(spark):
     assert truncation.truncated(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
+def test_more_final_trigrams_than_are_broadcast(spark, monkeypatch):
+    """All trigrams are counted, then joined by salted shuffles; the found rows are the same. Long words match as well."""
+    tail = "x" * 50
+    cut = {1: "Could you rename the draft this morning? I would rather check the server than wait until the", 2: f"Zunur likes {tail}yz"}
+    long = [(7000 + i, HEAD + f"Zunur likes {tail}yz{tail} a lot.", "s1") for i in range(60)]
+    rows = corpus()[:150] + long + [(i, HEAD + t, "s2") for i, t in cut.items()]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    found = lambda: sorted((r.id, r.by) for r in truncation.evidence(df, "doc_id", "text", "source").where("by IS NOT NULL").collect())
+    want = found()
+    assert want == [(1, "words"), (2, "words")]
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    assert found() == want
+
+
 def test_limit_of_a_source(spark):
     """Texts that end at their source's limit, but where any text might, are found by the limit."""
     rows = [(i, t, "free") for i, t, _ in corpus()]
