@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ligaquery.session import cut, small
+from ligaquery.session import cut, lookup, settle
 
 SPLITS = 16
-#: Infinities are ranked as the largest finite double.
-TOP = 1.7976931348623157e308
+INF = float("inf")
 
 
 def value_counts(df: DataFrame, group: list[str], values: list[str], part: list[str] | None = None) -> DataFrame:
@@ -27,7 +26,7 @@ def value_counts(df: DataFrame, group: list[str], values: list[str], part: list[
     """
     keys = [*(part or []), *group]
     long = df.select(*keys, F.inline(F.array(*(F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in values))))
-    long = long.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("v", F.greatest(F.least(F.col("v"), F.lit(TOP)), F.lit(-TOP)) + 0.0)
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("v", F.col("v") + 0.0)  # -0.0 is 0.0
     return long.groupBy(*keys, "measure", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -56,11 +55,15 @@ def percentiles(counts: DataFrame, group: list[str], probs: list[float], max_err
     """
     key = F.struct(*group, "measure")
     data = cut(counts.select(key.alias("k"), "v", "n"))
-    totals = data.groupBy("k").agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    wanted = cut(_targets(totals, probs))
-    ranks = wanted.select("k", "lo", "hi", F.explode(F.array_distinct(F.array("r0", "r1"))).alias("rank")).distinct()
-    state = cut(ranks.select("k", "rank", F.col("rank").alias("left"), "lo", "hi"))
-    done: list[DataFrame] = []
+    finite = F.when(F.abs("v") < INF, F.col("v"))
+    at = lambda x: F.coalesce(F.sum(F.when(F.col("v") == x, F.col("n"))), F.lit(0))
+    totals = data.groupBy("k").agg(F.sum("n").alias("total"), at(-INF).alias("low"), at(INF).alias("high"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    wanted = settle(_targets(totals, probs))
+    ranks = wanted.select("k", "total", "low", "high", "lo", "hi", F.explode(F.array_distinct(F.array("r0", "r1"))).alias("rank")).distinct()
+    bound = F.when(F.col("rank") <= F.col("low"), -INF).when(F.col("rank") > F.col("total") - F.col("high"), INF)
+    edge = settle(ranks.withColumn("value", bound))
+    done: list[DataFrame] = [edge.where("value IS NOT NULL").select("k", "rank", "value")]
+    state = settle(edge.where("value IS NULL").select("k", "rank", (F.col("rank") - F.col("low")).alias("left"), "lo", "hi"))
     wide = _width(F.col("lo"), F.col("hi")) > (max_error if max_error > 0 else 0.0)
     wide = wide & (F.col("lo") < F.col("hi"))
     while True:
@@ -69,14 +72,14 @@ def percentiles(counts: DataFrame, group: list[str], probs: list[float], max_err
         spans = state.select(F.col("k").alias("sk"), "lo", "hi").distinct()
         if spans.isEmpty():
             break
-        inside = data.join(small(spans), F.col("k").eqNullSafe(F.col("sk")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        inside = lookup(data, spans, F.col("k").eqNullSafe(F.col("sk")) & F.col("v").between(F.col("lo"), F.col("hi")))
         piece = F.least(F.floor(F.try_divide(_width(F.col("lo"), F.col("v")), _width(F.col("lo"), F.col("hi"))) * SPLITS), F.lit(SPLITS - 1))
         hist = inside.groupBy("sk", "lo", "hi", piece.alias("piece")).agg(F.sum("n").alias("m"), F.min("v").alias("a"), F.max("v").alias("b"))
         below = Window.partitionBy("sk", "lo", "hi").orderBy("piece")
         hist = hist.withColumn("upto", F.sum("m").over(below)).select("sk", F.col("lo").alias("lo_"), F.col("hi").alias("hi_"), "m", "a", "b", "upto")
         same = F.col("k").eqNullSafe(F.col("sk")) & (F.col("lo") == F.col("lo_")) & (F.col("hi") == F.col("hi_"))
         met = state.join(hist, same & (F.col("left") <= F.col("upto")) & (F.col("left") > F.col("upto") - F.col("m")))
-        state = cut(met.select("k", "rank", (F.col("left") - F.col("upto") + F.col("m")).alias("left"), F.col("a").alias("lo"), F.col("b").alias("hi")))
+        state = settle(met.select("k", "rank", (F.col("left") - F.col("upto") + F.col("m")).alias("left"), F.col("a").alias("lo"), F.col("b").alias("hi")))
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)

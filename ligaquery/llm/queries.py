@@ -33,9 +33,10 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians per day of called_at, each off by at most 0.01."""
+    """Percentiles per day of called_at."""
     counts = percentiles.value_counts(_scored_partners(spark, sf_dir), ["day"], ["xc", "xe"])
-    return percentiles.percentiles(counts, ["day"], [0.5], max_error=0.01)
+    out = percentiles.percentiles(counts, ["day"], PROBS)
+    return out.select(F.col("day").cast("string").alias("day"), "measure", "p", "n", F.round("value", 6).alias("value"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,18 +68,20 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_percentiles, p1_day_percentiles, p7_ids, p8_pack, p8_fill, p9_found, p9_sources)}
 
 
-def oracle_sql() -> dict[str, str]:
+def _percentile_sql(group: str) -> str:
     probs = ", ".join(f"({p})" for p in PROBS)
-    return {
-        "p1_percentiles": f"""
+    return f"""
             WITH s AS (
-                SELECT i.partner, unnest([{{'measure': 'xc', 'v': r.xc::DOUBLE}}, {{'measure': 'xe', 'v': r.xe::DOUBLE}}], recursive := true)
+                SELECT i.partner, r.called_at::DATE::VARCHAR AS day, unnest([{{'measure': 'xc', 'v': r.xc::DOUBLE}}, {{'measure': 'xe', 'v': r.xe::DOUBLE}}], recursive := true)
                 FROM int_partners i JOIN split_records r USING (rec_no)
             ), t AS (
-                SELECT partner, measure, v, count(*) OVER g AS n, row_number() OVER (PARTITION BY partner, measure ORDER BY v) - 1 AS i
-                FROM s WHERE v IS NOT NULL AND NOT isnan(v) AND v <> 1000 WINDOW g AS (PARTITION BY partner, measure)
+                SELECT {group}, measure, v, count(*) OVER g AS n, row_number() OVER (PARTITION BY {group}, measure ORDER BY v) - 1 AS i
+                FROM s WHERE v IS NOT NULL AND NOT isnan(v) AND v <> 1000 WINDOW g AS (PARTITION BY {group}, measure)
             ), w AS (SELECT t.*, p, (n - 1) * p::DOUBLE AS h FROM t, (VALUES {probs}) q(p))
-            SELECT partner, measure, p::DOUBLE AS p, n, round(
+            SELECT {group}, measure, p::DOUBLE AS p, n, round(
                 max(CASE WHEN i = floor(h) THEN v END) * (1 - (max(h) - floor(max(h)))) + max(CASE WHEN i = ceil(h) THEN v END) * (max(h) - floor(max(h))), 6) AS value
-            FROM w WHERE i IN (floor(h), ceil(h)) GROUP BY partner, measure, p, n"""
-    }
+            FROM w WHERE i IN (floor(h), ceil(h)) GROUP BY {group}, measure, p, n"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p1_percentiles": _percentile_sql("partner"), "p1_day_percentiles": _percentile_sql("day")}
