@@ -29,21 +29,36 @@ def usable(records: DataFrame) -> DataFrame:
     return ok.join(stop, same, "left").where("stop_ IS NULL OR rec_no < stop_").drop("s_", "q_", "stop_")
 
 
-def segments(records: DataFrame, introns: DataFrame, min_length: int = 15) -> DataFrame:
-    """(rec_no, seg_no, strt, stop, read_from, read_to): parts between skipped regions that are no annotated intron.
+def _pieces(records: DataFrame) -> DataFrame:
+    return records.select("rec_no", "refid", F.inline(cigar.segments(F.col("cigar"), F.col("pos"), 1, True)))
 
-    ``introns`` are (refid, strt, stop), closed; a skipped region is annotated if the last position before
-    it and the first behind it lie within NEAR of those of an intron. Soft clips belong to no segment.
-    """
-    raw = records.select("rec_no", "refid", F.inline(cigar.segments(F.col("cigar"), F.col("pos"), 1, True)))
+
+def _annotated(raw: DataFrame, introns: DataFrame) -> DataFrame:
     after = raw.select(F.col("rec_no").alias("n_rec"), (F.col("seg_no") - 1).alias("n_seg"), F.col("strt").alias("n_strt"))
     gaps = raw.join(after, (F.col("rec_no") == F.col("n_rec")) & (F.col("seg_no") == F.col("n_seg"))).select("rec_no", "refid", "seg_no", (F.col("stop") + 1).alias("e_end"), F.col("n_strt").alias("e_strt"))
     gaps = gaps.withColumn("bin", F.explode(F.array_distinct(F.array(*(F.floor((F.col("e_end") + d) / BIN) for d in (-NEAR, NEAR))))))
     known = introns.select(F.col("refid").alias("i_ref"), (F.col("strt") - 1).alias("i_end"), (F.col("stop") + 1).alias("i_strt")).withColumn("i_bin", F.floor(F.col("i_end") / BIN))
     near = (F.abs(F.col("e_end") - F.col("i_end")) <= NEAR) & (F.abs(F.col("e_strt") - F.col("i_strt")) <= NEAR)
-    kept = gaps.join(known, (F.col("refid") == F.col("i_ref")) & (F.col("bin") == F.col("i_bin")) & near, "left_semi")
+    return gaps.join(known, (F.col("refid") == F.col("i_ref")) & (F.col("bin") == F.col("i_bin")) & near, "left_semi").select("rec_no", "seg_no").distinct()
+
+
+def annotated_gaps(records: DataFrame, introns: DataFrame) -> DataFrame:
+    """(rec_no, seg_no): the skipped regions of usable records, by the segment before, that are annotated introns.
+
+    ``introns`` are (refid, strt, stop), closed; a skipped region is annotated if the last position before
+    it and the first behind it lie within NEAR of those of an intron.
+    """
+    return _annotated(_pieces(usable(records)), introns)
+
+
+def segments(records: DataFrame, introns: DataFrame, min_length: int = 15) -> DataFrame:
+    """(rec_no, seg_no, strt, stop, read_from, read_to): parts between skipped regions that are no annotated intron.
+
+    Soft clips belong to no segment.
+    """
+    raw = _pieces(records)
     # a record holds as many as its CIGAR has operations
-    kept = kept.groupBy(F.col("rec_no").alias("k_")).agg(F.collect_set("seg_no").alias("joined"))
+    kept = _annotated(raw, introns).groupBy(F.col("rec_no").alias("k_")).agg(F.collect_set("seg_no").alias("joined"))
     before = F.size(F.filter(F.coalesce("joined", F.array().cast("array<int>")), lambda k: k < F.col("seg_no")))
     parts = raw.join(kept, F.col("rec_no") == F.col("k_"), "left").withColumn("part", F.col("seg_no") - before)
     whole = parts.groupBy("rec_no", F.col("part").alias("seg_no")).agg(*(f(c).alias(c) for f, c in ((F.min, "strt"), (F.max, "stop"), (F.min, "read_from"), (F.max, "read_to"))))

@@ -103,8 +103,8 @@ def a17_replicates(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    r = records(spark, sf_dir).select("sample_idx", "qname", "rec_no", "refid", "flag", "pos", "cigar", "xc", "xe")
-    return ia.record_pairs(r, ["refid", "flag", "pos", "cigar", "xc", "xe"])
+    r = records(spark, sf_dir).select("sample_idx", "qname", "rec_no", "refid", "flag", "pos", "mapq", "cigar", "xc", "xe")
+    return ia.record_pairs(r, ["refid", "flag", "pos", "mapq", "cigar", "xc", "xe"])
 
 
 def j7_record_pairs(spark, sf_dir):
@@ -152,32 +152,60 @@ def a16_junctions(spark, sf_dir):
     return exons.select("seqid", "transcript", F.size("exons").alias("n_exons"), F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["feat_strt"], e["feat_end"])), ",").alias("exons"))
 
 
-def j4_spliced_pairs(spark, sf_dir):
-    """Record pairs on one reference whose gap is an annotated intron, within 5 positions at both ends."""
-    names = table(spark, sf_dir, "contigs").select("refid", "refname")
-    p = _pairs(spark, sf_dir).where("a_refid = b_refid AND a_pos IS NOT NULL AND b_pos IS NOT NULL")
-    end = lambda s: F.col(f"{s}_pos") + cigar.ref_span(F.col(f"{s}_cigar")) - 1
-    gap = p.select("a_rec_no", F.col("a_refid").alias("refid"), (F.least(end("a"), end("b")) + 1).alias("g_strt"), (F.greatest("a_pos", "b_pos") - 1).alias("g_stop")).where("g_strt <= g_stop")
-    gap = gap.join(small(names), "refid")
-    introns = w7_introns(spark, sf_dir).select(F.col("seqid").alias("i_seqid"), "strt", "stop")
-    near = (F.abs(F.col("g_strt") - F.col("strt")) <= 5) & (F.abs(F.col("g_stop") - F.col("stop")) <= 5)
-    bins = gap.withColumn("bin", F.explode(F.array_distinct(F.array(*(F.floor((F.col("g_strt") + d) / 1024) for d in (-5, 5))))))
-    return bins.join(introns.withColumn("i_bin", F.floor(F.col("strt") / 1024)), (F.col("refname") == F.col("i_seqid")) & (F.col("bin") == F.col("i_bin")) & near, "left_semi").select("a_rec_no").distinct()
+# ---- detection: the given records, and spliced ones put together from them and from the features ----
+
+FLANK, STRETCH = 30, 60
 
 
-def _detected(spark, sf_dir):
+def _introns(spark, sf_dir):
     names = small(table(spark, sf_dir, "contigs").select("refid", F.col("refname").alias("seqid")))
-    return detect.pairs(records(spark, sf_dir), w7_introns(spark, sf_dir).join(names, "seqid").select("refid", "strt", "stop").distinct())
+    return w7_introns(spark, sf_dir).join(names, "seqid").select("refid", "transcript", "strt", "stop")
+
+
+def detection_records(spark, sf_dir):
+    """Records with ``rec_no`` as text and ``xj``, the number of pieces of the read's alignment.
+
+    No given CIGAR skips a region, so spliced records are built from the given rows: two placed records of a
+    pair on one reference as one record with the gap skipped (p), and over each annotated intron a read
+    that skips it (i), one that skips 60 positions more (x), and one that does both (c).
+    """
+    r = records(spark, sf_dir).select("rec_no", "sample_idx", "qname", "flag", "refid", "pos", "mapq", "cigar")
+    n = r.where("qname IS NOT NULL").groupBy(F.col("sample_idx").alias("s_"), F.col("qname").alias("q_")).agg(F.count(F.lit(1)).cast("int").alias("xj"))
+    given = r.join(n, F.col("sample_idx").eqNullSafe(F.col("s_")) & (F.col("qname") == F.col("q_"))).drop("s_", "q_").withColumn("rec_no", F.concat(F.lit("r"), "rec_no"))
+    end = lambda s: F.col(f"{s}.pos") + cigar.ref_span(F.col(f"{s}.cigar"))
+    side = lambda s: F.struct(F.col(f"{s}_pos").alias("pos"), F.col(f"{s}_cigar").alias("cigar"), F.col(f"{s}_rec_no").alias("rec_no"))
+    p = _pairs(spark, sf_dir).where("a_refid = b_refid").select("*", F.least(side("a"), side("b")).alias("lo"), F.greatest(side("a"), side("b")).alias("hi"))
+    p = p.where((cigar.ref_span(F.col("lo.cigar")) > 0) & (cigar.ref_span(F.col("hi.cigar")) > 0) & (F.col("hi.pos") > end("lo")))
+    joined = p.select(F.concat(F.lit("p"), "a_rec_no").alias("rec_no"), "sample_idx", F.concat(F.lit("p:"), "qname", F.lit(":"), "pair_no").alias("qname"), F.col("a_flag").alias("flag"), F.col("a_refid").alias("refid"),
+        F.col("lo.pos").alias("pos"), F.least("a_mapq", "b_mapq").alias("mapq"), F.concat("lo.cigar", F.col("hi.pos") - end("lo"), F.lit("N"), "hi.cigar").alias("cigar"), F.lit(2).alias("xj"))
+    skip, flank = F.col("stop") - F.col("strt") + 1, F.lit(f"{FLANK}M")
+    wide = F.concat(skip + STRETCH, F.lit("N"), flank)
+    shapes = (("i", F.concat(flank, skip, F.lit("N"), flank)), ("x", F.concat(flank, wide)), ("c", F.concat(flank, skip, F.lit("N"), flank, wide)))
+    reads_ = _introns(spark, sf_dir).select("*", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), c.alias("cigar")) for k, c in shapes))))
+    name = F.concat("k", "refid", F.lit(":"), "transcript", F.lit(":"), "strt")
+    over = reads_.select(name.alias("rec_no"), F.lit(0).alias("sample_idx"), name.alias("qname"), F.lit(0).alias("flag"), "refid", (F.col("strt") - 1 - FLANK).cast("bigint").alias("pos"), F.lit(60).alias("mapq"), "cigar", F.when(F.col("k") == "c", 3).otherwise(2).alias("xj"))
+    return given.unionByName(joined).unionByName(over)
+
+
+def f10_spliced_segments(spark, sf_dir):
+    """Segments of all usable records, kept together at annotated introns."""
+    return detect.segments(detect.usable(detection_records(spark, sf_dir)), _introns(spark, sf_dir))
+
+
+def j4_spliced_pairs(spark, sf_dir):
+    """Skipped regions of the usable records that are annotated introns, within 5 positions at both ends."""
+    return detect.annotated_gaps(detection_records(spark, sf_dir), _introns(spark, sf_dir))
 
 
 def j2_segment_pairs(spark, sf_dir):
     """All pairs of segments of one record, kept together at annotated introns, whose read ranges do not overlap."""
-    return _detected(spark, sf_dir)
+    return detect.pairs(detection_records(spark, sf_dir), _introns(spark, sf_dir))
 
 
 def pred6_detected_routes(spark, sf_dir):
-    """Where each read goes by its pairs of j2_segment_pairs."""
-    return detect.routes(records(spark, sf_dir), _detected(spark, sf_dir))
+    """Where each read goes: by its pairs of j2_segment_pairs, else single if a usable record has one piece."""
+    r = detection_records(spark, sf_dir)
+    return detect.routes(r, detect.pairs(r, _introns(spark, sf_dir)))
 
 
 def _overlaps(spark, sf_dir, feats=None):
@@ -344,7 +372,7 @@ def pred11_routes(spark, sf_dir):
 
 QUERIES = (
     pred1_read_filter, f1_reverse_complement, t4_adapter_offsets, t5_trimmed_reads, t9_window_trim, f12_merged_mates, pred4_record_filter, d4_cigar_spans, f10_segments,
-    a2_sample_counters, k8_stats, a17_replicates, j7_record_pairs, pred8_distinct_segments, f6_feature_names, w7_introns, a16_junctions, j4_spliced_pairs, j2_segment_pairs, pred6_detected_routes, j3_overlaps,
+    a2_sample_counters, k8_stats, a17_replicates, j7_record_pairs, pred8_distinct_segments, f6_feature_names, w7_introns, a16_junctions, f10_spliced_segments, j4_spliced_pairs, j2_segment_pairs, pred6_detected_routes, j3_overlaps,
     a4_feature_frequency, pred20_resolved_segments, j5_unannotated, a9_clusters, u2_annotation, j5_overlaps, j5_feature_frequency, j5_resolved_segments, a5_frequencies, f22_interactions, a6_support, f19_p_values, a14_combined_p,
     k6_condition_counts, k7_graph_nodes, k7_graph_edges, f17_complementarity, f18_energies, pred11_routes,
 )

@@ -12,7 +12,7 @@ READS = """
 PAIRS = """
     marked AS (SELECT *, row_number() OVER (PARTITION BY sample_idx, qname ORDER BY rec_no) - 1 AS i FROM split_records WHERE qname IS NOT NULL),
     pairs AS (SELECT a.sample_idx, a.qname, (a.i // 2)::INT AS pair_no, a.rec_no AS a_rec_no, b.rec_no AS b_rec_no, a.refid AS a_refid, b.refid AS b_refid, a.flag AS a_flag,
-            b.flag AS b_flag, a.pos AS a_pos, b.pos AS b_pos, a.cigar AS a_cigar, b.cigar AS b_cigar, a.xc, a.xe
+            b.flag AS b_flag, a.mapq AS a_mapq, b.mapq AS b_mapq, a.pos AS a_pos, b.pos AS b_pos, a.cigar AS a_cigar, b.cigar AS b_cigar, a.xc, a.xe
         FROM marked a JOIN marked b ON a.sample_idx = b.sample_idx AND a.qname = b.qname AND b.i = a.i + 1 AND a.i % 2 = 0)"""
 PARTNERS = """
     partners AS (SELECT DISTINCT rec_no, sample_idx, partner, regexp_replace(lower(trim(orientation)), '[^a-z]', '', 'g') AS orientation FROM int_partners
@@ -56,6 +56,47 @@ def _end(s: str) -> str:
     return f"{s}_pos + {_span(f'{s}_cigar', 'MDN=X')} - 1"
 
 
+def _clip(cigar: str, where: str) -> str:
+    return f"coalesce(try_cast(regexp_extract({cigar}, '{where}', 1) AS INT), 0)"
+
+
+def _detection() -> str:
+    """Tables pieces(rec_no, refid, k, strt, stop, rf, rt), heads(rec_no, sample_idx, qname, flag, mapq, len, xj), segs and met.
+
+    The pieces of a record put together come from the CIGARs of its two parts, not from its own.
+    """
+    span, read, head, tail = (lambda c: _span(c, "MDN=X")), (lambda c: _span(c, "MIS=X")), (lambda c: _clip(c, "^([0-9]+)S")), (lambda c: _clip(c, "[^0-9]([0-9]+)S$"))
+    return f"""{PAIRS},
+    introns AS (SELECT refid, transcript, strt, stop FROM ({attribute_sql.INTRONS}) JOIN contigs ON seqid = refname),
+    two AS (SELECT 'p' || a_rec_no AS rec_no, sample_idx, 'p:' || qname || ':' || pair_no AS qname, a_flag AS flag, least(a_mapq, b_mapq) AS mapq, a_refid AS refid,
+            CASE WHEN (a_pos, a_cigar, a_rec_no) <= (b_pos, b_cigar, b_rec_no) THEN a_pos ELSE b_pos END AS p1, CASE WHEN (a_pos, a_cigar, a_rec_no) <= (b_pos, b_cigar, b_rec_no) THEN a_cigar ELSE b_cigar END AS c1,
+            CASE WHEN (a_pos, a_cigar, a_rec_no) <= (b_pos, b_cigar, b_rec_no) THEN b_pos ELSE a_pos END AS p2, CASE WHEN (a_pos, a_cigar, a_rec_no) <= (b_pos, b_cigar, b_rec_no) THEN b_cigar ELSE a_cigar END AS c2
+        FROM pairs WHERE a_refid = b_refid AND a_pos IS NOT NULL AND b_pos IS NOT NULL),
+    spliced AS (SELECT *, {span('c1')} AS s1, {span('c2')} AS s2, {read('c1')} AS l1, {read('c2')} AS l2 FROM two WHERE {span('c1')} > 0 AND {span('c2')} > 0 AND p2 > p1 + {span('c1')}),
+    over AS (SELECT *, k || refid || ':' || transcript || ':' || strt AS rec_no, strt - 31 AS pos, stop - strt + 1 AS n FROM introns, (VALUES ('i'), ('x'), ('c')) t(k)),
+    heads AS (
+        SELECT 'r' || rec_no AS rec_no, sample_idx, qname, flag, mapq, refid, pos, {read('cigar')} AS len, count(*) OVER (PARTITION BY sample_idx, qname) AS xj FROM split_records WHERE qname IS NOT NULL
+        UNION ALL SELECT rec_no, sample_idx, qname, flag, mapq, refid, p1, l1 + l2, 2 FROM spliced
+        UNION ALL SELECT rec_no, 0, rec_no, 0, 60, refid, pos, CASE k WHEN 'c' THEN 90 ELSE 60 END, CASE k WHEN 'c' THEN 3 ELSE 2 END FROM over),
+    passing AS (SELECT * FROM heads WHERE flag & 4 = 0 AND mapq > 10 AND len > 15),
+    ok AS (SELECT * FROM (SELECT *, min(CASE WHEN xj < 2 THEN rec_no END) OVER (PARTITION BY sample_idx, qname) AS halt FROM passing WHERE pos IS NOT NULL AND refid IS NOT NULL) WHERE halt IS NULL OR rec_no < halt),
+    pieces AS (
+        SELECT 'r' || rec_no AS rec_no, refid, 0 AS k, pos AS strt, pos + {span('cigar')} - 1 AS stop, {head('cigar')} + 1 AS rf, {read('cigar')} - {tail('cigar')} AS rt FROM split_records WHERE cigar IS NOT NULL AND pos IS NOT NULL
+        UNION ALL SELECT rec_no, refid, 0, p1, p1 + s1 - 1, {head('c1')} + 1, l1 - {tail('c1')} FROM spliced
+        UNION ALL SELECT rec_no, refid, 1, p2, p2 + s2 - 1, l1 + {head('c2')} + 1, l1 + l2 - {tail('c2')} FROM spliced
+        UNION ALL SELECT rec_no, refid, 0, pos, pos + 29, 1, 30 FROM over
+        UNION ALL SELECT rec_no, refid, 1, pos + 30 + n + CASE k WHEN 'x' THEN 60 ELSE 0 END, pos + 59 + n + CASE k WHEN 'x' THEN 60 ELSE 0 END, 31, 60 FROM over
+        UNION ALL SELECT rec_no, refid, 2, pos + 120 + 2 * n, pos + 149 + 2 * n, 61, 90 FROM over WHERE k = 'c'),
+    good AS (SELECT p.* FROM pieces p JOIN ok USING (rec_no) WHERE rt >= rf),
+    gaps AS (SELECT a.rec_no, a.k, a.refid, a.stop + 1 AS e_end, b.strt AS e_strt FROM good a JOIN good b ON a.rec_no = b.rec_no AND b.k = a.k + 1),
+    known AS (SELECT DISTINCT g.rec_no, g.k FROM gaps g JOIN introns i ON g.refid = i.refid AND e_end BETWEEN i.strt - 6 AND i.strt + 4 AND abs(e_strt - (i.stop + 1)) <= 5),
+    segs AS (SELECT rec_no, part::INT AS seg_no, min(strt) AS strt, max(stop) AS stop, min(rf)::INT AS read_from, max(rt)::INT AS read_to
+        FROM (SELECT g.*, g.k - (SELECT count(*) FROM known n WHERE n.rec_no = g.rec_no AND n.k < g.k) AS part FROM good g) GROUP BY rec_no, part HAVING max(rt) - min(rf) + 1 >= 15),
+    met AS (SELECT o.sample_idx, o.qname, o.rec_no, o.refid, a.seg_no AS a_seg_no, a.strt AS a_strt, a.stop AS a_stop, a.read_from AS a_read_from, a.read_to AS a_read_to,
+            b.seg_no AS b_seg_no, b.strt AS b_strt, b.stop AS b_stop, b.read_from AS b_read_from, b.read_to AS b_read_to
+        FROM segs a JOIN segs b ON a.rec_no = b.rec_no AND a.seg_no < b.seg_no JOIN ok o ON o.rec_no = a.rec_no WHERE b.read_from > a.read_to)"""
+
+
 KEY = "fst_rna, fst_ori, sec_rna, sec_ori"
 LABELS = """SELECT *, coalesce(cond_name, 'na') || '_' || lpad(replicate_no::VARCHAR, 3, '0') AS label
     FROM (SELECT *, row_number() OVER (PARTITION BY grp, cond_name ORDER BY sample_idx)::INT AS replicate_no FROM samples)"""
@@ -80,6 +121,13 @@ def oracle_sql() -> dict[str, str]:
                 coalesce(try_cast(regexp_extract(cigar, '[^0-9]([0-9]+)S$', 1) AS INT), 0) AS tail FROM split_records WHERE pos IS NOT NULL AND cigar IS NOT NULL),
             s AS (SELECT rec_no, 0::INT AS seg_no, pos AS strt, pos + {_span('cigar', 'MDN=X')} - 1 AS stop, head + 1 AS read_from, {_span('cigar', 'MIS=X')} - tail AS read_to FROM c)
             SELECT * FROM s WHERE read_to - read_from + 1 >= 15""",
+        "f10_spliced_segments": f"WITH {_detection()} SELECT * FROM segs",
+        "j4_spliced_pairs": f"WITH {_detection()} SELECT rec_no, k::INT AS seg_no FROM known",
+        "j2_segment_pairs": f"WITH {_detection()} SELECT * FROM met",
+        "pred6_detected_routes": f"""WITH {_detection()}, n AS (SELECT sample_idx, qname, count(*) AS n FROM met GROUP BY ALL),
+            per AS (SELECT sample_idx, qname, coalesce(bool_or(xj < 2 AND rec_no IN (SELECT rec_no FROM passing)), false) AS single FROM heads GROUP BY ALL)
+            SELECT p.sample_idx, p.qname, coalesce(n, 0) AS n_pairs, CASE WHEN n > 1 THEN 'multsplits' WHEN n = 1 THEN 'splits' WHEN single THEN 'single' ELSE 'none' END AS route
+            FROM per p LEFT JOIN n ON n.sample_idx IS NOT DISTINCT FROM p.sample_idx AND n.qname = p.qname""",
         "f6_feature_names": attribute_sql.NAMES,
         "w7_introns": attribute_sql.INTRONS,
         "a16_junctions": attribute_sql.JUNCTIONS,
