@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ligaquery.operators.intervals import interval_join
@@ -30,3 +30,22 @@ def with_clusters(features: DataFrame, clusters: DataFrame, min_splits: int = 2)
     new = runs.select(F.col("c_ref").alias("seqid"), F.col("c_strand").alias("strand"), F.expr("strt div 2").alias("feat_strt"), F.expr("stop div 2").alias("feat_end"))
     name = F.concat(F.lit("cluster:"), "seqid", F.lit(":"), "strand", F.lit(":"), "feat_strt", F.lit("-"), "feat_end")
     return given.unionByName(new.select(name.alias("feature"), "*", F.lit(True).alias("is_cluster")))
+
+
+def carried_genes(features: DataFrame) -> DataFrame:
+    """(feat_no, gene_no): exons inside the gene open at their line, in feat_no order.
+
+    ``features`` are (feat_no, feat_type, seqid, feat_strt, feat_end, has_parent). A feature without a parent opens
+    a gene, which stays open until the next one; an exon with a parent belongs to it if it lies
+    inside it on the same sequence. The lines are range-partitioned; the gene open at the end of
+    each partition, one row a partition, is carried into the next ones.
+    """
+    gene = F.when(~F.col("has_parent"), F.struct(F.col("feat_no").alias("no"), F.col("seqid").alias("seq"), F.col("feat_strt").alias("strt"), F.col("feat_end").alias("stop")))
+    rows = cut(features.repartitionByRange("feat_no").withColumn("pid", F.spark_partition_id()).withColumn("gene", gene))
+    ends = rows.where("gene IS NOT NULL").groupBy(F.col("pid").alias("p_")).agg(F.max_by("gene", "feat_no").alias("end_"))
+    ends = rows.select(F.col("pid").alias("q_")).distinct().join(ends, F.col("q_") == F.col("p_"), "left")
+    before = ends.select("q_", F.last("end_", ignorenulls=True).over(Window.orderBy("q_").rowsBetween(Window.unboundedPreceding, -1)).alias("came"))  # one row a partition
+    here = F.last("gene", ignorenulls=True).over(Window.partitionBy("pid").orderBy("feat_no").rowsBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumn("here", here).join(F.broadcast(before), F.col("pid") == F.col("q_")).withColumn("g", F.coalesce("here", "came"))
+    inside = (F.col("g.seq") == F.col("seqid")) & (F.col("feat_strt") >= F.col("g.strt")) & (F.col("feat_end") <= F.col("g.stop"))
+    return met.where("feat_type = 'exon' AND has_parent").where(inside).select("feat_no", F.col("g.no").alias("gene_no"))

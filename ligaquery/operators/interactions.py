@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ligaquery.functions import stats
+from ligaquery.session import lookup
 
 LOW_SUPPORT = 5
 
@@ -114,6 +115,45 @@ def replicate_labels(samples: DataFrame) -> DataFrame:
     return samples.withColumn("replicate_no", no).withColumn("label", F.concat_ws("_", F.coalesce("cond_name", F.lit("na")), F.lpad(no.cast("string"), 3, "0")))
 
 
+def allints(tested: DataFrame, combined: DataFrame, samples: DataFrame) -> DataFrame:
+    """Per key and replicate: supp_reads, gcs, ghs, pval, and padj at the last replicate of each condition with support.
+
+    A last replicate without support of its own has 0 reads, no scores and p = 1. Other replicates
+    without support have no row, so the result grows with the support, not with keys times samples.
+    """
+    named = replicate_labels(samples)
+    size = named.groupBy(F.col("grp").alias("g_"), F.col("cond_name").alias("c_")).agg(F.max("replicate_no").alias("m_"))
+    same = F.col("grp").eqNullSafe(F.col("g_")) & F.col("cond_name").eqNullSafe(F.col("c_"))
+    last = named.join(size, same & (F.col("replicate_no") == F.col("m_"))).select("g_", "c_", F.col("sample_idx").alias("sample_idx"))
+    padj = lookup(combined, last, same).select(*KEY, "sample_idx", "padj")
+    rows = tested.join(padj, [*KEY, "sample_idx"], "full")
+    rows = rows.withColumns({"supp_reads": F.coalesce("supp_reads", F.lit(0).cast("bigint")), "pval": F.coalesce("pval", F.lit(1.0))})
+    cols = named.select(F.col("sample_idx").alias("s_"), "grp", "cond_name", "replicate_no", "label")
+    return lookup(rows, cols, F.col("sample_idx") == F.col("s_")).select(*KEY, "grp", "cond_name", "replicate_no", "label", "supp_reads", "gcs", "ghs", "pval", "padj")
+
+
+def wide_allints(long: DataFrame, labels: list[tuple[str, str]]) -> DataFrame:
+    """``allints`` with the columns ``<grp>_<label>_<value>`` of each (grp, label), in key order; null where there is nothing."""
+    cell = lambda g, x, v: F.max(F.when((F.col("grp") == g) & (F.col("label") == x), F.col(v))).alias(f"{g}_{x}_{v}")
+    return long.groupBy(*KEY).agg(*(cell(g, x, v) for g, x in labels for v in ("supp_reads", "gcs", "ghs", "pval", "padj"))).orderBy(*KEY)
+
+
+def split_table(pairs: DataFrame, resolved: DataFrame, annotation: DataFrame) -> DataFrame:
+    """One row per pair with a partner on both sides: qname, nine columns a side, cmpl, the alignments, mfe and its structure.
+
+    ``pairs`` are (qname, a_*, b_*) with ref, strand, strt, end and the scores a_xc, a_xe; ``annotation`` is
+    (name, biotype, anno_strand, product), a name once. Partners without annotation have nulls. Alignments
+    and structures that the pairs do not carry are ``.``
+    """
+    out = pairs
+    for s, side in (("a", "fst"), ("b", "sec")):
+        out = out.join(resolved.select(F.col("rec_no").alias(f"{s}_r"), F.col("partner").alias(f"{side}_name"), F.col("orientation").alias(f"{side}_ori")), F.col(f"{s}_rec_no") == F.col(f"{s}_r"))
+        out = lookup(out, annotation.select(F.col("name").alias(f"{side}_n"), *(F.col(c).alias(f"{side}_{c}") for c in ("biotype", "anno_strand", "product"))), F.col(f"{side}_name") == F.col(f"{side}_n"), "left")
+    cols = lambda s, side: [*(F.col(f"{s}_{c}").alias(f"{side}_{c}") for c in ("strand", "strt", "end", "ref")), *(f"{side}_{c}" for c in ("name", "biotype", "anno_strand", "product", "ori"))]
+    dot = lambda c: F.lit(".").alias(c)
+    return out.select("qname", *cols("a", "fst"), *cols("b", "sec"), F.col("a_xc").alias("cmpl"), dot("fst_aln"), dot("sec_aln"), F.col("a_xe").alias("mfe"), dot("mfe_struc"))
+
+
 def wide_counts(tested: DataFrame, samples: DataFrame, value: str = "supp_reads") -> DataFrame:
     """One row per key, one column per replicate label; the labels are read first, one a sample."""
     named = replicate_labels(samples).select("sample_idx", F.concat_ws("_", "grp", "label").alias("label"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ligaquery.functions import cigar, seq
 from ligaquery.operators import alignment, annotation, clustering, detect, interactions as ia, packed, preproc
 from ligaquery.operators.intervals import interval_join
-from ligaquery.session import small, table
+from ligaquery.session import cut, lookup, small, table
 
 READ_LENGTH, ADAPTER = 150, "AGATCGG"
 
@@ -336,6 +336,49 @@ def k6_condition_counts(spark, sf_dir):
     return t.groupBy(*ia.KEY, "grp", "cond_name").agg(F.sum("supp_reads").alias("supp_reads"), F.count(F.lit(1)).alias("replicates"))
 
 
+def k5_allints(spark, sf_dir):
+    """Per key and replicate: support, scores and p-value, with the combined p-value at the last replicate of each condition."""
+    tested, samples = cut(_tested(spark, sf_dir)), table(spark, sf_dir, "samples")
+    out = ia.allints(tested, ia.combined_p(tested, samples), samples)
+    return out.withColumns({"gcs": F.round("gcs", 6), "ghs": F.round("ghs", 6), "pval": F.round("pval", 8), "padj": F.round("padj", 8)})
+
+
+def k6_replicate_counts(spark, sf_dir):
+    """Support per key, written as one id, and replicate."""
+    named = ia.replicate_labels(table(spark, sf_dir, "samples")).select(F.col("sample_idx").alias("s_"), "grp", "label")
+    rows = lookup(ia.support(_interactions(spark, sf_dir)[0]), named, F.col("sample_idx") == F.col("s_"))
+    return rows.select(F.concat_ws("_", "fst_rna", "sec_rna", "fst_ori", "sec_ori").alias("id"), "grp", "label", "sample_idx", "supp_reads")
+
+
+def k8_run_stats(spark, sf_dir):
+    """Per sample: reads, aligned (one usable record), splits, multsplits, and interactions with support."""
+    ok = (F.col("flag").bitwiseAND(4) == 0) & (F.col("mapq") > 10) & (cigar.read_span(F.col("cigar")) > 15) & F.col("pos").isNotNull() & F.col("refid").isNotNull()
+    per = records(spark, sf_dir).where("qname IS NOT NULL").groupBy("sample_idx", "qname").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("u"))
+    n = per.groupBy("sample_idx").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.expr("n = 1 AND u = 1")).alias("aligned"), F.count_if(F.expr("n div 2 = 1")).alias("splits"), F.count_if(F.expr("n div 2 > 1")).alias("multsplits"))
+    found = _interactions(spark, sf_dir)[0].select("sample_idx", *ia.KEY).distinct().groupBy("sample_idx").agg(F.count(F.lit(1)).alias("interactions"))
+    s = ia.replicate_labels(table(spark, sf_dir, "samples")).select("sample_idx", "grp", "label")
+    return s.join(n, "sample_idx", "left").join(found, "sample_idx", "left").fillna(0, ["reads", "aligned", "splits", "multsplits", "interactions"])
+
+
+def k4_interactions(spark, sf_dir):
+    """One row per record pair with a partner on both sides, with the annotation of the first feature of that name."""
+    names = small(table(spark, sf_dir, "contigs").select("refid", "refname"))
+    p = _pairs(spark, sf_dir).where("a_pos IS NOT NULL AND b_pos IS NOT NULL")
+    for s in "ab":
+        end = F.col(f"{s}_pos") + cigar.read_span(F.col(f"{s}_cigar"))
+        p = p.join(names.withColumnsRenamed({"refid": f"{s}_refid", "refname": f"{s}_ref"}), f"{s}_refid").withColumns({f"{s}_strand": _strand(f"{s}_flag"), f"{s}_strt": F.col(f"{s}_pos"), f"{s}_end": end})
+    feats = f6_feature_names(spark, sf_dir).where("name IS NOT NULL").join(_features(spark, sf_dir).select("feat_no", "strand"), "feat_no")
+    first = feats.groupBy("name").agg(F.min_by(F.struct("biotype", "strand", "product"), "feat_no").alias("f"))
+    anno = first.select("name", "f.biotype", F.col("f.strand").alias("anno_strand"), "f.product")
+    return ia.split_table(p, ia.resolve(ia.partners(table(spark, sf_dir, "int_partners"))), anno)
+
+
+def j11_exon_genes(spark, sf_dir):
+    """Exons inside the gene that is open at their line."""
+    rows = packed.packed_values(_features(spark, sf_dir).select("feat_no", "feat_type", "seqid", "feat_strt", "feat_end", "attributes"), "attributes", ["parent"])
+    return annotation.carried_genes(rows.select("feat_no", "feat_type", "seqid", "feat_strt", "feat_end", (F.size("vals") > 0).alias("has_parent")))
+
+
 def k7_graph_nodes(spark, sf_dir):
     return ia.graph(_interactions(spark, sf_dir)[0])[0]
 
@@ -374,7 +417,7 @@ QUERIES = (
     pred1_read_filter, f1_reverse_complement, t4_adapter_offsets, t5_trimmed_reads, t9_window_trim, f12_merged_mates, pred4_record_filter, d4_cigar_spans, f10_segments,
     a2_sample_counters, k8_stats, a17_replicates, j7_record_pairs, pred8_distinct_segments, f6_feature_names, w7_introns, a16_junctions, f10_spliced_segments, j4_spliced_pairs, j2_segment_pairs, pred6_detected_routes, j3_overlaps,
     a4_feature_frequency, pred20_resolved_segments, j5_unannotated, a9_clusters, u2_annotation, j5_overlaps, j5_feature_frequency, j5_resolved_segments, a5_frequencies, f22_interactions, a6_support, f19_p_values, a14_combined_p,
-    k6_condition_counts, k7_graph_nodes, k7_graph_edges, f17_complementarity, f18_energies, pred11_routes,
+    k4_interactions, k5_allints, k6_condition_counts, k6_replicate_counts, k8_run_stats, j11_exon_genes, k7_graph_nodes, k7_graph_edges, f17_complementarity, f18_energies, pred11_routes,
 )
 
 

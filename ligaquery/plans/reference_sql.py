@@ -104,6 +104,38 @@ COUNTERS = """SELECT sample_idx, count(*) AS reads, sum(n)::BIGINT AS records, c
     FROM (SELECT sample_idx, qname, count(*) AS n FROM split_records GROUP BY ALL) GROUP BY ALL"""
 
 
+COMBINED = f"""m AS (SELECT grp, cond_name, count(*) AS m FROM samples GROUP BY ALL),
+    s AS (SELECT sample_idx, samples.grp, samples.cond_name, m FROM samples JOIN m ON m.grp IS NOT DISTINCT FROM samples.grp AND m.cond_name IS NOT DISTINCT FROM samples.cond_name),
+    r AS (SELECT t.*, grp, cond_name, m, row_number() OVER (PARTITION BY {KEY}, grp, cond_name ORDER BY pval, t.sample_idx) AS k FROM tested t JOIN s USING (sample_idx)),
+    x AS (SELECT {KEY}, grp, cond_name, m, count(*) AS n_supported, -sum(ln(least(1, pval * m / k))) AS h FROM r GROUP BY ALL),
+    comb AS (SELECT {KEY}, grp, cond_name, n_supported, greatest(1e-10, exp(-h) * list_sum(list_transform(range(0, m), lambda k: CASE WHEN k = 0 THEN 1 ELSE h ** k / exp(lgamma(k + 1.0)) END))) AS padj FROM x)"""
+CLUSTERS = f"""WITH RECURSIVE {PAIRS},
+    ends AS (SELECT (a_refid, CASE WHEN a_flag & 16 <> 0 THEN '-' ELSE '+' END, a_pos, {_end('a')}) AS a, (b_refid, CASE WHEN b_flag & 16 <> 0 THEN '-' ELSE '+' END, b_pos, {_end('b')}) AS b
+        FROM pairs WHERE a_refid IS NOT NULL AND b_refid IS NOT NULL AND a_pos IS NOT NULL AND b_pos IS NOT NULL AND {_span('a_cigar', 'MDN=X')} > 0 AND {_span('b_cigar', 'MDN=X')} > 0),
+    box AS (SELECT row_number() OVER () AS v, least(a, b) AS x, greatest(a, b) AS y FROM ends),
+    link AS (SELECT p.v AS u, q.v AS v FROM box p JOIN box q ON p.x[1] = q.x[1] AND p.x[2] = q.x[2] AND p.y[1] = q.y[1] AND p.y[2] = q.y[2]
+        AND p.x[3] <= q.x[4] AND q.x[3] <= p.x[4] AND p.y[3] <= q.y[4] AND q.y[3] <= p.y[4]),
+    near(v, r) AS (SELECT v, u FROM link UNION SELECT l.v, n.r FROM near n JOIN link l ON l.u = n.v),
+    comp AS (SELECT v, min(r) AS root FROM near GROUP BY v)
+    SELECT any_value(x[1]) AS fst_ref, any_value(x[2]) AS fst_strand, min(x[3]) AS fst_strt, max(x[4]) AS fst_end, any_value(y[1]) AS sec_ref, any_value(y[2]) AS sec_strand,
+        min(y[3]) AS sec_strt, max(y[4]) AS sec_end, count(*) AS no_splits, max(x[4]) - min(x[3]) + 1 AS fst_len, max(y[4]) - min(y[3]) + 1 AS sec_len FROM box JOIN comp USING (v) GROUP BY root"""
+ANNOTATED = f"""{CLUSTERS.split("SELECT any_value")[0].rstrip()},
+    clusters AS (SELECT any_value{CLUSTERS.split("SELECT any_value")[1]}),
+    sides AS (SELECT DISTINCT refname AS ref, strand, strt, stop FROM (SELECT fst_ref AS r, fst_strand AS strand, fst_strt AS strt, fst_end AS stop FROM clusters WHERE no_splits >= 2
+        UNION ALL SELECT sec_ref, sec_strand, sec_strt, sec_end FROM clusters WHERE no_splits >= 2) JOIN contigs ON refid = r),
+    feats AS (SELECT feat_no::VARCHAR AS feature, seqid, strand, feat_strt::BIGINT AS feat_strt, feat_end::BIGINT AS feat_end FROM features WHERE feat_type IS NULL OR feat_type <> 'region'),
+    hit AS (SELECT feature, f.strand AS fs, s.* FROM sides s JOIN feats f ON f.seqid = s.ref AND s.strt <= f.feat_end AND f.feat_strt <= s.stop AND f.feat_strt <= f.feat_end),
+    wide AS (SELECT feature, min(strt) AS a, max(stop) AS b FROM hit WHERE fs = strand GROUP BY ALL),
+    free AS (SELECT * FROM sides WHERE (ref, strand, strt, stop) NOT IN (SELECT (ref, strand, strt, stop) FROM hit)),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY ref, strand ORDER BY strt, stop ROWS UNBOUNDED PRECEDING) AS g FROM (
+        SELECT *, CASE WHEN strt <= max(stop) OVER (PARTITION BY ref, strand ORDER BY strt, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM free)),
+    fresh AS (SELECT ref, strand, min(strt) AS a, max(stop) AS b FROM runs GROUP BY ref, strand, g),
+    anno AS (SELECT f.feature, seqid, strand, least(feat_strt, a) AS feat_strt, greatest(feat_end, b) AS feat_end, false AS is_cluster FROM feats f LEFT JOIN wide w ON w.feature = f.feature
+        UNION ALL SELECT 'cluster:' || ref || ':' || strand || ':' || a || '-' || b, ref, strand, a, b, true FROM fresh)"""
+HITS = """hits AS (SELECT s.seg_no, s.sample_idx, feature, CASE WHEN (CASE WHEN s.flag & 16 <> 0 THEN '-' ELSE '+' END) = n.strand THEN 'sense' ELSE 'antisense' END AS orientation
+        FROM segments s JOIN contigs USING (refid) JOIN anno n ON n.seqid = refname AND s.seg_strt <= n.feat_end AND n.feat_strt <= s.seg_end WHERE s.seg_strt <= s.seg_end AND n.feat_strt <= n.feat_end)"""
+
+
 def oracle_sql() -> dict[str, str]:
     hamming = "list_sum(list_transform(range(1, 8), lambda i: (seq[o + i] <> 'AGATCGG'[i])::INT))"
     return {
@@ -131,16 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "f6_feature_names": attribute_sql.NAMES,
         "w7_introns": attribute_sql.INTRONS,
         "a16_junctions": attribute_sql.JUNCTIONS,
-        "a9_clusters": f"""WITH RECURSIVE {PAIRS},
-            ends AS (SELECT (a_refid, CASE WHEN a_flag & 16 <> 0 THEN '-' ELSE '+' END, a_pos, {_end('a')}) AS a, (b_refid, CASE WHEN b_flag & 16 <> 0 THEN '-' ELSE '+' END, b_pos, {_end('b')}) AS b
-                FROM pairs WHERE a_refid IS NOT NULL AND b_refid IS NOT NULL AND a_pos IS NOT NULL AND b_pos IS NOT NULL AND {_span('a_cigar', 'MDN=X')} > 0 AND {_span('b_cigar', 'MDN=X')} > 0),
-            box AS (SELECT row_number() OVER () AS v, least(a, b) AS x, greatest(a, b) AS y FROM ends),
-            link AS (SELECT p.v AS u, q.v AS v FROM box p JOIN box q ON p.x[1] = q.x[1] AND p.x[2] = q.x[2] AND p.y[1] = q.y[1] AND p.y[2] = q.y[2]
-                AND p.x[3] <= q.x[4] AND q.x[3] <= p.x[4] AND p.y[3] <= q.y[4] AND q.y[3] <= p.y[4]),
-            near(v, r) AS (SELECT v, u FROM link UNION SELECT l.v, n.r FROM near n JOIN link l ON l.u = n.v),
-            comp AS (SELECT v, min(r) AS root FROM near GROUP BY v)
-            SELECT any_value(x[1]) AS fst_ref, any_value(x[2]) AS fst_strand, min(x[3]) AS fst_strt, max(x[4]) AS fst_end, any_value(y[1]) AS sec_ref, any_value(y[2]) AS sec_strand,
-                min(y[3]) AS sec_strt, max(y[4]) AS sec_end, count(*) AS no_splits, max(x[4]) - min(x[3]) + 1 AS fst_len, max(y[4]) - min(y[3]) + 1 AS sec_len FROM box JOIN comp USING (v) GROUP BY root""",
+        "a9_clusters": CLUSTERS,
         "pred4_record_filter": f"SELECT rec_no, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand FROM split_records WHERE flag & 4 = 0 AND mapq > 10 AND {_span('cigar', 'MIS=X')} > 15",
         "d4_cigar_spans": f"""SELECT rec_no, {_span('cigar', 'MIS=X')} AS read_span, {_span('cigar', 'MDN=X')} AS ref_span,
             len(regexp_extract_all(cigar, '[0-9]+[MIDNSHPX=]'))::INT AS n_ops FROM split_records""",
@@ -164,12 +187,37 @@ def oracle_sql() -> dict[str, str]:
         "f22_interactions": f"WITH {PAIRS}, {PARTNERS} SELECT sample_idx, qname, pair_no, {KEY} FROM found",
         "a6_support": f"WITH {PAIRS}, {PARTNERS}, {SUPPORT} SELECT {KEY}, sample_idx, supp_reads, round(gcs, 6) AS gcs, round(ghs, 6) AS ghs FROM supp",
         "f19_p_values": f"WITH {PAIRS}, {PARTNERS}, {SUPPORT}, {FREQ}, {TESTED} SELECT {KEY}, sample_idx, supp_reads, round(pval, 8) AS pval FROM tested",
-        "a14_combined_p": f"""WITH {PAIRS}, {PARTNERS}, {SUPPORT}, {FREQ}, {TESTED},
-            m AS (SELECT grp, cond_name, count(*) AS m FROM samples GROUP BY ALL),
-            s AS (SELECT sample_idx, samples.grp, samples.cond_name, m FROM samples JOIN m ON m.grp IS NOT DISTINCT FROM samples.grp AND m.cond_name IS NOT DISTINCT FROM samples.cond_name),
-            r AS (SELECT t.*, grp, cond_name, m, row_number() OVER (PARTITION BY {KEY}, grp, cond_name ORDER BY pval, t.sample_idx) AS k FROM tested t JOIN s USING (sample_idx)),
-            x AS (SELECT {KEY}, grp, cond_name, m, count(*) AS n_supported, -sum(ln(least(1, pval * m / k))) AS h FROM r GROUP BY ALL)
-            SELECT {KEY}, grp, cond_name, n_supported, round(greatest(1e-10, exp(-h) * list_sum(list_transform(range(0, m), lambda k: CASE WHEN k = 0 THEN 1 ELSE h ** k / exp(lgamma(k + 1.0)) END))), 8) AS padj FROM x""",
+        "a14_combined_p": f"WITH {PAIRS}, {PARTNERS}, {SUPPORT}, {FREQ}, {TESTED}, {COMBINED} SELECT {KEY}, grp, cond_name, n_supported, round(padj, 8) AS padj FROM comb",
+        "k5_allints": f"""WITH {PAIRS}, {PARTNERS}, {SUPPORT}, {FREQ}, {TESTED}, {COMBINED}, lab AS ({LABELS}),
+            ends AS (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY grp, cond_name ORDER BY replicate_no DESC) = 1),
+            padj AS (SELECT c.*, e.sample_idx FROM comb c JOIN ends e ON e.grp IS NOT DISTINCT FROM c.grp AND e.cond_name IS NOT DISTINCT FROM c.cond_name)
+            SELECT {KEY}, lab.grp, lab.cond_name, replicate_no, label, coalesce(t.supp_reads, 0) AS supp_reads, round(t.gcs, 6) AS gcs, round(t.ghs, 6) AS ghs, round(coalesce(t.pval, 1.0), 8) AS pval, round(p.padj, 8) AS padj
+            FROM tested t FULL JOIN padj p USING ({KEY}, sample_idx) JOIN lab USING (sample_idx)""",
+        "k6_replicate_counts": f"""WITH {PAIRS}, {PARTNERS}, {SUPPORT}, lab AS ({LABELS})
+            SELECT concat_ws('_', fst_rna, sec_rna, fst_ori, sec_ori) AS id, grp, label, sample_idx, supp_reads FROM supp JOIN lab USING (sample_idx)""",
+        "k8_run_stats": f"""WITH {PAIRS}, {PARTNERS}, lab AS ({LABELS}),
+            readers AS (SELECT sample_idx, qname, count(*) AS n, count(*) FILTER (flag & 4 = 0 AND mapq > 10 AND {_span('cigar', 'MIS=X')} > 15 AND pos IS NOT NULL AND refid IS NOT NULL) AS u FROM split_records WHERE qname IS NOT NULL GROUP BY ALL),
+            n AS (SELECT sample_idx, count(*) AS reads, count(*) FILTER (n = 1 AND u = 1) AS aligned, count(*) FILTER (n // 2 = 1) AS splits, count(*) FILTER (n // 2 > 1) AS multsplits FROM readers GROUP BY ALL),
+            i AS (SELECT sample_idx, count(*) AS interactions FROM (SELECT DISTINCT sample_idx, {KEY} FROM found) GROUP BY ALL)
+            SELECT lab.sample_idx, grp, label, coalesce(reads, 0) AS reads, coalesce(aligned, 0) AS aligned, coalesce(splits, 0) AS splits, coalesce(multsplits, 0) AS multsplits, coalesce(interactions, 0) AS interactions
+            FROM lab LEFT JOIN n USING (sample_idx) LEFT JOIN i USING (sample_idx)""",
+        "k4_interactions": f"""WITH {PAIRS}, {PARTNERS},
+            names AS ({attribute_sql.NAMES}), anno AS (SELECT name, arg_min({{'b': biotype, 's': strand, 'p': product}}, feat_no) AS f FROM names JOIN features USING (feat_no) WHERE name IS NOT NULL GROUP BY name)
+            SELECT qname, CASE WHEN a_flag & 16 <> 0 THEN '-' ELSE '+' END AS fst_strand, a_pos AS fst_strt, a_pos + {_span('a_cigar', 'MIS=X')} AS fst_end, ca.refname AS fst_ref, x.partner AS fst_name, fa.f.b AS fst_biotype, fa.f.s AS fst_anno_strand, fa.f.p AS fst_product, x.orientation AS fst_ori,
+                CASE WHEN b_flag & 16 <> 0 THEN '-' ELSE '+' END AS sec_strand, b_pos AS sec_strt, b_pos + {_span('b_cigar', 'MIS=X')} AS sec_end, cb.refname AS sec_ref, y.partner AS sec_name, fb.f.b AS sec_biotype, fb.f.s AS sec_anno_strand, fb.f.p AS sec_product, y.orientation AS sec_ori,
+                xc AS cmpl, '.' AS fst_aln, '.' AS sec_aln, xe AS mfe, '.' AS mfe_struc
+            FROM pairs JOIN contigs ca ON ca.refid = a_refid JOIN contigs cb ON cb.refid = b_refid JOIN resolved x ON x.rec_no = a_rec_no JOIN resolved y ON y.rec_no = b_rec_no
+            LEFT JOIN anno fa ON fa.name = x.partner LEFT JOIN anno fb ON fb.name = y.partner WHERE a_pos IS NOT NULL AND b_pos IS NOT NULL""",
+        "j11_exon_genes": f"""WITH {attribute_sql.VALS}, {attribute_sql.FEATURES}, kids AS (SELECT DISTINCT feat_no FROM vals WHERE attr_key = 'parent'),
+            l AS (SELECT fs.*, kids.feat_no IS NOT NULL AS has_parent FROM fs LEFT JOIN kids USING (feat_no)),
+            o AS (SELECT *, last_value(CASE WHEN NOT has_parent THEN {{'no': feat_no, 'seq': seqid, 'a': feat_strt, 'b': feat_end}} END IGNORE NULLS) OVER (ORDER BY feat_no) AS g FROM l)
+            SELECT feat_no, g.no AS gene_no FROM o WHERE feat_type = 'exon' AND has_parent AND g.seq = seqid AND feat_strt >= g.a AND feat_end <= g.b""",
+        "u2_annotation": f"{ANNOTATED} SELECT * FROM anno",
+        "j5_overlaps": f"{ANNOTATED}, {HITS} SELECT seg_no, feature, orientation FROM hits",
+        "j5_feature_frequency": f"{ANNOTATED}, {HITS} SELECT sample_idx, orientation, feature, round(sum(1 / n), 6) AS f FROM (SELECT *, count(*) OVER (PARTITION BY seg_no) AS n FROM hits) GROUP BY ALL",
+        "j5_resolved_segments": f"""{ANNOTATED}, {HITS}, rs AS (SELECT seg_no, count(*) FILTER (orientation = 'sense') AS s, count(*) FILTER (orientation <> 'sense') AS a,
+            max(feature) FILTER (orientation = 'sense') AS sf, max(feature) FILTER (orientation <> 'sense') AS af FROM hits GROUP BY 1)
+            SELECT seg_no, CASE WHEN s = 1 THEN sf ELSE af END AS feature, CASE WHEN s = 1 THEN 'sense' ELSE 'antisense' END AS orientation FROM rs WHERE s = 1 OR a = 1""",
         "k6_condition_counts": f"""WITH {PAIRS}, {PARTNERS}, {SUPPORT} SELECT {KEY}, grp, cond_name, sum(supp_reads)::BIGINT AS supp_reads, count(*) AS replicates
             FROM supp JOIN samples USING (sample_idx) GROUP BY ALL""",
         "k7_graph_nodes": f"""WITH {PAIRS}, {PARTNERS} SELECT DISTINCT l || '|' || o AS node_id, l AS label, o AS orientation
