@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar
-from ligaquery.operators import alignment
 
 NEAR, BIN = 5, 1024
 
@@ -65,26 +64,15 @@ def segments(records: DataFrame, introns: DataFrame, min_length: int = 15) -> Da
     return whole.where(F.col("read_to") - F.col("read_from") + 1 >= min_length)
 
 
-def pairs(records: DataFrame, introns: DataFrame, min_length: int = 15, min_complementarity: float = 0.0, min_ratio: float = 0.05, max_energy: float = 0.0) -> DataFrame:
-    """All pairs i < j of the segments of a record whose read ranges do not overlap.
-
-    (sample_idx, qname, rec_no, refid, a_*, b_*). With a column ``seq`` the pairs are scored as well: ``cmpl`` (the alignment)
-    and ``energy``, and those below the limits are left out.
-    """
+def pairs(records: DataFrame, introns: DataFrame, min_length: int = 15) -> DataFrame:
+    """All pairs i < j of the segments of a record whose read ranges do not overlap: (sample_idx, qname, rec_no, refid, a_*, b_*)."""
     ok = usable(records)
     segs = segments(ok, introns, min_length)
     cols = ["seg_no", "strt", "stop", "read_from", "read_to"]
     side = lambda s: segs.select(F.col("rec_no").alias(f"{s}_rec"), *(F.col(c).alias(f"{s}_{c}") for c in cols))
     met = side("a").join(side("b"), (F.col("a_rec") == F.col("b_rec")) & (F.col("a_seg_no") < F.col("b_seg_no")))
     met = met.where("NOT (b_read_from <= a_read_to OR (a_read_from >= b_read_from AND a_read_from <= b_read_to))")
-    head = ["sample_idx", "qname", "rec_no", "refid"] + (["seq"] if "seq" in records.columns else [])
-    out = ok.select(*head).join(met, F.col("rec_no") == F.col("a_rec")).drop("a_rec", "b_rec")
-    if "seq" not in records.columns:
-        return out
-    part = lambda s: F.substr("seq", F.col(f"{s}_read_from"), F.col(f"{s}_read_to") - F.col(f"{s}_read_from") + 1)
-    out = out.withColumn("cmpl", alignment.complementarity(part("a"), part("b"), min_complementarity, min_ratio)).where("cmpl.length IS NOT NULL").drop("seq")
-    bare = lambda c: F.replace(F.col(f"cmpl.{c}"), F.lit("-"), F.lit(""))
-    return out.withColumn("energy", alignment.hybridisation_energy(F.reverse(bare("aln_a")), bare("aln_b"))).where(F.col("energy") <= max_energy)
+    return ok.select("sample_idx", "qname", "rec_no", "refid").join(met, F.col("rec_no") == F.col("a_rec")).drop("a_rec", "b_rec")
 
 
 def routes(records: DataFrame, found: DataFrame) -> DataFrame:

@@ -302,8 +302,11 @@ def _descendants_by_rounds(links: DataFrame) -> DataFrame:
 
 def families(links: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
     """(small, large, number of small ones) of the distinct links: (k, p, c) with the family's label k; large is None without any."""
-    labels = components(_nodes(links).withColumnRenamed("x", "v"), links.select(F.col("p").alias("u"), F.col("c").alias("v")))
-    marked = settle(links.select("p", "c").join(labels.select(F.col("v").alias("w"), F.col("root").alias("k")), F.col("p") == F.col("w")).select("k", "p", "c"))
+    number = settle(_nodes(links).withColumn("v", F.monotonically_increasing_id()))  # written, so the same in each use
+    a, b = number.select(F.col("x").alias("p"), F.col("v").alias("a")), number.select(F.col("x").alias("c"), F.col("v").alias("b"))
+    pairs = settle(links.select("p", "c").join(a, "p").join(b, "c"), number)
+    labels = components(pairs.select(F.explode(F.array("a", "b")).alias("v")), pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    marked = settle(pairs.join(labels, F.col("a") == F.col("v")).select(F.col("root").alias("k"), "p", "c"), pairs, labels)
     sizes = marked.groupBy("k").agg(F.count(F.lit(1)).alias("n")).groupBy((F.col("n") > FAMILY).alias("large")).agg(F.sum("n").alias("n"))
     counted = {r.large: r.n for r in sizes.collect()}  # at most two rows
     if not counted.get(True):

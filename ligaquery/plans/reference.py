@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar, seq
-from ligaquery.operators import alignment, annotation, clustering, detect, interactions as ia, packed, preproc
+from ligaquery.operators import annotation, clustering, detect, interactions as ia, packed, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.session import cut, lookup, small, table
 
@@ -387,26 +387,6 @@ def k7_graph_edges(spark, sf_dir):
     return ia.graph(_interactions(spark, sf_dir)[0])[1]
 
 
-# ---- scores of read pairs ----
-
-
-def _read_pairs(spark, sf_dir):
-    r = reads(spark, sf_dir).select("doc_id", F.floor(F.col("read_no") / 2).alias("pair_no"), (F.col("read_no") % 2).alias("side"), "seq")
-    return r.groupBy("doc_id", "pair_no").agg(F.max(F.when(F.col("side") == 0, F.col("seq"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("seq"))).alias("b")).where("b IS NOT NULL")
-
-
-def f17_complementarity(spark, sf_dir):
-    scored = _read_pairs(spark, sf_dir).select("doc_id", "pair_no", alignment.complementarity(F.col("a"), F.col("b"), 0.0, 0.05).alias("r"))
-    return scored.where("r.length IS NOT NULL").select("doc_id", "pair_no", "r.*")
-
-
-def f18_energies(spark, sf_dir):
-    """Energy of the complementary parts, computed only for pairs that pass the complementarity cutoff; at most 0."""
-    bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
-    c = f17_complementarity(spark, sf_dir).select("doc_id", "pair_no", alignment.hybridisation_energy(F.reverse(bare("aln_a")), bare("aln_b")).alias("energy"))
-    return c.where("energy <= 0").select("doc_id", "pair_no", F.round("energy", 4).alias("energy"))
-
-
 def pred11_routes(spark, sf_dir):
     """Where each read goes: single (no pair), splits (one) or multsplits (several)."""
     per = records(spark, sf_dir).where("qname IS NOT NULL").groupBy("sample_idx", "qname").agg(F.floor(F.count(F.lit(1)) / 2).alias("n_pairs"))
@@ -417,7 +397,7 @@ QUERIES = (
     pred1_read_filter, f1_reverse_complement, t4_adapter_offsets, t5_trimmed_reads, t9_window_trim, f12_merged_mates, pred4_record_filter, d4_cigar_spans, f10_segments,
     a2_sample_counters, k8_stats, a17_replicates, j7_record_pairs, pred8_distinct_segments, f6_feature_names, w7_introns, a16_junctions, f10_spliced_segments, j4_spliced_pairs, j2_segment_pairs, pred6_detected_routes, j3_overlaps,
     a4_feature_frequency, pred20_resolved_segments, j5_unannotated, a9_clusters, u2_annotation, j5_overlaps, j5_feature_frequency, j5_resolved_segments, a5_frequencies, f22_interactions, a6_support, f19_p_values, a14_combined_p,
-    k4_interactions, k5_allints, k6_condition_counts, k6_replicate_counts, k8_run_stats, j11_exon_genes, k7_graph_nodes, k7_graph_edges, f17_complementarity, f18_energies, pred11_routes,
+    k4_interactions, k5_allints, k6_condition_counts, k6_replicate_counts, k8_run_stats, j11_exon_genes, k7_graph_nodes, k7_graph_edges, pred11_routes,
 )
 
 

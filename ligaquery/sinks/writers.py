@@ -55,3 +55,16 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The interaction graph as JSON lines under nodes/ and edges/; all values are strings."""
     nodes.select("node_id", "label", F.struct("orientation").alias("metadata")).write.mode("overwrite").json(f"{path}/nodes")
     edges.select("source", "target", "relation").write.mode("overwrite").json(f"{path}/edges")
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Run statistics: condition, the replicate in three digits, and the counters."""
+    counters = [c for c in ("reads", "aligned", "splits", "multsplits", "interactions") if c in stats.columns]
+    label = F.split("label", "_")
+    write_table(stats.select(F.concat_ws("_", "grp", F.array_join(F.slice(label, 1, F.size(label) - 1), "_")).alias("condition"), F.element_at(label, -1).alias("replicate"), *counters), path)
+
+
+def pair_records(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b: structs of a record) as records, two rows a pair: ``pair_no`` holds them together, ``side`` orders them."""
+    both = F.array(*(F.struct(F.lit(k).alias("side"), F.col(s).alias("r")) for k, s in enumerate("ab")))
+    return pairs.withColumn("pair_no", F.monotonically_increasing_id()).select("pair_no", F.inline(both)).select("pair_no", "side", "r.*")

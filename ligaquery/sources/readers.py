@@ -221,3 +221,9 @@ CLUSTER_COLUMNS = "clust_id STRING, fst_ref STRING, fst_strand STRING, fst_strt
 def read_clusters(spark: SparkSession, path: str, min_splits: int = 2) -> DataFrame:
     """Cluster tables; clusters with fewer splits are left out."""
     return spark.read.schema(CLUSTER_COLUMNS).csv(path, sep="\t", header=True).where(F.col("no_splits") >= min_splits)
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Run statistics as ``sinks.writers.write_stats`` writes them; ``.`` is 0."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return rows.select("condition", F.col("replicate").cast("int").alias("replicate"), *(F.coalesce(F.col(c).try_cast("bigint"), F.lit(0)).alias(c) for c in rows.columns[2:]))

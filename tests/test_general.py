@@ -180,8 +180,8 @@ TREES.append(([f"c{i:02}" for i in range(40)], [(f"c{i:02}", f"c{i + 1:02}") for
 @pytest.mark.parametrize("family", [hierarchy.FAMILY, 2])
 def test_trees(spark, monkeypatch, tree, family):
     """Families inside tasks, and large families by rounds over the cluster, against brute force."""
-    if family == 2 and tree in (0, 5):
-        pytest.skip("long by rounds; the smaller ones cover them")
+    if family == 2 and tree not in (1, 4):
+        pytest.skip("rounds are slow; two trees, one with cycles, cover them")
     monkeypatch.setattr(hierarchy, "FAMILY", family)
     ids, links = TREES[tree]
     rows = [tuple(r) for r in run_tree(spark, [*ids, None, ids[0]], links).collect()]

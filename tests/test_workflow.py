@@ -1,5 +1,6 @@
 """Expressions and operators of the interaction workflow."""
 
+import json
 import math
 import random
 import struct
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar, seq, stats
-from ligaquery.operators import alignment, clustering, interactions, preproc
+from ligaquery.operators import clustering, interactions, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.params import load_params
 
@@ -17,41 +18,6 @@ def one(spark, row, schema, col):
     return spark.createDataFrame([row], schema).select(col).first()[0]
 
 
-def test_published_example():
-    """The split read that the public documentation shows: its alignment and scores."""
-    a, b = "AGGGGTCTTTCCGTCTTGCCGCGGGTACACTGCATCTTCACAGCGAGTTCAA", "TTCGATCAAGAAGAAC"
-    p, q, length, matches, score, cmpl, ratio = alignment.align_batch([a], [b], 0.0, 0.0)[0]
-    assert (p, q, length, matches, score) == ("TTTCTGG", "GAAGAAC", 7, 5, 5)
-    assert round(cmpl, 6) == 0.714286 and round(ratio, 7) == 0.0735294
-
-
-def brute_fill(a, b):
-    pair = lambda x, y: 0 if "N" in x + y else 1 if x + y in alignment.PAIRS else -1
-    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            h[i][j] = max(0, h[i - 1][j - 1] + pair(x, y), h[i - 1][j] - 2, h[i][j - 1] - 2)
-    return h
-
-
-def test_fill_batches():
-    rng = random.Random(1)
-    a = ["".join(rng.choices("ACGTN", k=rng.randint(1, 14))) for _ in range(40)]
-    b = ["".join(rng.choices("ACGTN", k=rng.randint(1, 14))) for _ in range(40)]
-    for h, x, y in zip(alignment.fill(a, b), a, b, strict=True):
-        assert h[: len(x) + 1, : len(y) + 1].tolist() == brute_fill(x, y)
-
-
-def test_complementarity_udf(spark):
-    df = spark.createDataFrame([("ACGT", "TGCA"), (None, "A"), ("", "A"), ("AAAA", "AAAA")], "a STRING, b STRING")
-    got = [r[0] for r in df.select(alignment.complementarity(F.col("a"), F.col("b"), 0.0, 0.0)).collect()]
-    assert got[0].score == 4 or got[0].score > 0
-    assert all(g is None or g.length is None for g in got[1:])
-    e = [r[0] for r in df.select(alignment.hybridisation_energy(F.col("a"), F.col("b"))).collect()]
-    assert e[1] is None and e[2] is None and e[3] is None
-    assert alignment.duplex_energy("GGGGGG", "CCCCCC") < alignment.duplex_energy("GGGG", "CCCC") < 0
-
-
 def test_adapters(spark):
     a = seq.ADAPTERS["TruSeqRead1"]
     bad = a[:5] + ("A" if a[5] != "A" else "C") + a[6:]
@@ -133,6 +99,61 @@ def test_statistics(spark):
     assert one(spark, (4.0, -9.0), "a DOUBLE, b DOUBLE", stats.ghs(F.col("a"), F.col("b"))) == 6.0
 
 
+def test_tail_of_large_support(spark):
+    """The continued fraction against a sum of masses; also where a sum would have 10^7 terms."""
+    import numpy as np
+
+    cases = [(1500, 10_000, 0.14), (1500, 10_000, 0.16), (1001, 1002, 0.999), (1200, 5000, 0.2), (30_000, 1_000_000, 0.03), (10_000_000, 1_000_000_000, 0.01), (10_010_000, 1_000_000_000, 0.01)]
+
+    def exact(x, n, p):
+        sd = math.sqrt(n * p * (1 - p))
+        k = np.arange(x + 1, min(n, int(max(x, n * p) + 40 * sd) + 2) + 1)
+        steps = np.log((n - k[:-1]) / (k[:-1] + 1.0)) + math.log(p) - math.log1p(-p)
+        first = math.lgamma(n + 1) - math.lgamma(x + 2) - math.lgamma(n - x) + (x + 1) * math.log(p) + (n - x - 1) * math.log1p(-p)
+        return float(np.exp(first + np.concatenate(([0.0], np.cumsum(steps)))).sum())
+
+    df = spark.createDataFrame(cases, "x BIGINT, n BIGINT, p DOUBLE")
+    got = [r[0] for r in df.select(stats.binomial_tail(F.col("x"), F.col("n"), F.col("p"))).collect()]
+    for c, g in zip(cases, got, strict=True):
+        assert abs(g - exact(*c)) < 2e-5 * max(exact(*c), 1e-9), (c, g, exact(*c))
+
+
+def test_stats_and_pairs_written(spark, tmp_path):
+    from ligaquery.sinks.writers import pair_records, write_stats
+    from ligaquery.sources.readers import read_stats
+
+    df = spark.createDataFrame([(0, "ctrls", "c_1_001", 9, 1, 3, 2, None), (1, "ctrls", "c_1_002", 4, 0, 0, 0, 7)], "sample_idx INT, grp STRING, label STRING, reads BIGINT, aligned BIGINT, splits BIGINT, multsplits BIGINT, interactions BIGINT")
+    write_stats(df, str(tmp_path / "stats"))
+    assert sorted(map(tuple, read_stats(spark, str(tmp_path / "stats")).collect())) == [("ctrls_c_1", 1, 9, 1, 3, 2, 0), ("ctrls_c_1", 2, 4, 0, 0, 0, 7)]
+    rec = "struct<qname:string,pos:bigint>"
+    two = spark.createDataFrame([(("q", 1), ("q", 9)), (("r", 2), ("r", 3))], f"a {rec}, b {rec}")
+    assert [(r.side, r.qname, r.pos) for r in pair_records(two).orderBy("pair_no", "side").collect()] == [(0, "q", 1), (1, "q", 9), (0, "r", 2), (1, "r", 3)]
+
+
+def test_exons_of_the_open_gene(spark):
+    from ligaquery.operators.annotation import carried_genes
+
+    rows = [(1, "exon", "A", 1, 5, True), (2, "gene", "A", 1, 100, False), (3, "exon", "A", 1, 100, True), (4, "exon", "A", 90, 101, True), (5, "exon", "B", 5, 6, True), (6, "mRNA", "A", 2, 9, True), (7, "exon", "A", 3, 4, False), (8, "exon", "A", 3, 4, True), (9, "exon", "A", None, 4, True)]
+    df = spark.createDataFrame(rows, "feat_no BIGINT, feat_type STRING, seqid STRING, feat_strt INT, feat_end INT, has_parent BOOLEAN")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted(map(tuple, carried_genes(df).collect())) == [(3, 2), (8, 7)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert carried_genes(df.limit(0)).count() == 0
+
+
+def test_allints(spark):
+    """Support by replicate; the combined p-value stands at the last replicate, also without support there."""
+    s = spark.createDataFrame([(0, "g", "c"), (1, "g", "c"), (2, "g", None)], "sample_idx INT, grp STRING, cond_name STRING")
+    t = spark.createDataFrame([("A", "sense", "B", "sense", 0, 7, 0.5, -2.0, 0.01), ("A", "sense", "B", "sense", 2, 1, None, None, 1.0)], "fst_rna STRING, fst_ori STRING, sec_rna STRING, sec_ori STRING, sample_idx INT, supp_reads BIGINT, gcs DOUBLE, ghs DOUBLE, pval DOUBLE")
+    got = interactions.allints(t, interactions.combined_p(t, s), s)
+    rows = {(r.label, r.supp_reads, r.gcs, r.pval, r.padj is None) for r in got.collect()}
+    assert rows == {("c_001", 7, 0.5, 0.01, True), ("c_002", 0, None, 1.0, False), ("na_001", 1, None, 1.0, False)}
+    wide = interactions.wide_allints(got, [("g", "c_001"), ("g", "c_002")]).first()
+    assert wide.g_c_001_supp_reads == 7 and wide.g_c_002_pval == 1.0 and wide.g_c_001_padj is None
+
+
 def test_interval_join(spark):
     rng = random.Random(6)
     iv = lambda n: [(i, rng.choice(["c", "d", None]), (a := rng.randint(0, 5000)), a + rng.randint(-2, 900)) for i in range(n)]
@@ -182,12 +203,11 @@ def test_detect(spark):
     ]
     df = spark.createDataFrame(rows, "rec_no BIGINT, sample_idx INT, qname STRING, flag INT, refid INT, pos BIGINT, mapq INT, cigar STRING, xj INT, seq STRING")
     introns = spark.createDataFrame([(1, 523, 620), (2, 120, 169)], "refid INT, strt BIGINT, stop BIGINT")
-    found = detect.pairs(df.drop("seq"), introns)
+    found = detect.pairs(df, introns)
     got = Counter((r.qname, r.rec_no, r.a_strt, r.a_stop, r.b_read_from, r.b_read_to) for r in found.collect())
     assert got == Counter([("three", 1, 100, 119, 21, 40), ("three", 1, 100, 119, 46, 65), ("three", 1, 170, 189, 46, 65), ("spliced", 2, 500, 641, 41, 60), ("stops", 3, 100, 119, 21, 40), ("golden", 10, 100, 99 + len(a), len(a) + 1, len(a) + len(b))])
     assert {r.qname: (r.n_pairs, r.route) for r in detect.routes(df, found).collect()} == {"three": (3, "multsplits"), "spliced": (1, "splits"), "stops": (1, "splits"), "one": (0, "single"), "short": (0, "none"), "low": (0, "none"), "golden": (1, "splits")}
-    scored = detect.pairs(df, introns, min_ratio=0.0, max_energy=99.0).collect()
-    assert [(r.qname, r.cmpl.aln_a, r.cmpl.aln_b) for r in scored] == [("golden", "TTTCTGG", "GAAGAAC")]
+    assert {(r.rec_no, r.seg_no) for r in detect.annotated_gaps(df, introns).collect()} == {(2, 0)}
 
 
 def test_unannotated_clusters(spark):
@@ -279,7 +299,7 @@ def test_sam_bam_fasta(spark, tmp_path):
 
 
 def test_manifest(spark, tmp_path):
-    from ligaquery.sources.manifest import discover, manifest
+    from ligaquery.sources.manifest import discover, manifest, outputs, with_suffix
 
     for g, c, n in (("ctrls", "cond1", 1), ("trtms", "cond1", 3), ("trtms", "cond2", 2), ("other", "x", 1)):
         d = tmp_path / g / c
@@ -292,7 +312,19 @@ def test_manifest(spark, tmp_path):
     got = discover(spark, str(tmp_path), "preproc", "PE")
     assert got.count() == 12 and {r.role for r in got.collect()} == {"forward", "reverse"}
     assert discover(spark, str(tmp_path)).count() == 13
-    assert manifest(got).count() == 2
+    rows = outputs(got, "/out", "preproc", "PE")
+    first = rows.where("grp = 'trtms' AND condition = 'cond1' AND sample_no = 1").first()
+    assert first.input.forward.endswith("/trtms/cond1/S1_cond1_R1.fastq") and first.input.reverse.endswith("/trtms/cond1/S1_cond1_R2.fastq")
+    d = "/out/preproc/trtms/cond1/S1_cond1_"
+    assert first.output.asDict() == {"forward": f"{d}preproc.fastq", **{k: f"{d}{k}.fastq" for k in ("R1only", "R2only", "R1unmerged", "R2unmerged")}}
+    doc = json.loads(manifest(rows).first().doc)["preproc"]
+    assert list(doc) == ["ctrls", "trtms"] and [(c["condition"], len(c["samples"])) for c in doc["trtms"]] == [("cond1", 3), ("cond2", 2)]
+    assert doc["ctrls"][0]["samples"][0]["output"]["R2only"] == "/out/preproc/ctrls/cond1/S0_cond1_R2only.fastq" and set(doc["ctrls"][0]["samples"][0]) == {"input", "output"}
+    named = lambda n, *a: one(spark, (n,), "n STRING", with_suffix(F.col("n"), *a))
+    assert named("S1_matched.bam", "_single", ["_matched"]) == "S1_single.bam" and named("a.b.txt", "_x", []) == "a_x.b.txt" and named("plain", "_x", ["_R1"]) == "plain_x"
+    assert named("S_fwd_R1.fq", "_p", ["_R1", "fwd"]) == "S__p.fq"
+    aligned = outputs(spark.createDataFrame([("ctrls", "c", 0, "forward", "/i/S1_c_preproc.fastq")], "grp STRING, condition STRING, sample_no INT, role STRING, path STRING"), "/o", "align")
+    assert aligned.first().output.matched == "/o/align/ctrls/c/S1_c_preproc_matched.bam"
 
 
 def test_tables_and_numbers(spark, tmp_path):
