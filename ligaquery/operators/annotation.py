@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ligaquery.operators.intervals import interval_join
 from ligaquery.operators.periods import periods_and_gaps
-from ligaquery.session import cut
+from ligaquery.session import cut, settle
 
 
 def with_clusters(features: DataFrame, clusters: DataFrame, min_splits: int = 2) -> DataFrame:
@@ -18,8 +18,8 @@ def with_clusters(features: DataFrame, clusters: DataFrame, min_splits: int = 2)
     strand are one. Sides are held against the features as given, so the order of clusters doesn't matter.
     """
     side = lambda s: F.struct(*(F.col(f"{s}_{c}").alias(f"c_{c}") for c in ("ref", "strand", "strt", "end")))
-    sides = cut(clusters.where(F.col("no_splits") >= min_splits).select(F.inline(F.array(side("fst"), side("sec")))).distinct())
-    met = cut(interval_join(sides, features, [("c_ref", "seqid")], ("c_strt", "c_end"), ("feat_strt", "feat_end")))
+    sides = settle(clusters.where(F.col("no_splits") >= min_splits).select(F.inline(F.array(side("fst"), side("sec")))).distinct())
+    met = settle(interval_join(sides, features, [("c_ref", "seqid")], ("c_strt", "c_end"), ("feat_strt", "feat_end")).select("c_ref", "c_strand", "c_strt", "c_end", "feature", "strand"))
     wide = met.where("c_strand = strand").groupBy(F.col("feature").alias("f_")).agg(F.min("c_strt").alias("w_strt"), F.max("c_end").alias("w_end"))
     bounds = [F.least("feat_strt", "w_strt").alias("feat_strt"), F.greatest("feat_end", "w_end").alias("feat_end")]
     given = features.join(wide, F.col("feature") == F.col("f_"), "left").select("feature", "seqid", "strand", *bounds, F.lit(False).alias("is_cluster"))

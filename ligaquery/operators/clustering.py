@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligaquery.operators.intervals import interval_join, overlap
-from ligaquery.session import cut, settle
+from ligaquery.session import settle
 
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def cluster_pairs(pairs: DataFrame, slack: int = 0) -> DataFrame:
     a, b = (F.struct(*(F.col(f"{s}_{c}").alias(c) for c in cols)) for s in "ab")
     ok = pairs.where(" AND ".join(f"{s}_{c} IS NOT NULL" for s in "ab" for c in cols) + " AND a_strt <= a_end AND b_strt <= b_end")
     boxes = ok.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    boxes = cut(boxes.select("x", "y", "n", F.xxhash64("x.ref", "x.strand", "y.ref", "y.strand").alias("lane"), F.monotonically_increasing_id().alias("v")))
+    boxes = settle(boxes.select("x", "y", "n", F.xxhash64("x.ref", "x.strand", "y.ref", "y.strand").alias("lane"), F.monotonically_increasing_id().alias("v")))
     side = lambda k: boxes.select(F.col("v").alias(f"{k}v"), F.col("lane").alias(f"{k}l"), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"), F.col("x.strt").alias(f"{k}s"), F.col("x.end").alias(f"{k}e"))
     met = interval_join(side("p"), side("q"), [("pl", "ql")], ("ps", "pe"), ("qs", "qe"), slack=slack)
     same = (F.col("px.ref") == F.col("qx.ref")) & (F.col("px.strand") == F.col("qx.strand")) & (F.col("py.ref") == F.col("qy.ref")) & (F.col("py.strand") == F.col("qy.strand"))

@@ -51,8 +51,8 @@ def interactions(pairs: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def frequencies(partner_rows: DataFrame) -> DataFrame:
     """(sample_idx, orientation, partner, f, share): each record gives 1 in all to its partners; share sums to 1 a sample."""
-    n = partner_rows.groupBy("rec_no").agg(F.count(F.lit(1)).alias("n"))
-    f = partner_rows.join(n, "rec_no").groupBy("sample_idx", "orientation", "partner").agg(F.sum(1 / F.col("n")).alias("f"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("rec_no"))  # the partners of one record
+    f = partner_rows.withColumn("n", n).groupBy("sample_idx", "orientation", "partner").agg(F.sum(1 / F.col("n")).alias("f"))
     total = f.groupBy(F.col("sample_idx").alias("s_")).agg(F.sum("f").alias("total"))
     return f.join(total, F.col("sample_idx") == F.col("s_")).select("sample_idx", "orientation", "partner", "f", (F.col("f") / F.col("total")).alias("share"))
 
@@ -63,19 +63,23 @@ KEY = ["fst_rna", "fst_ori", "sec_rna", "sec_ori"]
 def support(found: DataFrame) -> DataFrame:
     """Per key and sample: supp_reads, gcs and ghs (from a_xc, a_xe; null, NaN and 1000 are no score).
 
-    Values are counted before the percentile, so a hot key moves its distinct values only.
+    Values are counted first, so a hot key moves its distinct values only; the medians are read off
+    their running counts, which are sorted on disk where they don't fit, and gathered nowhere.
     """
     keys = [*KEY, "sample_idx"]
     score = lambda c: F.when(~F.isnan(c) & (F.col(c) != 1000), F.col(c).cast("double"))
     rows = found.select(*keys, F.inline(F.array(*(F.struct(F.lit(m).alias("m"), score(f"a_{m}").alias("v")) for m in ("xc", "xe")))))
     counts = rows.groupBy(*keys, "m", "v").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(*keys, "m")
+    k = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
+    # one partitioning serves the window and the groups
+    ranked = counts.repartition(*keys).withColumns({"upto": F.sum(k).over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum(k).over(own)})
     of = lambda m: F.when(F.col("m") == m, F.col("v"))
-    agg = counts.groupBy(*keys).agg(
-        F.sum(F.when(F.col("m") == "xc", F.col("n"))).alias("supp_reads"),
-        F.percentile(of("xc"), F.lit(0.5), F.col("n")).alias("c_med"), F.max(of("xc")).alias("c_max"),
-        F.percentile(of("xe"), F.lit(0.5), F.col("n")).alias("e_med"), F.min(of("xe")).alias("e_min"),
-    )
-    return agg.select(*keys, "supp_reads", stats.gcs(F.col("c_med"), F.col("c_max")).alias("gcs"), stats.ghs(F.col("e_med"), F.col("e_min")).alias("ghs"))
+    at = lambda m, r: F.max(F.when((F.col("upto") >= r) & (F.col("upto") - F.col("n") < r), of(m)))
+    low, high = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
+    median = lambda m: ((at(m, low) + at(m, high)) / 2).alias(f"{m}_med")
+    agg = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("m") == "xc", F.col("n"))).alias("supp_reads"), median("xc"), F.max(of("xc")).alias("c_max"), median("xe"), F.min(of("xe")).alias("e_min"))
+    return agg.select(*keys, "supp_reads", stats.gcs(F.col("xc_med"), F.col("c_max")).alias("gcs"), stats.ghs(F.col("xe_med"), F.col("e_min")).alias("ghs"))
 
 
 def p_values(supported: DataFrame, freq: DataFrame, reads: DataFrame) -> DataFrame:

@@ -70,6 +70,10 @@ def _prefix(rows: list) -> dict[int, tuple]:
     return out
 
 
+def _rows(a: str, b: str, kind: str, strt, stop) -> pd.DataFrame:
+    return pd.DataFrame({"a": a, "b": b, "kind": kind, "strt": strt, "stop": stop})
+
+
 def _emit(carried: dict[int, tuple]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ent, island, top, after, begun = None, LOW, LOW, None, False
@@ -83,21 +87,23 @@ def _emit(carried: dict[int, tuple]):
                     ent, island, top = state
                     if ent != (b.a.iloc[0], b.b.iloc[0]):
                         ent = None  # the partition before has closed it
-            rows: list[tuple] = []
+            out: list[pd.DataFrame] = []
             for a, c, s, e in _runs(b):
                 if (a, c) != ent:
                     if ent is not None:
-                        rows.append((*ent, "period", island, top))
+                        out.append(_rows(*ent, "period", [island], [top]))
                     ent, island, top = (a, c), LOW, LOW
                 opens, before, top = _islands(s, e, top)
-                for i in opens.tolist():
-                    if island != LOW:
-                        rows.append((a, c, "period", island, int(before[i])))
-                        rows.append((a, c, "gap", int(before[i]) + 1, int(s[i]) - 1))
-                    island = int(s[i])
-            yield pd.DataFrame(rows, columns=["a", "b", "kind", "strt", "stop"])
+                begins = s[opens] if island == LOW else np.concatenate(([island], s[opens]))
+                shut = opens[len(opens) + 1 - len(begins) :]  # the rows that end the island before them
+                if len(shut):
+                    out.append(_rows(a, c, "period", begins[:-1], before[shut]))
+                    out.append(_rows(a, c, "gap", before[shut] + 1, s[shut] - 1))
+                if len(begins):
+                    island = int(begins[-1])
+            yield from out
         if ent is not None and begun and after != ent:
-            yield pd.DataFrame([(*ent, "period", island, top)], columns=["a", "b", "kind", "strt", "stop"])
+            yield _rows(*ent, "period", [island], [top])
 
     return run
 

@@ -226,9 +226,9 @@ def a4_feature_frequency(spark, sf_dir):
 
 
 def _frequency(overlaps, feature="feat_no"):
-    met = overlaps.select("seg_no", "sample_idx", feature, "orientation")
-    n = met.groupBy(F.col("seg_no").alias("s_")).agg(F.count(F.lit(1)).alias("n"))
-    return met.join(n, F.col("seg_no") == F.col("s_")).groupBy("sample_idx", "orientation", feature).agg(F.round(F.sum(1 / F.col("n")), 6).alias("f"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("seg_no"))  # the features of one segment
+    met = overlaps.select("seg_no", "sample_idx", feature, "orientation").withColumn("n", n)
+    return met.groupBy("sample_idx", "orientation", feature).agg(F.round(F.sum(1 / F.col("n")), 6).alias("f"))
 
 
 def pred20_resolved_segments(spark, sf_dir):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import glob
 import gzip
-import os
+import io
 import struct
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,10 +16,29 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SPLIT_BYTES = 64 << 20
 
 
-def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if not f.startswith((".", "_")))
-    return sorted(glob.glob(path))
+def _storage(path: str) -> tuple[fs.FileSystem, str, str]:
+    """(file system, path in it, what goes before such a path): local, or by the scheme of a URI (hdfs, s3, gs and so on)."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), path, ""
+    system, inner = fs.FileSystem.from_uri(path)
+    return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else f"{path.split('://')[0]}://"
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, of the files below a folder, or, locally, of a pattern; hidden ones are left out."""
+    system, inner, scheme = _storage(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.Directory:
+        found = system.get_file_info(fs.FileSelector(inner, recursive=True))
+    else:
+        found = [info] if info.type == fs.FileType.File else [system.get_file_info(f) for f in sorted(glob.glob(inner))]
+    return sorted((scheme + i.path, i.size) for i in found if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")))
+
+
+def _open(path: str) -> io.BufferedReader | gzip.GzipFile:
+    system, inner, _ = _storage(path)
+    raw = io.BufferedReader(system.open_input_file(inner), 1 << 20)
+    return gzip.GzipFile(fileobj=raw) if path.endswith((".gz", ".bam")) else raw
 
 
 class _Range(InputPartition):
@@ -54,11 +74,10 @@ class _FastqReader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         out = []
-        for f in _files(self.path):
+        for f, n in _files(self.path):
             if f.endswith(".gz"):
                 out.append(_Range(f, 0, None))
             else:
-                n = os.path.getsize(f)
                 out += [_Range(f, a, min(n, a + self.split)) for a in range(0, n, self.split)]
         return out or [_Range("", 0, 0)]
 
@@ -82,7 +101,7 @@ class _FastqReader(DataSourceReader):
     def read(self, part: _Range) -> Iterator[tuple]:
         if not part.path:
             return
-        with gzip.open(part.path, "rb") if part.path.endswith(".gz") else open(part.path, "rb") as f:
+        with _open(part.path) as f:
             at = part.begin
             if at:
                 f.seek(at - 1)
@@ -128,12 +147,12 @@ class _BamReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_Range]:
-        return [_Range(f, 0, None) for f in _files(self.path)] or [_Range("", 0, 0)]
+        return [_Range(f, 0, None) for f, _ in _files(self.path)] or [_Range("", 0, 0)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
         if not part.path:
             return
-        with gzip.open(part.path, "rb") as f:
+        with _open(part.path) as f:
             num = lambda: struct.unpack("<i", f.read(4))[0]
             if f.read(4) != b"BAM\1":
                 raise ValueError(f"{part.path} is no BAM file")
