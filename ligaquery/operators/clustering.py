@@ -6,12 +6,17 @@ side; labels then spread over the links (hash-to-min) until nothing changes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ligaquery.operators.intervals import interval_join, overlap
+from ligaquery.operators.intervals import overlap
 from ligaquery.session import settle
 
+#: Side of the first cells, a power of 4, and boxes of a cell that are compared with each other.
+CELL, PAIRED = 4096, 32
+
 
 def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex that each vertex is linked with; ``links`` are (u, v).
@@ -35,6 +40,38 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     return settle(labels, *steps)
 
 
+def box_links(boxes: DataFrame) -> DataFrame:
+    """(u, v): links that join the same boxes as all overlaps would; ``boxes`` are (v, lane, xs, xe, ys, ye), closed.
+
+    Boxes meet in square cells of their lane. Where a box covers a cell, all boxes of the cell overlap it
+    and are linked with it; where at most ``PAIRED`` boxes meet, they are compared; any other cell is
+    cut into 16, down to single positions, which any box covers. So the links of a hot locus grow
+    with its boxes, not with their pairs.
+    """
+    width = boxes.agg(F.max(F.greatest(F.col("xe") - F.col("xs"), F.col("ye") - F.col("ys")))).first()[0] or 0
+    size = CELL
+    while size < width:
+        size *= 4
+    span = lambda lo, hi, n: F.explode(F.sequence(F.floor(F.col(lo) / n), F.floor(F.col(hi) / n)))
+    now = boxes.withColumn("i", span("xs", "xe", size)).withColumn("j", span("ys", "ye", size))
+    cell, found = ["lane", "i", "j"], []
+    while True:
+        over = lambda c, lo, hi: (F.col(lo) <= F.col(c) * size) & (F.col(hi) >= (F.col(c) + 1) * size - 1)  # noqa: E731, B023
+        per = now.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(over("i", "xs", "xe") & over("j", "ys", "ye"), F.col("v"))).alias("rep")).where("n > 1")
+        met = settle(now.join(per, cell))
+        found.append(met.where("v <> rep").select(F.col("v").alias("u"), F.col("rep").alias("v")))
+        few = met.where(F.col("rep").isNull() & (F.col("n") <= PAIRED)).drop("n", "rep")
+        other = few.select(*cell, F.col("v").alias("w"), *(F.col(c).alias(f"o{c}") for c in ("xs", "xe", "ys", "ye")))
+        meets = overlap(F.col("xs"), F.col("xe"), F.col("oxs"), F.col("oxe")) & overlap(F.col("ys"), F.col("ye"), F.col("oys"), F.col("oye"))
+        found.append(few.join(other, cell).where((F.col("v") < F.col("w")) & meets).select(F.col("v").alias("u"), F.col("w").alias("v")))
+        rest = met.where(F.col("rep").isNull() & (F.col("n") > PAIRED)).drop("n", "rep")
+        if rest.isEmpty():
+            return reduce(DataFrame.union, found)
+        size //= 4
+        part = lambda c, lo, hi: F.explode(F.sequence(F.greatest(F.floor(F.col(lo) / size), F.col(c) * 4), F.least(F.floor(F.col(hi) / size), F.col(c) * 4 + 3)))  # noqa: E731, B023
+        now = rest.withColumn("k", part("i", "xs", "xe")).withColumn("l", part("j", "ys", "ye")).drop("i", "j").withColumnsRenamed({"k": "i", "l": "j"})
+
+
 def cluster_pairs(pairs: DataFrame, slack: int = 0) -> DataFrame:
     """Clusters of rows (a_ref, a_strand, a_strt, a_end, b_ref, b_strand, b_strt, b_end).
 
@@ -47,12 +84,11 @@ def cluster_pairs(pairs: DataFrame, slack: int = 0) -> DataFrame:
     a, b = (F.struct(*(F.col(f"{s}_{c}").alias(c) for c in cols)) for s in "ab")
     ok = pairs.where(" AND ".join(f"{s}_{c} IS NOT NULL" for s in "ab" for c in cols) + " AND a_strt <= a_end AND b_strt <= b_end")
     boxes = ok.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    boxes = settle(boxes.select("x", "y", "n", F.xxhash64("x.ref", "x.strand", "y.ref", "y.strand").alias("lane"), F.monotonically_increasing_id().alias("v")))
-    side = lambda k: boxes.select(F.col("v").alias(f"{k}v"), F.col("lane").alias(f"{k}l"), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"), F.col("x.strt").alias(f"{k}s"), F.col("x.end").alias(f"{k}e"))
-    met = interval_join(side("p"), side("q"), [("pl", "ql")], ("ps", "pe"), ("qs", "qe"), slack=slack)
-    same = (F.col("px.ref") == F.col("qx.ref")) & (F.col("px.strand") == F.col("qx.strand")) & (F.col("py.ref") == F.col("qy.ref")) & (F.col("py.strand") == F.col("qy.strand"))
-    met = met.where(same & (F.col("pv") < F.col("qv")) & overlap(F.col("py.strt"), F.col("py.end"), F.col("qy.strt"), F.col("qy.end"), slack))
-    roots = components(boxes.select("v"), met.select(F.col("pv").alias("u"), F.col("qv").alias("v")))
+    boxes = settle(boxes.select("x", "y", "n", F.monotonically_increasing_id().alias("v")))
+    lane = F.struct("x.ref", "x.strand", F.col("y.ref").alias("ref2"), F.col("y.strand").alias("strand2"))
+    at = lambda c, more=0: (F.col(c).cast("bigint") + more)
+    slim = boxes.select("v", lane.alias("lane"), at("x.strt").alias("xs"), at("x.end", slack).alias("xe"), at("y.strt").alias("ys"), at("y.end", slack).alias("ye"))
+    roots = components(boxes.select("v"), box_links(slim))
     out = boxes.join(roots, "v").groupBy("root").agg(
         *(F.min(f"{i}.{c}").alias(f"{s}_{c}") for i, s in (("x", "fst"), ("y", "sec")) for c in ("ref", "strand", "strt")),
         *(F.max(f"{i}.end").alias(f"{s}_end") for i, s in (("x", "fst"), ("y", "sec"))),

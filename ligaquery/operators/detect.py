@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar
+from ligaquery.params import Params
 
 NEAR, BIN = 5, 1024
 
 
-def _passes() -> Column:
-    return (F.col("flag").bitwiseAND(4) == 0) & (F.col("mapq") > 10) & (cigar.read_span(F.col("cigar")) > 15)
+def passes(p: Params) -> Column:
+    """Mapped, and above the limits of mapping quality and read length."""
+    return (F.col("flag").bitwiseAND(4) == 0) & (F.col("mapq") > p.mapq) & (cigar.read_span(F.col("cigar")) > p.minlen)
 
 
-def usable(records: DataFrame) -> DataFrame:
+def usable(records: DataFrame, p: Params = Params()) -> DataFrame:
     """Mapped records with a read name that pass the record filter.
 
     With ``xj`` (number of pieces of the read's alignment), a read ends at its first record, in
     rec_no order, with fewer than two pieces; the records before it stay.
     """
-    ok = records.where(_passes()).where("qname IS NOT NULL AND pos IS NOT NULL AND refid IS NOT NULL")
+    ok = records.where(passes(p)).where("qname IS NOT NULL AND pos IS NOT NULL AND refid IS NOT NULL")
     if "xj" not in records.columns:
         return ok
     stop = ok.where("xj < 2").groupBy(F.col("sample_idx").alias("s_"), F.col("qname").alias("q_")).agg(F.min("rec_no").alias("stop_"))
@@ -41,13 +43,13 @@ def _annotated(raw: DataFrame, introns: DataFrame) -> DataFrame:
     return gaps.join(known, (F.col("refid") == F.col("i_ref")) & (F.col("bin") == F.col("i_bin")) & near, "left_semi").select("rec_no", "seg_no").distinct()
 
 
-def annotated_gaps(records: DataFrame, introns: DataFrame) -> DataFrame:
+def annotated_gaps(records: DataFrame, introns: DataFrame, p: Params = Params()) -> DataFrame:
     """(rec_no, seg_no): the skipped regions of usable records, by the segment before, that are annotated introns.
 
     ``introns`` are (refid, strt, stop), closed; a skipped region is annotated if the last position before
     it and the first behind it lie within NEAR of those of an intron.
     """
-    return _annotated(_pieces(usable(records)), introns)
+    return _annotated(_pieces(usable(records, p)), introns)
 
 
 def segments(records: DataFrame, introns: DataFrame, min_length: int = 15) -> DataFrame:
@@ -64,10 +66,10 @@ def segments(records: DataFrame, introns: DataFrame, min_length: int = 15) -> Da
     return whole.where(F.col("read_to") - F.col("read_from") + 1 >= min_length)
 
 
-def pairs(records: DataFrame, introns: DataFrame, min_length: int = 15) -> DataFrame:
+def pairs(records: DataFrame, introns: DataFrame, p: Params = Params()) -> DataFrame:
     """All pairs i < j of the segments of a record whose read ranges do not overlap: (sample_idx, qname, rec_no, refid, a_*, b_*)."""
-    ok = usable(records)
-    segs = segments(ok, introns, min_length)
+    ok = usable(records, p)
+    segs = segments(ok, introns, p.minlen)
     cols = ["seg_no", "strt", "stop", "read_from", "read_to"]
     side = lambda s: segs.select(F.col("rec_no").alias(f"{s}_rec"), *(F.col(c).alias(f"{s}_{c}") for c in cols))
     met = side("a").join(side("b"), (F.col("a_rec") == F.col("b_rec")) & (F.col("a_seg_no") < F.col("b_seg_no")))
@@ -75,11 +77,11 @@ def pairs(records: DataFrame, introns: DataFrame, min_length: int = 15) -> DataF
     return ok.select("sample_idx", "qname", "rec_no", "refid").join(met, F.col("rec_no") == F.col("a_rec")).drop("a_rec", "b_rec")
 
 
-def routes(records: DataFrame, found: DataFrame) -> DataFrame:
+def routes(records: DataFrame, found: DataFrame, p: Params = Params()) -> DataFrame:
     """(sample_idx, qname, n_pairs, route): splits (one pair), multsplits (several), else single if a usable record has ``xj`` < 2, else none."""
     n = found.groupBy(F.col("sample_idx").alias("s_"), F.col("qname").alias("q_")).agg(F.count(F.lit(1)).alias("n"))
     single = F.coalesce(F.col("xj") < 2, F.lit(False)) if "xj" in records.columns else F.lit(False)
-    per = records.where("qname IS NOT NULL").groupBy("sample_idx", "qname").agg(F.coalesce(F.bool_or(single & _passes()), F.lit(False)).alias("single"))
+    per = records.where("qname IS NOT NULL").groupBy("sample_idx", "qname").agg(F.coalesce(F.bool_or(single & passes(p)), F.lit(False)).alias("single"))
     per = per.join(n, F.col("sample_idx").eqNullSafe(F.col("s_")) & (F.col("qname") == F.col("q_")), "left").withColumn("n_pairs", F.coalesce("n", F.lit(0)))
     route = F.when(F.col("n_pairs") > 1, "multsplits").when(F.col("n_pairs") == 1, "splits").when(F.col("single"), "single").otherwise("none")
     return per.select("sample_idx", "qname", "n_pairs", route.alias("route"))

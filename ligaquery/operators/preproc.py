@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligaquery.functions import seq as S
+from ligaquery.params import Params
 
 
 @dataclass(frozen=True)
@@ -21,11 +22,19 @@ class TrimParams:
     mismatch_rate: float = 0.1
     window: int = 0  # 0: no window trimming
     min_overlap: int = 5
+    mode: int = 2  # 0: 5' only, 1: 3' only, 2: both ends
+
+    @classmethod
+    def of(cls, p: Params, adapters_3: dict[str, str] | None = None, adapters_5: dict[str, str] | None = None) -> TrimParams:
+        """The trimming that the workflow's parameters ask for."""
+        ends = {"adapters_3": dict(S.ADAPTERS) if adapters_3 is None else adapters_3, "adapters_5": adapters_5 or {}}
+        return cls(p.quality, p.minlen, **ends, mismatch_rate=p.mmrate, window=p.wsize if p.wtrim else 0, min_overlap=p.minovlps, mode=p.modetrm)
 
 
 def trimmed(reads: DataFrame, p: TrimParams) -> DataFrame:
     """``reads`` (seq, qual) with adapters and bad 3' windows cut off; crossing bounds give an empty read."""
-    begin, end = S.trim_5(F.col("seq"), p.adapters_5, p.mismatch_rate), S.trim_3(F.col("seq"), p.adapters_3, p.mismatch_rate)
+    begin = S.trim_5(F.col("seq"), p.adapters_5 if p.mode in (0, 2) else {}, p.mismatch_rate)
+    end = S.trim_3(F.col("seq"), p.adapters_3 if p.mode in (1, 2) else {}, p.mismatch_rate)
 
     def cut(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
         """The bounds are generated, so that they are computed once and not wherever they are used."""

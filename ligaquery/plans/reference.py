@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar, seq
 from ligaquery.operators import annotation, clustering, detect, interactions as ia, packed, preproc
 from ligaquery.operators.intervals import interval_join
+from ligaquery.params import Params
 from ligaquery.session import cut, lookup, small, table
 
 READ_LENGTH, ADAPTER = 150, "AGATCGG"
+PARAMS = Params()
 
 
 def _strand(flag: str):
@@ -33,7 +37,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred1_read_filter(spark, sf_dir):
-    p = preproc.TrimParams(quality=20, min_length=15)
+    p = preproc.TrimParams.of(PARAMS)
     return reads(spark, sf_dir).where(preproc.passes(p)).select("doc_id", "read_no", seq.mean_phred(F.col("qual")).alias("mean_q"))
 
 
@@ -47,7 +51,7 @@ def t4_adapter_offsets(spark, sf_dir):
 
 
 def t5_trimmed_reads(spark, sf_dir):
-    p = preproc.TrimParams(adapters_3={"short": ADAPTER}, mismatch_rate=0.15)
+    p = preproc.TrimParams.of(replace(PARAMS, mmrate=0.15), {"short": ADAPTER})
     return preproc.trimmed(reads(spark, sf_dir), p).where(preproc.passes(p)).select("doc_id", "read_no", "seq", F.length("qual").alias("n"))
 
 
@@ -60,7 +64,7 @@ def f12_merged_mates(spark, sf_dir):
     r = reads(spark, sf_dir).withColumn("pair_no", F.floor(F.col("read_no") / 2))
     a = r.where("read_no % 2 = 0").select("doc_id", "pair_no", F.col("seq").alias("seq_1"), F.col("qual").alias("qual_1"))
     b = r.where("read_no % 2 = 1").select("doc_id", "pair_no", F.col("seq").alias("seq_2"), F.col("qual").alias("qual_2"))
-    out = preproc.merged(a.join(b, ["doc_id", "pair_no"]), preproc.TrimParams(quality=15))
+    out = preproc.merged(a.join(b, ["doc_id", "pair_no"]), preproc.TrimParams.of(replace(PARAMS, quality=15)))
     return out.select("doc_id", "pair_no", "route", "seq")
 
 
@@ -72,8 +76,7 @@ def records(spark, sf_dir):
 
 
 def pred4_record_filter(spark, sf_dir):
-    ok = (F.col("flag").bitwiseAND(4) == 0) & (F.col("mapq") > 10) & (cigar.read_span(F.col("cigar")) > 15)
-    return records(spark, sf_dir).select("rec_no", "flag", "mapq", "cigar").where(ok).select("rec_no", _strand("flag").alias("strand"))
+    return records(spark, sf_dir).select("rec_no", "flag", "mapq", "cigar").where(detect.passes(PARAMS)).select("rec_no", _strand("flag").alias("strand"))
 
 
 def d4_cigar_spans(spark, sf_dir):
@@ -82,7 +85,7 @@ def d4_cigar_spans(spark, sf_dir):
 
 
 def f10_segments(spark, sf_dir):
-    s = records(spark, sf_dir).select("rec_no", F.inline(cigar.segments(F.col("cigar"), F.col("pos"), 15, True)))
+    s = records(spark, sf_dir).select("rec_no", F.inline(cigar.segments(F.col("cigar"), F.col("pos"), PARAMS.minlen, True)))
     return s.select("rec_no", "seg_no", "strt", "stop", "read_from", "read_to")
 
 
@@ -189,7 +192,7 @@ def detection_records(spark, sf_dir):
 
 def f10_spliced_segments(spark, sf_dir):
     """Segments of all usable records, kept together at annotated introns."""
-    return detect.segments(detect.usable(detection_records(spark, sf_dir)), _introns(spark, sf_dir))
+    return detect.segments(detect.usable(detection_records(spark, sf_dir), PARAMS), _introns(spark, sf_dir), PARAMS.minlen)
 
 
 def j4_spliced_pairs(spark, sf_dir):
@@ -256,7 +259,7 @@ def j5_unannotated(spark, sf_dir):
 def a9_clusters(spark, sf_dir):
     """Clusters of the placed record pairs."""
     side = lambda s: [F.col(f"{s}_refid").alias(f"{s}_ref"), _strand(f"{s}_flag").alias(f"{s}_strand"), F.col(f"{s}_pos").alias(f"{s}_strt"), (F.col(f"{s}_pos") + cigar.ref_span(F.col(f"{s}_cigar")) - 1).alias(f"{s}_end")]
-    return clustering.cluster_pairs(_pairs(spark, sf_dir).select(*side("a"), *side("b")))
+    return clustering.cluster_pairs(_pairs(spark, sf_dir).select(*side("a"), *side("b")), PARAMS.clustdist)
 
 
 # ---- features and unannotated clusters ----
@@ -352,7 +355,7 @@ def k6_replicate_counts(spark, sf_dir):
 
 def k8_run_stats(spark, sf_dir):
     """Per sample: reads, aligned (one usable record), splits, multsplits, and interactions with support."""
-    ok = (F.col("flag").bitwiseAND(4) == 0) & (F.col("mapq") > 10) & (cigar.read_span(F.col("cigar")) > 15) & F.col("pos").isNotNull() & F.col("refid").isNotNull()
+    ok = detect.passes(PARAMS) & F.col("pos").isNotNull() & F.col("refid").isNotNull()
     per = records(spark, sf_dir).where("qname IS NOT NULL").groupBy("sample_idx", "qname").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("u"))
     n = per.groupBy("sample_idx").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.expr("n = 1 AND u = 1")).alias("aligned"), F.count_if(F.expr("n div 2 = 1")).alias("splits"), F.count_if(F.expr("n div 2 > 1")).alias("multsplits"))
     found = _interactions(spark, sf_dir)[0].select("sample_idx", *ia.KEY).distinct().groupBy("sample_idx").agg(F.count(F.lit(1)).alias("interactions"))

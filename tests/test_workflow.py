@@ -191,6 +191,45 @@ def test_clusters(spark):
     assert got == want
 
 
+def test_hot_locus(spark):
+    """Many distinct boxes at one locus give as many links as boxes in cells, not as pairs; the groups are those of all pairs."""
+    rng = random.Random(12)
+    boxes, v = [], 0
+    for k in range(1500):
+        x, y = (rng.randint(0, 400), rng.randint(0, 400)) if k % 3 else (rng.randint(3000, 60_000), rng.randint(-9000, 9000))
+        boxes.append((k, 1 + (k % 50 == 0), x, x + rng.randint(3, 40), y, y + rng.randint(3, 40)))
+    boxes.append((1500, 1, -70_000, 70_000, 200, 205))
+    df = spark.createDataFrame(boxes, "v BIGINT, lane INT, xs BIGINT, xe BIGINT, ys BIGINT, ye BIGINT")
+    links = clustering.box_links(df).collect()
+    root = list(range(len(boxes)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    groups = lambda: Counter(frozenset(g) for g in _grouped(find, len(boxes)).values())
+    for r in links:
+        root[find(r.u)] = find(r.v)
+    got, n_pairs = groups(), 0
+    root[:] = range(len(boxes))
+    for a in boxes:
+        for b in boxes[: a[0]]:
+            if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3] and a[4] <= b[5] and b[4] <= a[5]:
+                n_pairs += 1
+                root[find(a[0])] = find(b[0])
+    assert got == groups()
+    hot = spark.createDataFrame([(k, 1, k % 40, k % 40 + 90, k // 40, k // 40 + 90) for k in range(1600)], df.schema)
+    assert clustering.box_links(hot).count() < 20 * 1600  # of 1,279,200 pairs
+
+
+def _grouped(find, n):
+    out = defaultdict(set)
+    for i in range(n):
+        out[find(i)].add(i)
+    return out
+
+
 def test_detect(spark):
     """Three segments give three pairs; an annotated intron joins two; a record with one piece ends its read."""
     from ligaquery.operators import detect
