@@ -49,7 +49,7 @@ def annotated_gaps(records: DataFrame, introns: DataFrame, p: Params = Params())
     ``introns`` are (refid, strt, stop), closed; a skipped region is annotated if the last position before
     it and the first behind it lie within NEAR of those of an intron.
     """
-    return _annotated(_pieces(usable(records, p)), introns)
+    return _annotated(_pieces(usable(records, p).where(F.col("cigar").contains("N"))), introns)
 
 
 def segments(records: DataFrame, introns: DataFrame, min_length: int = 15) -> DataFrame:
@@ -57,18 +57,34 @@ def segments(records: DataFrame, introns: DataFrame, min_length: int = 15) -> Da
 
     Soft clips belong to no segment.
     """
-    raw = _pieces(records)
+    cols, skips = ["rec_no", "seg_no", "strt", "stop", "read_from", "read_to"], F.col("cigar").contains("N")
+    whole = _pieces(records.where(~skips)).select(*cols)
+    raw = _pieces(records.where(skips))
     # a record holds as many as its CIGAR has operations
     kept = _annotated(raw, introns).groupBy(F.col("rec_no").alias("k_")).agg(F.collect_set("seg_no").alias("joined"))
     before = F.size(F.filter(F.coalesce("joined", F.array().cast("array<int>")), lambda k: k < F.col("seg_no")))
     parts = raw.join(kept, F.col("rec_no") == F.col("k_"), "left").withColumn("part", F.col("seg_no") - before)
-    whole = parts.groupBy("rec_no", F.col("part").alias("seg_no")).agg(*(f(c).alias(c) for f, c in ((F.min, "strt"), (F.max, "stop"), (F.min, "read_from"), (F.max, "read_to"))))
-    return whole.where(F.col("read_to") - F.col("read_from") + 1 >= min_length)
+    split = parts.groupBy("rec_no", F.col("part").alias("seg_no")).agg(*(f(c).alias(c) for f, c in ((F.min, "strt"), (F.max, "stop"), (F.min, "read_from"), (F.max, "read_to"))))
+    return whole.unionByName(split).where(F.col("read_to") - F.col("read_from") + 1 >= min_length)
+
+
+def segment_records(records: DataFrame, segs: DataFrame) -> DataFrame:
+    """The segments of ``segments`` as records: (rec_no, seg_no, qname, flag, refid, pos, seq, qual, tags).
+
+    Of the flag only the reverse strand stays; ``seq`` and ``qual`` of ``records`` are cut to the
+    segment's read range; the tags XX, XY and XN are its begin and end in the read and the number of
+    segments of the record. Mapping quality and other tags are left out.
+    """
+    n = segs.groupBy(F.col("rec_no").alias("k_")).agg(F.count(F.lit(1)).alias("n_"))
+    both = segs.join(n, F.col("rec_no") == F.col("k_")).join(records.select(F.col("rec_no").alias("r_"), "qname", "flag", "refid", "seq", "qual"), F.col("rec_no") == F.col("r_"))
+    part = lambda c: F.substr(c, F.col("read_from"), F.col("read_to") - F.col("read_from") + 1).alias(c)
+    tags = F.create_map(*(x for t, c in (("XX", "read_from"), ("XY", "read_to"), ("XN", "n_")) for x in (F.lit(t), F.col(c).cast("string"))))
+    return both.select("rec_no", "seg_no", "qname", F.col("flag").bitwiseAND(16).alias("flag"), "refid", F.col("strt").alias("pos"), part("seq"), part("qual"), tags.alias("tags"))
 
 
 def pairs(records: DataFrame, introns: DataFrame, p: Params = Params()) -> DataFrame:
     """All pairs i < j of the segments of a record whose read ranges do not overlap: (sample_idx, qname, rec_no, refid, a_*, b_*)."""
-    ok = usable(records, p)
+    ok = usable(records, p).where(F.col("cigar").contains("N"))  # others have one segment
     segs = segments(ok, introns, p.minlen)
     cols = ["seg_no", "strt", "stop", "read_from", "read_to"]
     side = lambda s: segs.select(F.col("rec_no").alias(f"{s}_rec"), *(F.col(c).alias(f"{s}_{c}") for c in cols))

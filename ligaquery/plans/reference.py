@@ -173,8 +173,8 @@ def detection_records(spark, sf_dir):
     that skips it (i), one that skips 60 positions more (x), and one that does both (c).
     """
     r = records(spark, sf_dir).select("rec_no", "sample_idx", "qname", "flag", "refid", "pos", "mapq", "cigar")
-    n = r.where("qname IS NOT NULL").groupBy(F.col("sample_idx").alias("s_"), F.col("qname").alias("q_")).agg(F.count(F.lit(1)).cast("int").alias("xj"))
-    given = r.join(n, F.col("sample_idx").eqNullSafe(F.col("s_")) & (F.col("qname") == F.col("q_"))).drop("s_", "q_").withColumn("rec_no", F.concat(F.lit("r"), "rec_no"))
+    own = F.count(F.lit(1)).over(Window.partitionBy("sample_idx", "qname")).cast("int")  # the records of one read
+    given = r.where("qname IS NOT NULL").withColumn("xj", own).withColumn("rec_no", F.concat(F.lit("r"), "rec_no"))
     end = lambda s: F.col(f"{s}.pos") + cigar.ref_span(F.col(f"{s}.cigar"))
     side = lambda s: F.struct(F.col(f"{s}_pos").alias("pos"), F.col(f"{s}_cigar").alias("cigar"), F.col(f"{s}_rec_no").alias("rec_no"))
     p = _pairs(spark, sf_dir).where("a_refid = b_refid").select("*", F.least(side("a"), side("b")).alias("lo"), F.greatest(side("a"), side("b")).alias("hi"))

@@ -147,6 +147,16 @@ def oracle_sql() -> dict[str, str]:
             hits AS (SELECT doc_id, read_no, min(o) AS first_at FROM offs WHERE {hamming} <= 1 GROUP BY ALL),
             cut AS (SELECT doc_id, read_no, seq, q, coalesce(first_at, length(seq)) AS n FROM quals LEFT JOIN hits USING (doc_id, read_no))
             SELECT doc_id, read_no, seq[1:n] AS seq, n::INT AS n FROM cut WHERE n >= 15 AND floor(list_sum(q[1:n]) / n) >= 20""",
+        # runs of common 5-mers are the common substrings of at least 5 bases; the longest, then the first in the first mate, wins
+        "f12_merged_mates": f"""WITH {READS}, r AS (SELECT doc_id, read_no // 2 AS pair_no, read_no % 2 AS side, seq, len(q) >= 15 AND floor(list_sum(q) / len(q)) >= 15 AS ok FROM quals),
+            mates AS (SELECT a.doc_id, a.pair_no, a.seq AS s1, reverse(translate(b.seq, 'ACGT', 'TGCA')) AS s2, a.ok AS ok1, b.ok AS ok2 FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.pair_no = b.pair_no AND a.side = 0 AND b.side = 1),
+            x AS (SELECT doc_id, pair_no, i, s1[i : i + 4] AS k FROM (SELECT *, unnest(range(1, length(s1) - 3)) AS i FROM mates WHERE ok1 AND ok2)),
+            y AS (SELECT doc_id, pair_no, j, s2[j : j + 4] AS k FROM (SELECT *, unnest(range(1, length(s2) - 3)) AS j FROM mates WHERE ok1 AND ok2)),
+            hits AS (SELECT doc_id, pair_no, i, j, i - row_number() OVER (PARTITION BY doc_id, pair_no, i - j ORDER BY i) AS g FROM x JOIN y USING (doc_id, pair_no, k)),
+            runs AS (SELECT doc_id, pair_no, count(*) + 4 AS n, max(i) + 4 AS to_a, max(j) + 4 AS to_b FROM hits GROUP BY doc_id, pair_no, i - j, g),
+            best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, pair_no ORDER BY n DESC, to_a, to_b) = 1)
+            SELECT m.doc_id, m.pair_no::BIGINT AS pair_no, CASE WHEN n IS NOT NULL THEN 'merged' WHEN ok1 AND ok2 THEN 'unmerged' WHEN ok1 THEN 'R1only' WHEN ok2 THEN 'R2only' ELSE 'dropped' END AS route,
+                CASE WHEN n IS NOT NULL THEN s1[1 : to_a] || s2[to_b + 1 :] END AS seq FROM mates m LEFT JOIN best b ON b.doc_id = m.doc_id AND b.pair_no = m.pair_no""",
         "t9_window_trim": f"""WITH {READS} SELECT doc_id, read_no, (len(q) - 3 * list_filter(range(0, len(q) // 3 + 1),
             lambda k: len(q) - 3 * k < 3 OR list_sum(q[len(q) - 3 * k - 2 : len(q) - 3 * k]) >= 75)[1])::INT AS stop FROM quals""",
         "f10_segments": f"""WITH c AS (SELECT rec_no, pos, cigar, coalesce(try_cast(regexp_extract(cigar, '^([0-9]+)S', 1) AS INT), 0) AS head,

@@ -12,6 +12,17 @@ def number(value: Column, digits: int = 6) -> Column:
     return F.when(value.isNull(), ".").otherwise(text)
 
 
+def significant(value: Column) -> Column:
+    """A number with six significant digits as a C++ stream writes it: no trailing zeros, an exponent below 1e-4 and from 1e6 on; null is ``.``"""
+    strip = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    v = value.cast("double")
+    parts = F.split(F.format_string("%.5e", v), "e")
+    power = F.get(parts, F.lit(1)).try_cast("int")
+    plain = F.coalesce(*(F.when(power == p, strip(F.format_string(f"%.{5 - p}f", v))) for p in range(-4, 6)))
+    text = F.coalesce(plain, F.concat(strip(F.get(parts, F.lit(0))), F.lit("e"), F.get(parts, F.lit(1))))
+    return F.when(value.isNull(), ".").when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.when(v > 0, "inf").otherwise("-inf")).otherwise(text)
+
+
 def write_fastq(reads: DataFrame, path: str, route: str | None = None) -> None:
     """Reads (read_id, seq, qual) as FASTQ text, one subfolder per ``route``."""
     text = F.concat_ws("\n", F.concat(F.lit("@"), "read_id"), "seq", F.lit("+"), "qual")
@@ -51,6 +62,12 @@ def write_table(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def write_allints(wide: DataFrame, path: str) -> None:
+    """``interactions.wide_allints`` as tab-separated text with a header, in its order; doubles have six significant digits."""
+    cols = [significant(F.col(c)).alias(c) if t == "double" else F.coalesce(F.col(c).cast("string"), F.lit(".")).alias(c) for c, t in wide.dtypes]
+    wide.select(*cols).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The interaction graph as JSON lines under nodes/ and edges/; all values are strings."""
     nodes.select("node_id", "label", F.struct("orientation").alias("metadata")).write.mode("overwrite").json(f"{path}/nodes")

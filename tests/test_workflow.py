@@ -130,6 +130,27 @@ def test_stats_and_pairs_written(spark, tmp_path):
     assert [(r.side, r.qname, r.pos) for r in pair_records(two).orderBy("pair_no", "side").collect()] == [(0, "q", 1), (1, "q", 9), (0, "r", 2), (1, "r", 3)]
 
 
+def test_six_significant_digits(spark, tmp_path):
+    from ligaquery.sinks.writers import significant, write_allints
+
+    cases = {0.5: "0.5", 0.0: "0", 1.0: "1", -2.25: "-2.25", 123456.0: "123456", 1234567.0: "1.23457e+06", 0.0001: "0.0001", 0.00001: "1e-05", 1e-10: "1e-10", 0.714286123: "0.714286", 999999.7: "1e+06", 100.0: "100", None: "."}
+    df = spark.createDataFrame([(k,) for k in cases], "v DOUBLE")
+    assert [r[0] for r in df.select(significant(F.col("v"))).collect()] == list(cases.values())
+    wide = spark.createDataFrame([("B", 1, 1e-10), ("A", None, 0.25)], "fst_rna STRING, n BIGINT, p DOUBLE").orderBy("fst_rna")
+    write_allints(wide, str(tmp_path / "a"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "a"), sep="\t", header=True).collect())) == [("A", ".", "0.25"), ("B", "1", "1e-10")]
+
+
+def test_segment_records(spark):
+    from ligaquery.operators import detect
+
+    df = spark.createDataFrame([(1, 0, "q", 17, 1, 100, 60, "4M10N3M", "ACGTTTG", "IIIIJJJ"), (2, 0, "n", 0, 1, 5, 60, "2M", None, None)], "rec_no BIGINT, sample_idx INT, qname STRING, flag INT, refid INT, pos BIGINT, mapq INT, cigar STRING, seq STRING, qual STRING")
+    none = spark.createDataFrame([], "refid INT, strt BIGINT, stop BIGINT")
+    rows = detect.segment_records(df, detect.segments(df, none, 1)).orderBy("rec_no", "seg_no").collect()
+    assert [(r.flag, r.pos, r.seq, r.qual, r.tags) for r in rows[:2]] == [(16, 100, "ACGT", "IIII", {"XX": "1", "XY": "4", "XN": "2"}), (16, 114, "TTG", "JJJ", {"XX": "5", "XY": "7", "XN": "2"})]
+    assert len(rows) == 3 and rows[2].seq is None
+
+
 def test_exons_of_the_open_gene(spark):
     from ligaquery.operators.annotation import carried_genes
 
