@@ -86,10 +86,9 @@ def parts(df: DataFrame, text: str) -> DataFrame:
     escape = lambda x: F.when(F.endswith(x, F.lit("=")), "=").when(F.substring(x, -2, 1) == "=", "=h").when(F.substring(x, -3, 1) == "=", "=hh").otherwise("t")
     border = lambda x: F.when(~F.startswith(x, edge), "t").when(F.startswith(x, F.concat(edge, F.lit("--"))), "/").otherwise("-")
     end = lambda x: F.when(F.lower(x).contains("</html>"), "/").otherwise("t")
-    # a quoted-printable text may end in any line of no form, so lines of that kind that follow each other are one
-    once = lambda f: F.filter(f, lambda x, i: (x != f"{FORM}qt") | (i == 0) | (F.get(f, i - 1) != f"{FORM}qt"))
-    soft = F.get(F.transform(F.array(each(escape)), once), F.lit(0))  # the one-element array names the forms, so that they are made once
-    inside = F.when(is_("m"), each(border)).when(is_("b"), each(quanta)).when(is_("q"), soft).when(is_("w"), each(end)).otherwise(F.array(F.lit(f"{FORM}p")))
+    inside = F.when(is_("m"), each(border)).when(is_("b"), each(quanta)).when(is_("q"), each(escape)).when(is_("w"), each(end)).otherwise(F.array(F.lit(f"{FORM}p")))
+    # any line of other text or whole quanta may be the last of a text of their kind, which tells nothing: it ends as a plain text does
+    inside = F.concat(inside, F.when(F.element_at(inside, -1).isin(f"{FORM}bqqqq", f"{FORM}qt"), F.array(F.lit(f"{FORM}p"))).otherwise(F.array()))
     n_head = F.size(F.split(F.rtrim(F.col("__head"), F.lit(BLANKS)), "\n"))
     forms = F.concat(F.when(has_head, F.array_repeat(F.lit(f"{FORM}:"), n_head)).otherwise(F.array()), F.when(has_head & (split == 0), F.array()).otherwise(inside))
     return df.withColumns({"body": body, "forms": F.when(t.isNotNull(), forms), "closed_part": F.coalesce(closed, F.lit(False)), "body_chars": F.length(rest)}).drop("__head", "__rest", "__boundary", "__cte", "__kind")
