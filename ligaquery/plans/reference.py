@@ -11,7 +11,7 @@ from ligaquery.functions import cigar, seq
 from ligaquery.operators import annotation, clustering, detect, interactions as ia, packed, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.params import Params
-from ligaquery.session import cut, lookup, small, table
+from ligaquery.session import lookup, settle, small, table
 
 READ_LENGTH, ADAPTER = 150, "AGATCGG"
 PARAMS = Params()
@@ -341,7 +341,7 @@ def k6_condition_counts(spark, sf_dir):
 
 def k5_allints(spark, sf_dir):
     """Per key and replicate: support, scores and p-value, with the combined p-value at the last replicate of each condition."""
-    tested, samples = cut(_tested(spark, sf_dir)), table(spark, sf_dir, "samples")
+    tested, samples = settle(_tested(spark, sf_dir)), table(spark, sf_dir, "samples")
     out = ia.allints(tested, ia.combined_p(tested, samples), samples)
     return out.withColumns({"gcs": F.round("gcs", 6), "ghs": F.round("ghs", 6), "pval": F.round("pval", 8), "padj": F.round("padj", 8)})
 
