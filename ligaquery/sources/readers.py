@@ -6,6 +6,7 @@ import glob
 import gzip
 import io
 import struct
+import zlib
 from collections.abc import Iterator
 
 from pyarrow import fs
@@ -35,10 +36,10 @@ def _files(path: str) -> list[tuple[str, int]]:
     return sorted((scheme + i.path, i.size) for i in found if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")))
 
 
-def _open(path: str) -> io.BufferedReader | gzip.GzipFile:
+def _open(path: str, packed: bool | None = None) -> io.BufferedReader | gzip.GzipFile:
     system, inner, _ = _storage(path)
-    raw = io.BufferedReader(system.open_input_file(inner), 1 << 20)
-    return gzip.GzipFile(fileobj=raw) if path.endswith((".gz", ".bam")) else raw
+    raw = io.BufferedReader(system.open_input_file(inner), 1 << 18)
+    return gzip.GzipFile(fileobj=raw) if (path.endswith(".gz") if packed is None else packed) else raw
 
 
 class _Range(InputPartition):
@@ -129,7 +130,7 @@ _NUM = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I",
 
 
 class BamSource(DataSource):
-    """``bam``: one partition a file, read as a stream of blocks."""
+    """``bam``: files in blocks (BGZF) are split by bytes, each record read where its first block begins; plain gzip files are not."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,30 +140,140 @@ class BamSource(DataSource):
         return BAM_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _BamReader(self.options["path"])
+        return _BamReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
+
+
+def _block_size(head: bytes) -> int:
+    """Bytes of the block that begins with ``head``, 0 if none does."""
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+        return 0
+    at, end = 12, 12 + struct.unpack_from("<H", head, 10)[0]
+    while at + 4 <= min(end, len(head)):
+        size = struct.unpack_from("<H", head, at + 2)[0]
+        if head[at : at + 2] == b"BC" and size == 2 and at + 6 <= len(head):
+            return struct.unpack_from("<H", head, at + 4)[0] + 1
+        at += 4 + size
+    return 0
+
+
+class _Blocks:
+    """The bytes inside the blocks of a file from the block at ``at`` on, and the block in which each stands."""
+
+    def __init__(self, f, at: int) -> None:
+        self.f, self.at, self.buf, self.pos = f, at, b"", 0
+        self.starts: list[tuple[int, int]] = []
+
+    def more(self) -> bool:
+        self.f.seek(self.at)
+        size = _block_size(head := self.f.read(64))
+        if not size:
+            return False
+        block = (head + self.f.read(max(0, size - len(head))))[:size]
+        if self.pos > 1 << 20:  # what has been read goes
+            self.starts = [(max(0, p - self.pos), b) for p, b in self.starts[-1:]]
+            self.buf, self.pos = self.buf[self.pos :], 0
+        self.starts.append((len(self.buf), self.at))
+        self.buf += zlib.decompress(block[12 + struct.unpack_from("<H", block, 10)[0] : -8], -15)
+        self.at += size
+        return True
+
+    def fill(self, end: int) -> bool:
+        while len(self.buf) < end and self.more():
+            pass
+        return len(self.buf) >= end
+
+    def take(self, n: int) -> bytes:
+        while len(self.buf) - self.pos < n and self.more():
+            pass
+        out = self.buf[self.pos : self.pos + n]
+        self.pos += len(out)
+        return out
+
+    def block(self, pos: int) -> int:
+        return next((b for p, b in reversed(self.starts) if p <= pos), self.at)
+
+
+def _names(s) -> list[str]:
+    """The names of the references in a BAM header."""
+    num = lambda: struct.unpack("<i", s(4))[0]
+    if s(4) != b"BAM\1":
+        raise ValueError("no BAM file")
+    s(num())
+    names = []
+    for _ in range(num()):
+        names.append(s(num())[:-1].decode())
+        s(4)
+    return names
+
+
+def _looks_like_records(s: _Blocks, at: int, n_refs: int, most: int = 5) -> bool:
+    """Whether ``most`` records, or all up to the end of the file, follow each other from ``at`` on."""
+    for k in range(most):
+        if not s.fill(at + 36):
+            return k > 0 and at == len(s.buf)
+        size, ref, pos, l_name, _, _, n_ops, _, l_seq, ref2, pos2 = struct.unpack_from("<iiiBBHHHiii", s.buf, at)
+        need = 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq
+        if not (l_name > 0 and l_seq >= 0 and need <= size < 1 << 28 and -1 <= ref < n_refs and -1 <= ref2 < n_refs and pos >= -1 and pos2 >= -1):
+            return False
+        if not s.fill(at + 36 + l_name) or s.buf[at + 35 + l_name] or any(not 33 <= c <= 126 for c in s.buf[at + 36 : at + 35 + l_name]):
+            return False
+        at += 4 + size
+    return True
 
 
 class _BamReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, split: int) -> None:
+        self.path, self.split = path, split
 
     def partitions(self) -> list[_Range]:
-        return [_Range(f, 0, None) for f, _ in _files(self.path)] or [_Range("", 0, 0)]
+        return [_Range(f, a, min(n, a + self.split)) for f, n in _files(self.path) for a in range(0, n, self.split)] or [_Range("", 0, 0)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
         if not part.path:
             return
-        with _open(part.path) as f:
-            num = lambda: struct.unpack("<i", f.read(4))[0]
-            if f.read(4) != b"BAM\1":
-                raise ValueError(f"{part.path} is no BAM file")
-            f.read(num())
-            names = []
-            for _ in range(num()):
-                names.append(f.read(num())[:-1].decode())
-                f.read(4)
-            while len(head := f.read(4)) == 4:
-                yield (part.path, *_bam_record(f.read(struct.unpack("<i", head)[0]), names))
+        with _open(part.path, packed=False) as f:
+            if not _block_size(f.read(64)):
+                if not part.begin:
+                    f.seek(0)
+                    yield from self._stream(gzip.GzipFile(fileobj=f), part.path)
+                return
+            s = _Blocks(f, 0)
+            names = _names(s.take)
+            if part.begin:
+                s = self._first(f, part, len(names))
+            while s and (s.pos < len(s.buf) or s.more()) and s.block(s.pos) < part.end:
+                head = s.take(4)
+                if len(head) == 4:
+                    yield (part.path, *_bam_record(s.take(struct.unpack("<i", head)[0]), names))
+
+    @staticmethod
+    def _first(f, part: _Range, n_refs: int) -> _Blocks | None:
+        """The blocks from the first that begins in the split, at its first record; None if no record begins there."""
+        f.seek(part.begin)
+        ahead = f.read(min(part.end - part.begin, 1 << 16) + (1 << 16) + 64)
+        at = ahead.find(b"\x1f\x8b\x08\x04")
+        while at >= 0 and part.begin + at < part.end:
+            size = _block_size(ahead[at : at + 64])
+            f.seek(part.begin + at + size)
+            after = f.read(64)
+            if size and (not after or _block_size(after)):
+                break
+            at = ahead.find(b"\x1f\x8b\x08\x04", at + 1)
+        if at < 0 or part.begin + at >= part.end:
+            return None
+        s, pos = _Blocks(f, part.begin + at), 0
+        while s.fill(pos + 1) and s.block(pos) < part.end:
+            if _looks_like_records(s, pos, n_refs):
+                s.pos = pos
+                return s
+            pos += 1
+        return None
+
+    @staticmethod
+    def _stream(f, path: str) -> Iterator[tuple]:
+        names = _names(f.read)
+        while len(head := f.read(4)) == 4:
+            yield (path, *_bam_record(f.read(struct.unpack("<i", head)[0]), names))
 
 
 def _bam_record(b: bytes, names: list[str]) -> tuple:
@@ -204,10 +315,10 @@ def read_fastq(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -
     return spark.read.format("fastq").option("splitBytes", split_bytes).load(path)
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Positions are 0-based; a missing reference or position is null."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").load(path)
+    return spark.read.format("bam").option("splitBytes", split_bytes).load(path)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -358,6 +358,41 @@ def test_sam_bam_fasta(spark, tmp_path):
     assert sorted(map(tuple, read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("one", "ACGTAC"), ("two", "GG")]
 
 
+def test_bam_split_at_blocks(spark, tmp_path):
+    """Every record once at any split size, also where records run over several blocks."""
+    import zlib
+
+    from ligaquery.sources.readers import _BamReader, read_bam
+
+    rng = random.Random(21)
+
+    def record(k):
+        name, n = f"read{k}".encode() + b"\0", rng.choice([1, 7, 40, 400])
+        seq_, qual = bytes(rng.randrange(256) for _ in range((n + 1) // 2)), bytes(rng.randrange(41) for _ in range(n))
+        body = struct.pack("<iiBBHHHiiii", rng.choice([-1, 0, 1]), rng.randrange(5000), len(name), 60, 0, 1, 0, n, -1, -1, 0) + name + struct.pack("<I", n << 4) + seq_ + qual + b"XJi" + struct.pack("<i", k)
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\1" + struct.pack("<i", 4) + b"@CO\n" + struct.pack("<i", 2) + b"".join(struct.pack("<i", 3) + n + b"\0" + struct.pack("<i", 9000) for n in (b"c1", b"c2"))
+    data = head + b"".join(record(k) for k in range(200))
+
+    def block(b):
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = z.compress(b) + z.flush()
+        return b"\x1f\x8b\x08\x04" + bytes(4) + b"\0\xff" + struct.pack("<H", 6) + b"BC\2\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(b), len(b))
+
+    at, out = 0, b""
+    while at < len(data):
+        n = rng.choice([60, 300, 2000])
+        out, at = out + block(data[at : at + n]), at + n
+    path = tmp_path / "s.bam"
+    path.write_bytes(out + block(b""))
+    for split in (37, 500, 4096, 1 << 20):
+        r = _BamReader(str(path), split)
+        got = [(row[1], row[9]["XJ"]) for p in r.partitions() for row in r.read(p)]
+        assert got == [(f"read{k}", str(k)) for k in range(200)], split
+    assert read_bam(spark, str(path), 1000).count() == 200
+
+
 def test_manifest(spark, tmp_path):
     from ligaquery.sources.manifest import discover, manifest, outputs, with_suffix
 
