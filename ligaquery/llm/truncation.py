@@ -88,10 +88,11 @@ def parts(df: DataFrame, text: str) -> DataFrame:
     end = lambda x: F.when(F.lower(x).contains("</html>"), "/").otherwise("t")
     inside = F.when(is_("m"), each(border)).when(is_("b"), each(quanta)).when(is_("q"), each(escape)).when(is_("w"), each(end)).otherwise(F.array(F.lit(f"{FORM}p")))
     # any line of other text or whole quanta may be the last of a text of their kind, which tells nothing: it ends as a plain text does
-    inside = F.concat(inside, F.when(F.element_at(inside, -1).isin(f"{FORM}bqqqq", f"{FORM}qt"), F.array(F.lit(f"{FORM}p"))).otherwise(F.array()))
+    df = df.withColumn("__inside", inside)  # used twice, computed once
+    inside = F.concat("__inside", F.when(F.element_at("__inside", -1).isin(f"{FORM}bqqqq", f"{FORM}qt"), F.array(F.lit(f"{FORM}p"))).otherwise(F.array()))
     n_head = F.size(F.split(F.rtrim(F.col("__head"), F.lit(BLANKS)), "\n"))
     forms = F.concat(F.when(has_head, F.array_repeat(F.lit(f"{FORM}:"), n_head)).otherwise(F.array()), F.when(has_head & (split == 0), F.array()).otherwise(inside))
-    return df.withColumns({"body": body, "forms": F.when(t.isNotNull(), forms), "closed_part": F.coalesce(closed, F.lit(False)), "body_chars": F.length(rest)}).drop("__head", "__rest", "__boundary", "__cte", "__kind")
+    return df.withColumns({"body": body, "forms": F.when(t.isNotNull(), forms), "closed_part": F.coalesce(closed, F.lit(False)), "body_chars": F.length(rest)}).drop("__head", "__rest", "__boundary", "__cte", "__kind", "__inside")
 
 
 def words(body: Column) -> Column:
