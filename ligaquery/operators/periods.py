@@ -70,8 +70,12 @@ def _prefix(rows: list) -> dict[int, tuple]:
     return out
 
 
-def _rows(a: str, b: str, kind: str, strt, stop) -> pd.DataFrame:
-    return pd.DataFrame({"a": a, "b": b, "kind": kind, "strt": strt, "stop": stop})
+def _frame(parts: list[tuple]) -> pd.DataFrame:
+    """One frame of parts (a, b, kind, starts, stops)."""
+    n = [len(p[3]) for p in parts]
+    named = {c: np.repeat(np.array([p[i] for p in parts], object), n) for i, c in enumerate(("a", "b", "kind"))}
+    whole = lambda i: np.concatenate([np.asarray(p[i], np.int64) for p in parts]) if parts else np.empty(0, np.int64)
+    return pd.DataFrame({**named, "strt": whole(3), "stop": whole(4)})
 
 
 def _emit(carried: dict[int, tuple]):
@@ -87,23 +91,23 @@ def _emit(carried: dict[int, tuple]):
                     ent, island, top = state
                     if ent != (b.a.iloc[0], b.b.iloc[0]):
                         ent = None  # the partition before has closed it
-            out: list[pd.DataFrame] = []
+            out: list[tuple] = []
             for a, c, s, e in _runs(b):
                 if (a, c) != ent:
                     if ent is not None:
-                        out.append(_rows(*ent, "period", [island], [top]))
+                        out.append((*ent, "period", [island], [top]))
                     ent, island, top = (a, c), LOW, LOW
                 opens, before, top = _islands(s, e, top)
                 begins = s[opens] if island == LOW else np.concatenate(([island], s[opens]))
                 shut = opens[len(opens) + 1 - len(begins) :]  # the rows that end the island before them
                 if len(shut):
-                    out.append(_rows(a, c, "period", begins[:-1], before[shut]))
-                    out.append(_rows(a, c, "gap", before[shut] + 1, s[shut] - 1))
+                    out.append((a, c, "period", begins[:-1], before[shut]))
+                    out.append((a, c, "gap", before[shut] + 1, s[shut] - 1))
                 if len(begins):
                     island = int(begins[-1])
-            yield from out
+            yield _frame(out)
         if ent is not None and begun and after != ent:
-            yield _rows(*ent, "period", [island], [top])
+            yield _frame([(*ent, "period", [island], [top])])
 
     return run
 
