@@ -102,8 +102,9 @@ def words(body: Column) -> Column:
     t = F.regexp_replace(t, r"<[^>\n]*>|\n[A-Za-z0-9+/]{60,}={0,2}(?=\n)", " ")  # tags and encoded lines
     t = F.regexp_replace(t, '[,;:()"]+', "")
     t = F.regexp_replace(t, r"\n(?<=[^\n]{45}\n)", " ")
-    t = F.regexp_replace(t, r"\n|[.?!]+(?=\s|$)|[。！？]", f" {STOP} {STOP} ")
-    t = F.when(body.rlike(r"\p{IsHan}"), F.regexp_replace(t, r"(\p{IsHan})", " $1 ")).otherwise(t)
+    t = F.regexp_replace(t, r"[\n。！？]|[.?!]+(?=\s|$)", f" {STOP} {STOP} ")
+    beyond = body.rlike("[^\\x{0}-\\x{2e7f}]")  # cheap, and true of any text with Han characters
+    t = F.when(beyond, F.regexp_replace(t, r"(\p{IsHan})", " $1 ")).otherwise(t)
     t = F.regexp_replace(t, "[1-9]", "0")
     return F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
 
