@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar
 from ligaquery.params import Params
+from ligaquery.session import settle
 
 NEAR, BIN = 5, 1024
 
@@ -84,7 +85,7 @@ def segment_records(records: DataFrame, segs: DataFrame) -> DataFrame:
 
 def pairs(records: DataFrame, introns: DataFrame, p: Params = Params()) -> DataFrame:
     """All pairs i < j of the segments of a record whose read ranges do not overlap: (sample_idx, qname, rec_no, refid, a_*, b_*)."""
-    ok = usable(records, p).where(F.col("cigar").contains("N"))  # others have one segment
+    ok = settle(usable(records, p).where(F.col("cigar").contains("N")).select("sample_idx", "qname", "rec_no", "refid", "pos", "cigar"))  # others have one segment
     segs = segments(ok, introns, p.minlen)
     cols = ["seg_no", "strt", "stop", "read_from", "read_to"]
     side = lambda s: segs.select(F.col("rec_no").alias(f"{s}_rec"), *(F.col(c).alias(f"{s}_{c}") for c in cols))
