@@ -298,8 +298,9 @@ def j5_resolved_segments(spark, sf_dir):
 
 
 def _interactions(spark, sf_dir):
-    p = ia.partners(table(spark, sf_dir, "int_partners"))
-    return ia.interactions(_pairs(spark, sf_dir), ia.resolve(p)), p
+    p = settle(ia.partners(table(spark, sf_dir, "int_partners")))  # distinct once, read by each use
+    scores = records(spark, sf_dir).select("sample_idx", "qname", "rec_no", "xc", "xe")
+    return ia.interactions(ia.record_pairs(scores, ["xc", "xe"]), ia.resolve(p)), p
 
 
 def a5_frequencies(spark, sf_dir):
