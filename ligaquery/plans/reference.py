@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar, seq
-from ligaquery.operators import annotation, clustering, detect, interactions as ia, packed, preproc
+from ligaquery.operators import annotation, clustering, detect, interactions as ia, overlaps, packed, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.params import Params
 from ligaquery.session import lookup, settle, small, table
@@ -211,37 +211,48 @@ def pred6_detected_routes(spark, sf_dir):
     return detect.routes(r, detect.pairs(r, _introns(spark, sf_dir)))
 
 
-def _overlaps(spark, sf_dir, feats=None):
+def _placed(spark, sf_dir):
     names = small(table(spark, sf_dir, "contigs").select("refid", "refname"))
-    segs = table(spark, sf_dir, "segments").select("seg_no", "sample_idx", "refid", "flag", "seg_strt", "seg_end").join(names, "refid")
-    feats = _features(spark, sf_dir).select("feat_no", "seqid", F.col("strand").alias("f_strand"), F.col("feat_strt").cast("bigint").alias("feat_strt"), F.col("feat_end").cast("bigint").alias("feat_end")) if feats is None else feats
-    met = interval_join(segs, feats, [("refname", "seqid")], ("seg_strt", "seg_end"), ("feat_strt", "feat_end"))
+    return table(spark, sf_dir, "segments").select("seg_no", "sample_idx", "refid", "flag", "seg_strt", "seg_end").join(names, "refid")
+
+
+def _given(spark, sf_dir):
+    return _features(spark, sf_dir).select("feat_no", "seqid", F.col("strand").alias("f_strand"), F.col("feat_strt").cast("bigint").alias("feat_strt"), F.col("feat_end").cast("bigint").alias("feat_end"))
+
+
+def _overlaps(spark, sf_dir, feats=None):
+    met = interval_join(_placed(spark, sf_dir), _given(spark, sf_dir) if feats is None else feats, [("refname", "seqid")], ("seg_strt", "seg_end"), ("feat_strt", "feat_end"))
     return met.withColumn("orientation", F.when(_strand("flag") == F.col("f_strand"), "sense").otherwise("antisense"))
 
 
+def _bounds(spark, sf_dir, feats, feature):
+    """The tables of ``overlaps``."""
+    segs = _placed(spark, sf_dir).select("seg_no", "sample_idx", F.col("refname").alias("ref"), _strand("flag").alias("strand"), F.col("seg_strt").alias("strt"), F.col("seg_end").alias("stop"))
+    return segs, feats.select(F.col(feature).alias("feature"), F.col("seqid").alias("ref"), F.col("f_strand").alias("strand"), F.col("feat_strt").alias("strt"), F.col("feat_end").alias("stop"))
+
+
 def j3_overlaps(spark, sf_dir):
     return _overlaps(spark, sf_dir).select("seg_no", "feat_no", "orientation")
 
 
 def a4_feature_frequency(spark, sf_dir):
     """Per sample, orientation and feature: each segment gives 1 in all to the features it overlaps."""
-    return _frequency(_overlaps(spark, sf_dir))
+    return _frequency(spark, sf_dir, _given(spark, sf_dir), "feat_no")
 
 
-def _frequency(overlaps, feature="feat_no"):
-    n = F.count(F.lit(1)).over(Window.partitionBy("seg_no"))  # the features of one segment
-    met = overlaps.select("seg_no", "sample_idx", feature, "orientation").withColumn("n", n)
-    return met.groupBy("sample_idx", "orientation", feature).agg(F.round(F.sum(1 / F.col("n")), 6).alias("f"))
+def _frequency(spark, sf_dir, feats, feature):
+    f = overlaps.shares(*_bounds(spark, sf_dir, feats, feature), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return f.select("sample_idx", F.when(F.col("is_sense"), "sense").otherwise("antisense").alias("orientation"), F.col("feature").alias(feature), (F.floor(F.col("f") * 1e6 + 0.5) / 1e6).alias("f"))
 
 
 def pred20_resolved_segments(spark, sf_dir):
     """The only sense feature of each segment, else its only antisense one."""
-    return _resolved(_overlaps(spark, sf_dir))
+    return _resolved(spark, sf_dir, _given(spark, sf_dir), "feat_no")
 
 
-def _resolved(overlaps, feature="feat_no"):
-    sense = F.col("orientation") == "sense"
-    per = overlaps.groupBy("seg_no").agg(F.count_if(sense).alias("s"), F.count_if(~sense).alias("a"), F.max(F.when(sense, F.col(feature))).alias("sf"), F.max(F.when(~sense, F.col(feature))).alias("af"))
+def _resolved(spark, sf_dir, feats, feature):
+    met = overlaps.counted(*_bounds(spark, sf_dir, feats, feature), names=True)
+    per = met.groupBy("seg_no").agg(F.sum("s").alias("s"), F.sum("a").alias("a"), F.max("sense").alias("sf"), F.max("anti").alias("af"))
     return per.where("s = 1 OR a = 1").select("seg_no", F.when(F.col("s") == 1, F.col("sf")).otherwise(F.col("af")).alias(feature), F.when(F.col("s") == 1, "sense").otherwise("antisense").alias("orientation"))
 
 
@@ -276,22 +287,22 @@ def u2_annotation(spark, sf_dir):
 
 
 def _annotated(spark, sf_dir):
-    return _overlaps(spark, sf_dir, u2_annotation(spark, sf_dir).withColumnRenamed("strand", "f_strand"))
+    return settle(u2_annotation(spark, sf_dir)).withColumnRenamed("strand", "f_strand")
 
 
 def j5_overlaps(spark, sf_dir):
     """j3_overlaps over u2_annotation."""
-    return _annotated(spark, sf_dir).select("seg_no", "feature", "orientation")
+    return _overlaps(spark, sf_dir, _annotated(spark, sf_dir)).select("seg_no", "feature", "orientation")
 
 
 def j5_feature_frequency(spark, sf_dir):
     """a4_feature_frequency over u2_annotation."""
-    return _frequency(_annotated(spark, sf_dir), "feature")
+    return _frequency(spark, sf_dir, _annotated(spark, sf_dir), "feature")
 
 
 def j5_resolved_segments(spark, sf_dir):
     """pred20_resolved_segments over u2_annotation."""
-    return _resolved(_annotated(spark, sf_dir), "feature")
+    return _resolved(spark, sf_dir, _annotated(spark, sf_dir), "feature")
 
 
 # ---- interactions ----

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar, seq, stats
-from ligaquery.operators import clustering, interactions, preproc
+from ligaquery.operators import clustering, interactions, overlaps, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.params import load_params
 
@@ -186,6 +186,45 @@ def test_interval_join(spark):
         assert got == sorted((i, j) for i, k, s, e in left for j, m, t, u in right if k and k == m and s is not None and s <= e and t <= u and s <= u + slack and t <= e + slack)
 
 
+def _overlap_tables(spark, segs, feats):
+    return spark.createDataFrame(segs, "seg_no BIGINT, sample_idx INT, ref STRING, strand STRING, strt BIGINT, stop BIGINT"), spark.createDataFrame(feats, "feature STRING, ref STRING, strand STRING, strt BIGINT, stop BIGINT")
+
+
+def _overlap_case(rng):
+    """Segments and features of all lengths, with repeated numbers and names, nulls, odd strands and bounds, and the overlaps of them."""
+    iv = lambda long: ((a := rng.randint(-300, 4000)), a + (rng.randint(0, 3000) if rng.random() < 0.1 else rng.randint(-2, long)))
+    segs = [(rng.randint(0, 230), rng.choice([0, 1, 2, None]), rng.choice(["c", "d", None]), rng.choice("+-"), *iv(60)) for _ in range(250)]
+    feats = [(f"f{rng.randint(0, 70)}", rng.choice(["c", "d", None]), rng.choice(["+", "-", ".", None]), *iv(200)) for _ in range(80)]
+    segs.append((900, 1, "c", "+", None, 5))
+    met = [(s, f) for s in segs for f in feats if s[2] and s[2] == f[1] and s[4] is not None and s[4] <= s[5] and f[3] <= f[4] and s[4] <= f[4] and f[3] <= s[5]]
+    return segs, feats, met
+
+
+def test_overlap_shares(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "CELL", 64)  # so that there are several levels of cells
+    segs, feats, met = _overlap_case(random.Random(12))
+    n, want = Counter(s[0] for s, _ in met), defaultdict(float)
+    for s, f in met:
+        want[s[1], s[3] == f[2], f[0]] += 1 / n[s[0]]
+    got = [((r.sample_idx, r.is_sense, r.feature), r.f) for r in overlaps.shares(*_overlap_tables(spark, segs, feats), 4).collect()]
+    assert len(got) == len(want) and all(math.isclose(v, want[k], rel_tol=1e-12) for k, v in got)
+    once = [f for i, f in enumerate(feats) if f[0] not in {g[0] for g in feats[:i]}]  # no name twice: no shuffle of the result
+    want = Counter((s[1], s[3] == f[2], f[0]) for s, f in met if f in once).keys()
+    got = [(r.sample_idx, r.is_sense, r.feature) for r in overlaps.shares(*_overlap_tables(spark, segs, once), 4).collect()]
+    assert len(got) == len(want) and set(got) == set(want)
+    assert overlaps.shares(*(t.limit(0) for t in _overlap_tables(spark, segs, feats)), 4).count() == 0
+
+
+def test_shares_of_a_hot_place(spark):
+    """240 million overlaps, of which none is listed; as rows they took gigabytes of shuffle."""
+    segs = spark.range(60_000).selectExpr("id AS seg_no", "int(id % 3) AS sample_idx", "'c' AS ref", "'+' AS strand", "id % 900 AS strt", "id % 900 + 5000 AS stop")
+    feats = spark.range(4000).selectExpr("string(id) AS feature", "'c' AS ref", "IF(id % 2 = 0, '+', '.') AS strand", "1000 + id % 700 AS strt", "1900 + id AS stop")
+    got = overlaps.shares(segs, feats, 4)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    sums = got.groupBy("sample_idx", "is_sense").agg(F.count("*"), F.round(F.min("f"), 9), F.round(F.max("f"), 9)).collect()
+    assert sorted(map(tuple, sums)) == [(k, sense, 2000, 5.0, 5.0) for k in range(3) for sense in (False, True)]
+
+
 def test_clusters(spark):
     rng = random.Random(8)
     rows = [(rng.choice("AB"), "+", (a := rng.randint(0, 3000)), a + 40, "C", rng.choice("+-"), (b := rng.randint(0, 3000)), b + 40) for _ in range(150)]
