@@ -225,6 +225,19 @@ def test_shares_of_a_hot_place(spark):
     assert sorted(map(tuple, sums)) == [(k, sense, 2000, 5.0, 5.0) for k in range(3) for sense in (False, True)]
 
 
+def test_counted_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "CELL", 64)
+    segs, feats, met = _overlap_case(random.Random(13))
+    want = defaultdict(lambda: ([], []))
+    for s, f in met:
+        want[s][s[3] != f[2]].append(f[0])
+    want = Counter((*s, len(a), len(b), a[0] if len(a) == 1 else None, b[0] if len(b) == 1 else None) for s, (a, b) in want.items())
+    assert len({s for s, _ in met}) == sum(want.values()) and len(set(segs)) == len(segs)
+    got = overlaps.counted(*_overlap_tables(spark, segs, feats), names=True)
+    assert Counter(map(tuple, got.select("seg_no", "sample_idx", "ref", "strand", "strt", "stop", "s", "a", "sense", "anti").collect())) == want
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
 def test_clusters(spark):
     rng = random.Random(8)
     rows = [(rng.choice("AB"), "+", (a := rng.randint(0, 3000)), a + 40, "C", rng.choice("+-"), (b := rng.randint(0, 3000)), b + 40) for _ in range(150)]
