@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ligaquery.operators.intervals import interval_join
+from ligaquery.operators import overlaps
 from ligaquery.operators.periods import periods_and_gaps
 from ligaquery.session import cut, settle
 
@@ -19,12 +19,15 @@ def with_clusters(features: DataFrame, clusters: DataFrame, min_splits: int = 2)
     """
     side = lambda s: F.struct(*(F.col(f"{s}_{c}").alias(f"c_{c}") for c in ("ref", "strand", "strt", "end")))
     sides = settle(clusters.where(F.col("no_splits") >= min_splits).select(F.inline(F.array(side("fst"), side("sec")))).distinct())
-    met = settle(interval_join(sides, features, [("c_ref", "seqid")], ("c_strt", "c_end"), ("feat_strt", "feat_end")).select("c_ref", "c_strand", "c_strt", "c_end", "feature", "strand"))
-    wide = met.where("c_strand = strand").groupBy(F.col("feature").alias("f_")).agg(F.min("c_strt").alias("w_strt"), F.max("c_end").alias("w_end"))
+    placed = sides.select(F.col("c_ref").alias("ref"), F.col("c_strand").alias("strand"), F.col("c_strt").alias("strt"), F.col("c_end").alias("stop"))
+    spans = features.select("feature", F.col("seqid").alias("ref"), "strand", F.col("feat_strt").alias("strt"), F.col("feat_end").alias("stop"))
+    # neither lists the pairs, which grow as sides times features
+    wide = overlaps.bounds_met(spans, placed).groupBy(F.col("feature").alias("f_")).agg(F.min("strt").alias("w_strt"), F.max("stop").alias("w_end"))
+    met = overlaps.counted(placed.select(F.lit(0).alias("seg_no"), F.lit(0).alias("sample_idx"), "*"), spans)
     bounds = [F.least("feat_strt", "w_strt").alias("feat_strt"), F.greatest("feat_end", "w_end").alias("feat_end")]
     given = features.join(wide, F.col("feature") == F.col("f_"), "left").select("feature", "seqid", "strand", *bounds, F.lit(False).alias("is_cluster"))
     keys = ["c_ref", "c_strand", "c_strt", "c_end"]
-    free = sides.join(met.select(*keys).distinct(), keys, "left_anti")
+    free = sides.join(met.select(*(F.col(c).alias(k) for k, c in zip(keys, ("ref", "strand", "strt", "stop")))), keys, "left_anti")
     # doubled, so that neighbours that only touch stay apart
     runs = periods_and_gaps(free.select("c_ref", "c_strand", (F.col("c_strt") * 2).alias("s2"), (F.col("c_end") * 2).alias("e2")), ("c_ref", "c_strand"), "s2", "e2").where("kind = 'period'")
     new = runs.select(F.col("c_ref").alias("seqid"), F.col("c_strand").alias("strand"), F.expr("strt div 2").alias("feat_strt"), F.expr("stop div 2").alias("feat_end"))

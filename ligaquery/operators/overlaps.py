@@ -205,3 +205,45 @@ def shares(segments: DataFrame, features: DataFrame, tasks: int) -> DataFrame:
     if features.groupBy("feature").count().where("count > 1").limit(1).count():
         out = out.groupBy("sample_idx", "is_sense", "feature").agg(F.sum("f").alias("f"))
     return out
+
+
+class _Edges:
+    """Sorted intervals that tell the first start and the last end among those that meet an interval."""
+
+    def __init__(self, strt: np.ndarray, stop: np.ndarray):
+        a, b = np.argsort(strt, kind="stable"), np.argsort(-stop, kind="stable")
+        self.strt, self.top = strt[a], np.maximum.accumulate(stop[a])
+        self.stop, self.low = stop[b], -np.minimum.accumulate(strt[b])
+
+    def met(self, strt: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the given intervals meet any, and for these the first start and the last end of those met."""
+        i = np.searchsorted(self.top, strt, "left")  # the first of those that end late enough
+        hit = np.flatnonzero(i < len(self.strt))
+        hit = hit[self.strt[i[hit]] <= stop[hit]]
+        return hit, self.strt[i[hit]], self.stop[np.searchsorted(self.low, -stop[hit], "left")]
+
+
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cell, held, edges = None, [], None
+    for (*at, streamed), rows in _runs(batches, [*CELL_KEY, "strand", "streamed"]):
+        if at != cell:
+            cell, held, edges = at, [], None
+        if not streamed:
+            held.append(rows)
+        elif held:
+            edges = edges or _Edges(_numbers(held, "strt"), _numbers(held, "stop"))
+            hit, first, last = edges.met(_numbers([rows], "strt"), _numbers([rows], "stop"))
+            yield pa.RecordBatch.from_arrays([rows.column("feature").take(pa.array(hit)), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["feature", "strt", "stop"])
+
+
+def bounds_met(features: DataFrame, others: DataFrame) -> DataFrame:
+    """(feature, strt, stop): the first start and the last end among the rows of ``others`` that overlap a feature on its strand.
+
+    ``others`` are (ref, strand, strt, stop), ``features`` as in ``counted``. A feature lies in one cell, together with every
+    row that it may overlap; one that overlaps none has no row, and one that is given twice has two. A null strand meets nothing.
+    """
+    own = _one_cell(_ok(features).where("strand IS NOT NULL")).withColumn("streamed", F.lit(True))
+    near = _near_cells(_ok(others).where("strand IS NOT NULL"), _levels(own)).withColumn("streamed", F.lit(False))
+    key = [*CELL_KEY, "strand"]
+    rows = near.unionByName(own, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, "streamed")
+    return rows.mapInArrow(_bound, f"feature {features.schema['feature'].dataType.simpleString()}, strt bigint, stop bigint")

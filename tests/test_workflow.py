@@ -335,6 +335,32 @@ def test_unannotated_clusters(spark):
     assert {r.feature for r in with_clusters(feats, clusters.limit(0)).collect()} == {"1", "2", "3"}
 
 
+def test_bounds_met(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "CELL", 64)
+    segs, feats, met = _overlap_case(random.Random(14))
+    want = defaultdict(list)
+    for s, f in met:
+        if s[3] == f[2]:
+            want[f].append(s)
+    want = Counter({(f[0], min(s[4] for s in ss), max(s[5] for s in ss)): feats.count(f) for f, ss in want.items()})
+    placed, spans = _overlap_tables(spark, segs, feats)
+    assert Counter(map(tuple, overlaps.bounds_met(spans, placed.drop("seg_no", "sample_idx")).collect())) == want
+    assert overlaps.bounds_met(spans, placed.drop("seg_no", "sample_idx").limit(0)).count() == 0
+
+
+def test_clusters_of_a_hot_place(spark, monkeypatch):
+    """4 million sides by features, none of which is written."""
+    from ligaquery.operators import annotation
+
+    settle, written = annotation.settle, []
+    monkeypatch.setattr(annotation, "settle", lambda df, *gone: written.append(settle(df, *gone)) or written[-1])
+    feats = spark.range(2000).selectExpr("string(id) AS feature", "'A' AS seqid", "IF(id % 2 = 0, '+', '-') AS strand", "1000 + id AS feat_strt", "6000 + id AS feat_end")
+    clusters = spark.range(1000).selectExpr("'A' AS fst_ref", "'+' AS fst_strand", "900 + id AS fst_strt", "3100 + id AS fst_end", "'A' AS sec_ref", "'+' AS sec_strand", "2999 + id AS sec_strt", "7900 + id AS sec_end", "2L AS no_splits")
+    got = annotation.with_clusters(feats, clusters).groupBy("strand", "is_cluster").agg(F.count("*"), F.min("feat_strt"), F.max("feat_strt"), F.min("feat_end"), F.max("feat_end"))
+    assert sorted(map(tuple, got.collect())) == [("+", False, 1000, 900, 900, 8899, 8899), ("-", False, 1000, 1001, 2999, 6001, 7999)]
+    assert max(t.count() for t in written) == 2000
+
+
 def test_chain_component(spark):
     v = spark.createDataFrame([(i,) for i in range(40)], "v BIGINT")
     e = spark.createDataFrame([(i, i + 1) for i in range(29)], "u BIGINT, v BIGINT")
