@@ -7,11 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions of the smallest cells. An interval that is longer has a cell of twice, four times ... the width.
 CELL = 32768
+#: Up to so many cells, those in use are listed and rows go to no other ones.
+CELLS = 10_000
+#: A cell with more than a task's share of the features is dealt by samples, into so many parts at most.
+PARTS = 16
 #: Rows of a batch that a sweep gives out.
 BATCH = 1 << 16
 
@@ -30,15 +34,31 @@ def _one_cell(df: DataFrame) -> DataFrame:
     return df.withColumn("lvl", lvl).withColumn("cell", F.floor(F.col("strt") / F.expr(f"shiftleft({CELL}L, lvl)")))
 
 
-def _near_cells(df: DataFrame, levels: list[int]) -> DataFrame:
-    """Each row in every cell, of the levels given, whose rows of ``_one_cell`` it may overlap."""
-    width = F.expr(f"shiftleft({CELL}L, lvl)")
-    cells = F.sequence(F.floor(F.col("strt") / width) - 1, F.floor(F.col("stop") / width))
-    return df.withColumn("lvl", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("cell", F.explode(cells))
-
+def _near_cells(df: DataFrame, own: DataFrame) -> DataFrame:
+    """Each row in every cell that it may share with rows of ``own``, which are from ``_one_cell``.
 
-def _levels(df: DataFrame) -> list[int]:
-    return sorted(r.lvl for r in df.select("lvl").distinct().collect())  # one for each doubling of the longest length
+    Up to ``CELLS``, only the cells that have such rows are taken; beyond that all cells of their levels, of which many may be idle.
+    """
+    width = F.expr(f"shiftleft({CELL}L, lvl)")
+    at = F.sequence(F.floor(F.col("strt") / width) - 1, F.floor(F.col("stop") / width))
+    used = own.select("lvl", F.xxhash64(*CELL_KEY).alias("h")).distinct().limit(CELLS + 1).collect()
+    levels = {r.lvl for r in (used if len(used) <= CELLS else own.select("lvl").distinct().collect())}  # one for each doubling of the longest length
+    near = df.withColumn("lvl", F.explode(F.array(*map(F.lit, sorted(levels) or [0])))).withColumn("cell", F.explode(at))
+    if not 0 < len(used) <= CELLS:
+        return near
+    return near.where(f"xxhash64({', '.join(CELL_KEY)}) IN ({', '.join(str(r.h) for r in used)})")  # an idle cell of the same hash does no harm
+
+
+def _parts(own: DataFrame, tasks: int) -> Column:
+    """Into how many parts the cell of a row is dealt, from the rows of ``own`` that it has."""
+    h = f"xxhash64({', '.join(CELL_KEY)})"
+    per = own.groupBy(F.expr(h).alias("h")).count()
+    total = per.agg(F.sum("count")).first()[0] or 0
+    by: dict[int, list[int]] = {}
+    for r in per.where(F.col("count") * tasks > total).collect():  # fewer than there are tasks
+        by.setdefault(min(PARTS, -(-r["count"] * tasks // total)), []).append(r.h)
+    cases = " ".join(f"WHEN {h} IN ({', '.join(map(str, hs))}) THEN {n}" for n, hs in sorted(by.items()))
+    return F.expr(f"CASE {cases} ELSE 1 END") if by else F.lit(1)
 
 
 def _differs(a: pa.Array) -> np.ndarray:
@@ -124,7 +144,7 @@ def counted(segments: DataFrame, features: DataFrame, names: bool = False) -> Da
     differences of ranks among the cell's sorted bounds. Rows with a null or a start after the end meet nothing.
     """
     own = _one_cell(_ok(segments)).withColumn("streamed", F.lit(True))
-    other = _near_cells(_ok(features), _levels(own)).withColumn("streamed", F.lit(False))
+    other = _near_cells(_ok(features), own).withColumn("streamed", F.lit(False))
     rows = other.unionByName(own, allowMissingColumns=True).repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY, "streamed")
     kinds = {f.name: f.dataType.simpleString() for f in [*segments.schema, *features.schema]}
     schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in COUNTED) + (f", sense {kinds['feature']}, anti {kinds['feature']}" if names else "")
@@ -163,14 +183,14 @@ def _share():
             ready.clear()
             return pa.RecordBatch.from_arrays([who, pa.array(same), every.take(pa.array(at)), pa.array(f)], ["sample_idx", "is_sense", "feature", "f"])
 
-        for (ref, lvl, at, streamed, who), rows in _runs(batches, [*CELL_KEY, "streamed", "sample_idx"]):
-            fresh = (ref, lvl, at) != cell
+        for (*at, streamed, who), rows in _runs(batches, [*CELL_KEY, "part", "streamed", "sample_idx"]):
+            fresh = at != cell
             if fresh or streamed and who != sample:
                 close()
             if ready and (fresh or sum(len(r[3]) for r in ready) >= BATCH):
                 yield flush()
             if fresh:
-                cell, held, every = (ref, lvl, at), [], None
+                cell, held, every = at, [], None
             if not streamed:
                 held.append(rows)
             elif held:
@@ -194,12 +214,15 @@ def shares(segments: DataFrame, features: DataFrame, tasks: int) -> DataFrame:
 
     Tables as in ``counted``. A feature lies in one cell, together with every segment that it may overlap, so each row
     of the result is made whole by one task, from running sums over the segments of one sample. Only a ``feature``
-    that is given more than once takes a shuffle of the result.
+    that is given more than once takes a shuffle of the result. A hot cell goes to several tasks, each with all its features and some of the samples.
     """
     met = counted(segments, features).select("seg_no", "sample_idx", "ref", "strand", "strt", "stop", F.sum(F.col("s") + F.col("a")).over(Window.partitionBy("seg_no")).alias("n"))
     own = _one_cell(_ok(features)).withColumn("streamed", F.lit(False))
-    other = _near_cells(met, _levels(own)).withColumn("streamed", F.lit(True)).drop("seg_no")
-    rows = own.unionByName(other, allowMissingColumns=True).repartition(tasks, *CELL_KEY).sortWithinPartitions(*CELL_KEY, "streamed", "sample_idx")
+    other = _near_cells(met, own).withColumn("streamed", F.lit(True)).drop("seg_no")
+    parts, key = _parts(own, tasks), [*CELL_KEY, "part"]
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    other = other.withColumn("part", F.pmod(F.xxhash64("sample_idx"), parts).cast("int"))
+    rows = own.unionByName(other, allowMissingColumns=True).repartition(tasks, *key).sortWithinPartitions(*key, "streamed", "sample_idx")
     kinds = {f.name: f.dataType.simpleString() for f in [*segments.schema, *features.schema]}
     out = rows.mapInArrow(_share(), f"sample_idx {kinds['sample_idx']}, is_sense boolean, feature {kinds['feature']}, f double")
     if features.groupBy("feature").count().where("count > 1").limit(1).count():
@@ -243,7 +266,7 @@ def bounds_met(features: DataFrame, others: DataFrame) -> DataFrame:
     row that it may overlap; one that overlaps none has no row, and one that is given twice has two. A null strand meets nothing.
     """
     own = _one_cell(_ok(features).where("strand IS NOT NULL")).withColumn("streamed", F.lit(True))
-    near = _near_cells(_ok(others).where("strand IS NOT NULL"), _levels(own)).withColumn("streamed", F.lit(False))
+    near = _near_cells(_ok(others).where("strand IS NOT NULL"), own).withColumn("streamed", F.lit(False))
     key = [*CELL_KEY, "strand"]
     rows = near.unionByName(own, allowMissingColumns=True).repartition(*key).sortWithinPartitions(*key, "streamed")
     return rows.mapInArrow(_bound, f"feature {features.schema['feature'].dataType.simpleString()}, strt bigint, stop bigint")

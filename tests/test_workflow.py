@@ -225,6 +225,33 @@ def test_shares_of_a_hot_place(spark):
     assert sorted(map(tuple, sums)) == [(k, sense, 2000, 5.0, 5.0) for k in range(3) for sense in (False, True)]
 
 
+def test_shares_go_to_cells_in_use(spark, monkeypatch):
+    """One long feature on c, so that there is a level more: it takes no rows of d, and none of other cells."""
+    monkeypatch.setattr(overlaps, "CELL", 220)
+    segs = [(2 * i + (r == "d"), 0, r, "+", 100 * i, 100 * i + 5) for i in range(60) for r in "cd"]
+    segs, feats = _overlap_tables(spark, segs, [("a", "c", "+", 0, 200), ("b", "d", "+", 300, 400), ("z", "c", "-", 0, 1000)])
+    near = lambda: overlaps._near_cells(segs, overlaps._one_cell(feats)).count()
+    want = [(0, False, "z", 9.5), (0, True, "a", 1.5), (0, True, "b", 2.0)]
+    assert near() == 5 + 4 + 36 and sorted(map(tuple, overlaps.shares(segs, feats, 4).collect())) == want
+    monkeypatch.setattr(overlaps, "CELLS", 2)  # too many to be listed
+    assert near() >= 120 * 2 * 2 and sorted(map(tuple, overlaps.shares(segs, feats, 4).collect())) == want
+
+
+def test_shares_of_a_hot_cell(spark):
+    """A cell with all features is no single task's work, and its rows are the same."""
+    rng = random.Random(15)
+    segs = [(i, rng.choice([None, *range(30)]), "c", rng.choice("+-"), (a := rng.randint(0, 9000)), a + 90) for i in range(900)]
+    feats = [(f"f{i}", "c", rng.choice(["+", "-", ".", None]), (a := rng.randint(0, 9000)), a + 400) for i in range(120)]
+    met = [(s, f) for s in segs for f in feats if s[4] <= f[4] and f[3] <= s[5]]
+    n, want = Counter(s[0] for s, _ in met), defaultdict(float)
+    for s, f in met:
+        want[s[1], s[3] == f[2], f[0]] += 1 / n[s[0]]
+    for tasks in (1, 12, 40):
+        got = overlaps.shares(*_overlap_tables(spark, segs, feats), tasks).withColumn("task", F.spark_partition_id()).collect()
+        assert len(got) == len(want) and all(math.isclose(r.f, want[r.sample_idx, r.is_sense, r.feature], rel_tol=1e-12) for r in got)
+        assert len({r.task for r in got}) >= min(5, tasks)
+
+
 def test_counted_overlaps(spark, monkeypatch):
     monkeypatch.setattr(overlaps, "CELL", 64)
     segs, feats, met = _overlap_case(random.Random(13))
