@@ -1,4 +1,4 @@
-"""What overlaps add up to, counted by sweeps over sorted cells: the pairs themselves are never listed, shuffled or sorted."""
+"""What overlaps add up to, counted by sweeps over sorted cells: the pairs themselves are not listed, but by ``listed``, and never shuffled or sorted."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ CELLS = 10_000
 PARTS = 16
 #: Rows of a batch that a sweep gives out.
 BATCH = 1 << 16
+#: So many segments are listed together, 64 at most: those that a feature overlaps are the bits of a number.
+BLOCK = 64
 
 CELL_KEY = ["ref", "lvl", "cell"]
 SIDES = ["+", "-"]
@@ -49,10 +51,12 @@ def _near_cells(df: DataFrame, own: DataFrame) -> DataFrame:
     return near.where(f"xxhash64({', '.join(CELL_KEY)}) IN ({', '.join(str(r.h) for r in used)})")  # an idle cell of the same hash does no harm
 
 
-def _parts(own: DataFrame, tasks: int) -> Column:
-    """Into how many parts the cell of a row is dealt, from the rows of ``own`` that it has."""
+def _parts(own: DataFrame, tasks: int, other: DataFrame | None = None) -> Column:
+    """Into how many parts the cell of a row is dealt, from the rows of ``own`` that it has, times those of ``other`` if given."""
     h = f"xxhash64({', '.join(CELL_KEY)})"
     per = own.groupBy(F.expr(h).alias("h")).count()
+    if other is not None:
+        per = per.join(other.groupBy(F.expr(h).alias("h")).agg(F.count("*").alias("n")), "h").select("h", (F.col("count") * F.col("n")).alias("count"))
     total = per.agg(F.sum("count")).first()[0] or 0
     by: dict[int, list[int]] = {}
     for r in per.where(F.col("count") * tasks > total).collect():  # fewer than there are tasks
@@ -230,6 +234,89 @@ def shares(segments: DataFrame, features: DataFrame, tasks: int) -> DataFrame:
     return out
 
 
+def _blocks(strt: np.ndarray, stop: np.ndarray, s_strt: np.ndarray, s_stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The overlaps of a block of segments with features sorted by start, as groups in which each segment overlaps each feature.
+
+    Gives (segments of a group, segments, features of a group, features), both as places: all groups after one another.
+    """
+    near = np.flatnonzero(stop[: np.searchsorted(strt, s_stop.max(), "right")] >= s_strt.min())
+    every = (strt[near] <= s_stop.min()) & (stop[near] >= s_strt.max())
+    if every.any():
+        n = len(s_strt)
+        yield np.array([n]), np.arange(n), np.array([np.count_nonzero(every)]), near[every]
+    near = near[~every]
+    if len(near):
+        m = np.zeros((len(near), 64), dtype=bool)
+        m[:, : len(s_strt)] = (strt[near, None] <= s_stop) & (stop[near, None] >= s_strt)
+        near, m = near[m.any(axis=1)], m[m.any(axis=1)]
+        _, first, kind, n = np.unique(np.packbits(m, axis=1).view(np.uint64)[:, 0], return_index=True, return_inverse=True, return_counts=True)
+        yield m[first].sum(axis=1), np.nonzero(m[first])[1], n, near[np.argsort(kind, kind="stable")]
+
+
+def _list():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, sides, every = None, [], {}, None
+        ready: list[tuple] = []
+
+        def lists(counts: list[np.ndarray], values: list[pa.Array]) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)), pa.concat_arrays(values))
+
+        def flush() -> pa.RecordBatch:
+            same = np.concatenate([np.full(len(r[1]), r[0]) for r in ready])
+            out = [pa.array(same), lists([r[1] for r in ready], [r[2] for r in ready]), lists([r[3] for r in ready], [every.take(pa.array(np.concatenate([r[4] for r in ready])))])]
+            ready.clear()
+            return pa.RecordBatch.from_arrays(out, ["is_sense", "segs", "features"])
+
+        for (*at, streamed, side), rows in _runs(batches, [*CELL_KEY, "part", "streamed", "strand"]):
+            if at != cell:
+                if ready:
+                    yield flush()
+                cell, held, sides, every = at, [], {}, None
+            if not streamed:
+                held.append((side, rows))
+                continue
+            if not held:
+                continue
+            if every is None:
+                feats = [r for _, r in held]
+                every, strt, stop = pa.concat_arrays([r.column("feature") for r in feats]), _numbers(feats, "strt"), _numbers(feats, "stop")
+                strand = np.concatenate([np.full(r.num_rows, x, dtype=object) for x, r in held])
+                order = np.argsort(strt, kind="stable")
+            if side not in sides:
+                same = strand[order] == side if side is not None else np.zeros(len(order), dtype=bool)
+                sides[side] = [(bool(sense), o, strt[o], stop[o]) for sense in (True, False) for o in [order[same == sense]] if len(o)]
+            no, s_strt, s_stop = rows.column("seg_no"), _numbers([rows], "strt"), _numbers([rows], "stop")
+            for i in range(0, rows.num_rows, BLOCK):
+                for sense, o, f_strt, f_stop in sides[side]:
+                    for n_segs, segs, n_feats, feats in _blocks(f_strt, f_stop, s_strt[i : i + BLOCK], s_stop[i : i + BLOCK]):
+                        if len(segs):
+                            ready.append((sense, n_segs, no.take(pa.array(segs + i)), n_feats, o[feats]))
+                if sum(len(r[4]) for r in ready) >= BATCH:
+                    yield flush()
+        if ready:
+            yield flush()
+
+    return run
+
+
+def listed(segments: DataFrame, features: DataFrame, tasks: int) -> DataFrame:
+    """(seg_no, feature, is_sense): each overlap of a segment with a feature once; is_sense: on the same strand.
+
+    Tables as in ``counted``. Segments lie in one cell, sorted by their start, and a hot cell's are dealt over several tasks.
+    Blocks of them are handed on together with the features that they overlap, and become rows only where these are read.
+    Rows that follow one another have the same feature and orientation, and segments in the same order as those before, so they are written in little space.
+    """
+    own = _one_cell(_ok(segments)).select("seg_no", *CELL_KEY, "strand", "strt", "stop").withColumn("streamed", F.lit(True))
+    other = _near_cells(_ok(features), own).withColumn("streamed", F.lit(False))
+    parts, key = _parts(own, tasks, other), [*CELL_KEY, "part"]
+    own = own.withColumn("part", F.pmod(F.xxhash64("seg_no"), parts).cast("int"))
+    other = other.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = other.unionByName(own, allowMissingColumns=True).repartition(tasks, *key).sortWithinPartitions(*key, "streamed", "strand", "strt")
+    kinds = {f.name: f.dataType.simpleString() for f in [*segments.schema, *features.schema]}
+    met = rows.mapInArrow(_list(), f"is_sense boolean, segs array<{kinds['seg_no']}>, features array<{kinds['feature']}>")
+    return met.select("segs", "is_sense", F.explode("features").alias("feature")).select(F.explode("segs").alias("seg_no"), "feature", "is_sense")
+
+
 class _Edges:
     """Sorted intervals that tell the first start and the last end among those that meet an interval."""
 

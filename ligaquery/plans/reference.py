@@ -292,7 +292,8 @@ def _annotated(spark, sf_dir):
 
 def j5_overlaps(spark, sf_dir):
     """j3_overlaps over u2_annotation."""
-    return _overlaps(spark, sf_dir, _annotated(spark, sf_dir)).select("seg_no", "feature", "orientation")
+    met = overlaps.listed(*_bounds(spark, sf_dir, _annotated(spark, sf_dir), "feature"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return met.select("seg_no", "feature", F.when(F.col("is_sense"), "sense").otherwise("antisense").alias("orientation"))
 
 
 def j5_feature_frequency(spark, sf_dir):

@@ -12,6 +12,7 @@ from ligaquery.functions import cigar, seq, stats
 from ligaquery.operators import clustering, interactions, overlaps, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.params import load_params
+from ligaquery.plans import reference
 
 
 def one(spark, row, schema, col):
@@ -265,6 +266,35 @@ def test_counted_overlaps(spark, monkeypatch):
     assert "Sort" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
 
 
+def test_listed_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(overlaps, "CELL", 64)
+    segs, feats, met = _overlap_case(random.Random(14))
+    segs += [(s[0] + 1000, s[1], s[2], None, *s[4:]) for s in segs[:40]]  # no strand
+    want = Counter((s[0], f[0], s[3] is not None and s[3] == f[2]) for s in segs for f in feats if s[2] and s[2] == f[1] and s[4] is not None and s[4] <= s[5] and f[3] <= f[4] and s[4] <= f[4] and f[3] <= s[5])
+    for block, batch, tasks in ((64, 1 << 16, 1), (3, 40, 12)):
+        monkeypatch.setattr(overlaps, "BLOCK", block)
+        monkeypatch.setattr(overlaps, "BATCH", batch)
+        assert Counter(map(tuple, overlaps.listed(*_overlap_tables(spark, segs, feats), tasks).collect())) == want
+    assert overlaps.listed(*(t.limit(0) for t in _overlap_tables(spark, segs, feats)), 4).count() == 0
+
+
+def test_j5_overlaps_of_a_hot_place(spark, monkeypatch, tmp_path):
+    """Rows are written in an order that takes little disk (by a join 1.3 bytes each), and several tasks share the one place."""
+    spark.createDataFrame([(0, "c")], "refid INT, refname STRING").write.parquet(f"{tmp_path}/contigs.parquet")
+    segs = spark.range(30_000).selectExpr("id AS seg_no", "0 AS sample_idx", "0 AS refid", "int(id % 2) * 16 AS flag", "id * 7919 % 20011 AS seg_strt", "id * 7919 % 20011 + 60 + id % 7 AS seg_end")
+    segs.write.parquet(f"{tmp_path}/segments.parquet")
+    feats = spark.range(600).selectExpr("string(id) AS feature", "'c' AS seqid", "IF(id % 3 = 0, '+', '-') AS f_strand", "id * 104729 % 19001 AS feat_strt", "id * 104729 % 19001 + 2000 + id % 31 AS feat_end")
+    monkeypatch.setattr(reference, "_annotated", lambda spark, sf_dir: feats)
+    got = reference.j5_overlaps(spark, str(tmp_path))
+    joined = segs.join(feats, F.expr("seg_strt <= feat_end AND feat_strt <= seg_end")).selectExpr("seg_no", "feature", "IF(IF(flag = 16, '-', '+') = f_strand, 'sense', 'antisense') AS orientation")
+    got.write.parquet(f"{tmp_path}/got")
+    read = spark.read.parquet(f"{tmp_path}/got")
+    sums = lambda df: df.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(k), "seg_no", "feature", "orientation") % 1_000_003) for k in range(3))).first()
+    assert sums(read) == sums(joined) and read.count() > 1_500_000
+    assert sum(f.stat().st_size for f in (tmp_path / "got").glob("*.parquet")) < read.count() / 2
+    assert len(list((tmp_path / "got").glob("*.parquet"))) >= 4
+
+
 def test_clusters(spark):
     rng = random.Random(8)
     rows = [(rng.choice("AB"), "+", (a := rng.randint(0, 3000)), a + 40, "C", rng.choice("+-"), (b := rng.randint(0, 3000)), b + 40) for _ in range(150)]
