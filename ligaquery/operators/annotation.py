@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ligaquery.operators import overlaps
 from ligaquery.operators.periods import periods_and_gaps
-from ligaquery.session import cut, settle
+from ligaquery.session import cut, release, settle
 
 
 def with_clusters(features: DataFrame, clusters: DataFrame, min_splits: int = 2) -> DataFrame:
@@ -19,6 +19,7 @@ def with_clusters(features: DataFrame, clusters: DataFrame, min_splits: int = 2)
     """
     side = lambda s: F.struct(*(F.col(f"{s}_{c}").alias(f"c_{c}") for c in ("ref", "strand", "strt", "end")))
     sides = settle(clusters.where(F.col("no_splits") >= min_splits).select(F.inline(F.array(side("fst"), side("sec")))).distinct())
+    release(sides.sparkSession)
     placed = sides.select(F.col("c_ref").alias("ref"), F.col("c_strand").alias("strand"), F.col("c_strt").alias("strt"), F.col("c_end").alias("stop"))
     spans = features.select("feature", F.col("seqid").alias("ref"), "strand", F.col("feat_strt").alias("strt"), F.col("feat_end").alias("stop"))
     # neither lists the pairs, which grow as sides times features

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligaquery.operators.intervals import overlap
-from ligaquery.session import settle
+from ligaquery.session import release, settle
 
 #: Side of the first cells, a power of 4, and boxes of a cell that are compared with each other.
 CELL, PAIRED = 4096, 32
@@ -26,6 +26,7 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     shrink with each round and long chains halve. The rounds' steps are put together at the end.
     """
     ends = settle(links.select("u", "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    release(ends.sparkSession)
     steps: list[DataFrame] = []
     while not ends.isEmpty():
         both = ends.select("u", "v").union(ends.select("v", "u"))
@@ -34,6 +35,7 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
         steps.append(step)
         left, right = step.select("u", F.col("to").alias("a")), step.select(F.col("u").alias("v"), F.col("to").alias("b"))
         ends = settle(ends.join(left, "u").join(right, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), ends)
+        release(ends.sparkSession)
     labels = vertices.select("v", F.col("v").alias("root")).distinct()
     for step in steps:
         labels = labels.join(step, F.col("root") == F.col("u"), "left").select("v", F.coalesce("to", "root").alias("root"))
@@ -59,6 +61,7 @@ def box_links(boxes: DataFrame) -> DataFrame:
         over = lambda c, lo, hi: (F.col(lo) <= F.col(c) * size) & (F.col(hi) >= (F.col(c) + 1) * size - 1)  # noqa: E731, B023
         per = now.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(over("i", "xs", "xe") & over("j", "ys", "ye"), F.col("v"))).alias("rep")).where("n > 1")
         met = settle(now.join(per, cell))
+        release(met.sparkSession)
         found.append(met.where("v <> rep").select(F.col("v").alias("u"), F.col("rep").alias("v")))
         few = met.where(F.col("rep").isNull() & (F.col("n") <= PAIRED)).drop("n", "rep")
         other = few.select(*cell, F.col("v").alias("w"), *(F.col(c).alias(f"o{c}") for c in ("xs", "xe", "ys", "ye")))
@@ -85,10 +88,12 @@ def cluster_pairs(pairs: DataFrame, slack: int = 0) -> DataFrame:
     ok = pairs.where(" AND ".join(f"{s}_{c} IS NOT NULL" for s in "ab" for c in cols) + " AND a_strt <= a_end AND b_strt <= b_end")
     boxes = ok.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     boxes = settle(boxes.select("x", "y", "n", F.monotonically_increasing_id().alias("v")))
+    release(boxes.sparkSession)
     lane = F.struct("x.ref", "x.strand", F.col("y.ref").alias("ref2"), F.col("y.strand").alias("strand2"))
     at = lambda c, more=0: (F.col(c).cast("bigint") + more)
     slim = boxes.select("v", lane.alias("lane"), at("x.strt").alias("xs"), at("x.end", slack).alias("xe"), at("y.strt").alias("ys"), at("y.end", slack).alias("ye"))
     roots = components(boxes.select("v"), box_links(slim))
+    release(boxes.sparkSession)
     out = boxes.join(roots, "v").groupBy("root").agg(
         *(F.min(f"{i}.{c}").alias(f"{s}_{c}") for i, s in (("x", "fst"), ("y", "sec")) for c in ("ref", "strand", "strt")),
         *(F.max(f"{i}.end").alias(f"{s}_end") for i, s in (("x", "fst"), ("y", "sec"))),

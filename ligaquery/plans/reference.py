@@ -11,7 +11,7 @@ from ligaquery.functions import cigar, seq
 from ligaquery.operators import annotation, clustering, detect, interactions as ia, overlaps, packed, preproc
 from ligaquery.operators.intervals import interval_join
 from ligaquery.params import Params
-from ligaquery.session import lookup, settle, small, table
+from ligaquery.session import lookup, release, settle, small, table
 
 READ_LENGTH, ADAPTER = 150, "AGATCGG"
 PARAMS = Params()
@@ -287,12 +287,15 @@ def u2_annotation(spark, sf_dir):
 
 
 def _annotated(spark, sf_dir):
-    return settle(u2_annotation(spark, sf_dir)).withColumnRenamed("strand", "f_strand")
+    annotated = settle(u2_annotation(spark, sf_dir)).withColumnRenamed("strand", "f_strand")
+    release(spark)
+    return annotated
 
 
 def j5_overlaps(spark, sf_dir):
     """j3_overlaps over u2_annotation."""
     met = overlaps.listed(*_bounds(spark, sf_dir, _annotated(spark, sf_dir), "feature"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    release(spark)
     return met.select("seg_no", "feature", F.when(F.col("is_sense"), "sense").otherwise("antisense").alias("orientation"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,12 @@ def settle(df: DataFrame, *gone: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over; else they stay until the driver happens to collect its garbage."""
+    gc.collect()  # what Python holds on to first
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_size(df: DataFrame) -> int:
     """The bytes of the values of ``df``, without any overhead but 8 a value."""
 

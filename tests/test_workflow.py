@@ -4,6 +4,7 @@ import json
 import math
 import random
 import struct
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -295,6 +296,18 @@ def test_j5_overlaps_of_a_hot_place(spark, monkeypatch, tmp_path):
     assert len(list((tmp_path / "got").glob("*.parquet"))) >= 4
 
 
+def test_clusters_leave_no_shuffle_files(spark):
+    """Each step's are deleted while the next ones run, but for the last one's; they added up to four times the input."""
+    rows = spark.range(3000).selectExpr("'A' AS a_ref", "'+' AS a_strand", "id * 31 % 9001 AS a_strt", "id * 31 % 9001 + 40 AS a_end", "'B' AS b_ref", "'-' AS b_strand", "id * 47 % 8009 AS b_strt", "id * 47 % 8009 + 40 AS b_end")
+    files = lambda: {f.split("_")[1] for f in spark.sparkContext._jvm.SparkSession.active().sparkContext().env().blockManager().diskBlockManager().getAllBlocks().mkString("\n").split("\n") if f.startswith("shuffle")}
+    before = files()
+    got = clustering.cluster_pairs(rows)
+    until = time.time() + 10
+    while len(files() - before) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(files() - before) <= 1 and got.agg(F.sum("no_splits")).first()[0] == 3000
+
+
 def test_clusters(spark):
     rng = random.Random(8)
     rows = [(rng.choice("AB"), "+", (a := rng.randint(0, 3000)), a + 40, "C", rng.choice("+-"), (b := rng.randint(0, 3000)), b + 40) for _ in range(150)]
