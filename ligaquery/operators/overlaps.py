@@ -16,10 +16,14 @@ CELL = 32768
 CELLS = 10_000
 #: A cell with more than a task's share of the features is dealt by samples, into so many parts at most.
 PARTS = 16
+#: The same where overlaps are listed, as a hot cell's rows are most of the work there.
+LIST_PARTS = 64
 #: Rows of a batch that a sweep gives out.
 BATCH = 1 << 16
 #: So many segments are listed together, 64 at most: those that a feature overlaps are the bits of a number.
 BLOCK = 64
+#: A row that is handed on becomes at most so many overlaps, as Spark holds them all before the first is written.
+GROUP = 4096
 
 CELL_KEY = ["ref", "lvl", "cell"]
 SIDES = ["+", "-"]
@@ -51,18 +55,28 @@ def _near_cells(df: DataFrame, own: DataFrame) -> DataFrame:
     return near.where(f"xxhash64({', '.join(CELL_KEY)}) IN ({', '.join(str(r.h) for r in used)})")  # an idle cell of the same hash does no harm
 
 
-def _parts(own: DataFrame, tasks: int, other: DataFrame | None = None) -> Column:
-    """Into how many parts the cell of a row is dealt, from the rows of ``own`` that it has, times those of ``other`` if given."""
+def _parts(own: DataFrame, tasks: int, most: int, other: DataFrame | None = None) -> tuple[Column, Column]:
+    """Into how many parts, ``most`` at most, the cell of a row is dealt, from the rows of ``own`` that it has, times those of ``other`` if given.
+
+    Also gives the task of the first part: the parts of cells that are dealt lie in tasks one after another, other cells anywhere.
+    """
     h = f"xxhash64({', '.join(CELL_KEY)})"
     per = own.groupBy(F.expr(h).alias("h")).count()
     if other is not None:
         per = per.join(other.groupBy(F.expr(h).alias("h")).agg(F.count("*").alias("n")), "h").select("h", (F.col("count") * F.col("n")).alias("count"))
     total = per.agg(F.sum("count")).first()[0] or 0
     by: dict[int, list[int]] = {}
-    for r in per.where(F.col("count") * tasks > total).collect():  # fewer than there are tasks
-        by.setdefault(min(PARTS, -(-r["count"] * tasks // total)), []).append(r.h)
+    first, at = [], 0
+    for r in sorted(per.where(F.col("count") * tasks > total).collect(), key=lambda r: (-r["count"], r.h)):  # fewer than there are tasks
+        n = min(most, -(-r["count"] * tasks // total))
+        by.setdefault(n, []).append(r.h)
+        first.append(f"WHEN {r.h} THEN {at % tasks}")
+        at += n
+    any_task = f"pmod({h}, {tasks})"
+    if not by:
+        return F.lit(1), F.expr(any_task).cast("int")
     cases = " ".join(f"WHEN {h} IN ({', '.join(map(str, hs))}) THEN {n}" for n, hs in sorted(by.items()))
-    return F.expr(f"CASE {cases} ELSE 1 END") if by else F.lit(1)
+    return F.expr(f"CASE {cases} ELSE 1 END"), F.expr(f"CASE {h} {' '.join(first)} ELSE {any_task} END").cast("int")
 
 
 def _differs(a: pa.Array) -> np.ndarray:
@@ -223,7 +237,7 @@ def shares(segments: DataFrame, features: DataFrame, tasks: int) -> DataFrame:
     met = counted(segments, features).select("seg_no", "sample_idx", "ref", "strand", "strt", "stop", F.sum(F.col("s") + F.col("a")).over(Window.partitionBy("seg_no")).alias("n"))
     own = _one_cell(_ok(features)).withColumn("streamed", F.lit(False))
     other = _near_cells(met, own).withColumn("streamed", F.lit(True)).drop("seg_no")
-    parts, key = _parts(own, tasks), [*CELL_KEY, "part"]
+    (parts, _), key = _parts(own, tasks, PARTS), [*CELL_KEY, "part"]
     own = own.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     other = other.withColumn("part", F.pmod(F.xxhash64("sample_idx"), parts).cast("int"))
     rows = own.unionByName(other, allowMissingColumns=True).repartition(tasks, *key).sortWithinPartitions(*key, "streamed", "sample_idx")
@@ -253,6 +267,19 @@ def _blocks(strt: np.ndarray, stop: np.ndarray, s_strt: np.ndarray, s_stop: np.n
         yield m[first].sum(axis=1), np.nonzero(m[first])[1], n, near[np.argsort(kind, kind="stable")]
 
 
+def _split(n_segs: np.ndarray, segs: np.ndarray, n_feats: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The groups of ``_blocks`` with the features of those of more than ``GROUP`` overlaps dealt to several of the same segments."""
+    most = np.maximum(GROUP // n_segs, 1)
+    parts = -(-n_feats // most)
+    if (parts == 1).all():
+        return n_segs, segs, n_feats, feats
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    size, first = np.repeat(n_segs, parts), np.repeat(np.cumsum(n_segs) - n_segs, parts)
+    again = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+    most = np.repeat(most, parts)
+    return size, segs[again], np.minimum(np.repeat(n_feats, parts) - nth * most, most), feats
+
+
 def _list():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, sides, every = None, [], {}, None
@@ -288,7 +315,8 @@ def _list():
             no, s_strt, s_stop = rows.column("seg_no"), _numbers([rows], "strt"), _numbers([rows], "stop")
             for i in range(0, rows.num_rows, BLOCK):
                 for sense, o, f_strt, f_stop in sides[side]:
-                    for n_segs, segs, n_feats, feats in _blocks(f_strt, f_stop, s_strt[i : i + BLOCK], s_stop[i : i + BLOCK]):
+                    for groups in _blocks(f_strt, f_stop, s_strt[i : i + BLOCK], s_stop[i : i + BLOCK]):
+                        n_segs, segs, n_feats, feats = _split(*groups)
                         if len(segs):
                             ready.append((sense, n_segs, no.take(pa.array(segs + i)), n_feats, o[feats]))
                 if sum(len(r[4]) for r in ready) >= BATCH:
@@ -308,10 +336,10 @@ def listed(segments: DataFrame, features: DataFrame, tasks: int) -> DataFrame:
     """
     own = _one_cell(_ok(segments)).select("seg_no", *CELL_KEY, "strand", "strt", "stop").withColumn("streamed", F.lit(True))
     other = _near_cells(_ok(features), own).withColumn("streamed", F.lit(False))
-    parts, key = _parts(own, tasks, other), [*CELL_KEY, "part"]
+    (parts, first), key = _parts(own, tasks, LIST_PARTS, other), [*CELL_KEY, "part"]
     own = own.withColumn("part", F.pmod(F.xxhash64("seg_no"), parts).cast("int"))
     other = other.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = other.unionByName(own, allowMissingColumns=True).repartition(tasks, *key).sortWithinPartitions(*key, "streamed", "strand", "strt")
+    rows = other.unionByName(own, allowMissingColumns=True).repartitionById(tasks, F.pmod(first + F.col("part"), F.lit(tasks))).sortWithinPartitions(*key, "streamed", "strand", "strt")
     kinds = {f.name: f.dataType.simpleString() for f in [*segments.schema, *features.schema]}
     met = rows.mapInArrow(_list(), f"is_sense boolean, segs array<{kinds['seg_no']}>, features array<{kinds['feature']}>")
     return met.select("segs", "is_sense", F.explode("features").alias("feature")).select(F.explode("segs").alias("seg_no"), "feature", "is_sense")

@@ -7,6 +7,7 @@ import struct
 import time
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ligaquery.functions import cigar, seq, stats
@@ -296,6 +297,27 @@ def test_j5_overlaps_of_a_hot_place(spark, monkeypatch, tmp_path):
     assert len(list((tmp_path / "got").glob("*.parquet"))) >= 4
 
 
+def test_listed_rows_are_handed_on_in_small_groups():
+    """Spark holds all that a row becomes before it writes the first of it; a block's overlaps were one row of 64 times all features."""
+    segs, feats = [(i, i * 3, i * 3 + 50) for i in range(150)], [(f"f{j}", j % 7 - 5, 100 + j * 13 % 700) for j in range(3000)]
+    cell = {"ref": pa.array(["c"]), "lvl": pa.array([0]), "cell": pa.array([0]), "part": pa.array([0])}
+    at = lambda n, streamed: {k: v.take(pa.array([0] * n)) for k, v in cell.items()} | {"streamed": pa.array([streamed] * n), "strand": pa.array(["+"] * n)}
+    held = pa.RecordBatch.from_pydict(at(len(feats), False) | {"feature": [f[0] for f in feats], "strt": [f[1] for f in feats], "stop": [f[2] for f in feats]})
+    streamed = pa.RecordBatch.from_pydict(at(len(segs), True) | {"seg_no": [s[0] for s in segs], "strt": [s[1] for s in segs], "stop": [s[2] for s in segs]})
+    rows = [r for b in overlaps._list()(iter([held, streamed])) for r in b.to_pylist()]
+    assert Counter((s, f) for r in rows for s in r["segs"] for f in r["features"]) == Counter((s[0], f[0]) for s in segs for f in feats if s[1] <= f[2] and f[1] <= s[2])
+    assert max(len(r["segs"]) * len(r["features"]) for r in rows) <= 4096
+
+
+def test_listing_of_a_hot_cell_is_dealt_over_many_tasks(spark):
+    """One cell with all rows went to 16 tasks at most, however many there were."""
+    segs = spark.range(4000).selectExpr("id AS seg_no", "0 AS sample_idx", "'c' AS ref", "'+' AS strand", "id AS strt", "id + 50 AS stop")
+    feats = spark.range(60).selectExpr("string(id) AS feature", "'c' AS ref", "'-' AS strand", "id * 50 AS strt", "id * 50 + 900 AS stop")
+    per = [r["count"] for r in overlaps.listed(segs, feats, 96).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == segs.join(feats.selectExpr("strt AS a", "stop AS b"), F.expr("strt <= b AND a <= stop")).count()
+    assert len(per) >= 32 and max(per) < sum(per) / 8
+
+
 def test_clusters_leave_no_shuffle_files(spark):
     """Each step's are deleted while the next ones run, but for the last one's; they added up to four times the input."""
     rows = spark.range(3000).selectExpr("'A' AS a_ref", "'+' AS a_strand", "id * 31 % 9001 AS a_strt", "id * 31 % 9001 + 40 AS a_end", "'B' AS b_ref", "'-' AS b_strand", "id * 47 % 8009 AS b_strt", "id * 47 % 8009 + 40 AS b_end")
